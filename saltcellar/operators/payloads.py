@@ -125,6 +125,10 @@ def flatten_menus(menus: DataFrame, location: Column, snapshot_date: str) -> Dat
     )
 
 
+def _field_of_each(entries: Column, name: str) -> Column:
+    return F.filter(F.transform(entries, lambda e: e[name]), lambda e: e.isNotNull())
+
+
 def first_nested(path: str) -> Column:
     """The first value that is not NULL along a dotted path; `[]` walks into an array."""
     value, many = None, False
@@ -133,7 +137,7 @@ def first_nested(path: str) -> Column:
         if value is None:
             value = F.col(name)
         elif many:
-            value = F.filter(F.transform(value, lambda e, n=name: e[n]), lambda e: e.isNotNull())
+            value = _field_of_each(value, name)
         else:
             value = value[name]
         if walks:

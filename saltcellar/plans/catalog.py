@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from saltcellar.functions.columns import portable
-from saltcellar.plans import checks_menu, checks_sales
+from saltcellar.plans import checks_ingest, checks_menu, checks_sales
 from saltcellar.plans.oracle_tables import with_tables
 from saltcellar.plans.oracle_views import VIEWS
 from saltcellar.plans.samples import Samples
 
-SECTIONS = [checks_sales, checks_menu]
+SECTIONS = [checks_ingest, checks_sales, checks_menu]
 
 
 def _runner(build: Callable[[Samples], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
