@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 # The smallest group shown, which columns count, what must not be shown.
 MIN_GROUP = 5
 COUNT_COLUMN = re.compile(r"\b(count|orders?)\b|^n$|_n$")
-RAW_IDENTIFIERS = ("order_guid", "order_id")
+RAW_IDENTIFIERS = ("order_guid", "order_id", "review_id", "customer_id")
 RAW_CONTACTS = ("customer_email", "customer_phone", "first_name", "last_name", "email", "phone")
 RAW_CONTACT_TABLES = ("customer_orders", "customer_orders_clean")
 
@@ -62,19 +62,22 @@ def guard_output(df: DataFrame, denied: Iterable[str] = RAW_IDENTIFIERS + RAW_CO
 
 
 class _Permitted(Mapping):
+    """A view of the tables; each one is looked up when it is asked for."""
+
     def __init__(self, tables: Mapping[str, DataFrame], allowed: Iterable[str]):
-        self._tables = {name: df for name, df in tables.items() if name in set(allowed) - set(RAW_CONTACT_TABLES)}
+        self._tables = tables
+        self._names = [n for n in tables if n in set(allowed) - set(RAW_CONTACT_TABLES)]
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            raise PrivacyError(f"table {name} is not permitted here; permitted: {', '.join(sorted(self._tables))}")
+        if name not in self._names:
+            raise PrivacyError(f"table {name} is not permitted here; permitted: {', '.join(sorted(self._names))}")
         return self._tables[name]
 
     def __iter__(self):
-        return iter(self._tables)
+        return iter(self._names)
 
     def __len__(self) -> int:
-        return len(self._tables)
+        return len(self._names)
 
 
 def permitted(tables: Mapping[str, DataFrame], allowed: Iterable[str]) -> Mapping[str, DataFrame]:

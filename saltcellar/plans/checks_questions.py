@@ -4,20 +4,13 @@ from pyspark.sql import functions as F
 
 from saltcellar.operators import customers, privacy
 from saltcellar.plans import questions
+from saltcellar.plans.samples import QuestionTables
 
 SCOPE = {"start": "19950101", "end": "20011231"}
 
 
-def _tables(t):
-    return {
-        "orders": t.raw_orders, "order_items": t.raw_items, "orders_clean": t.stored_orders,
-        "order_items_clean": t.stored_items, "inventory": t.inventory, "reviews": t.reviews,
-        "payments": t.raw_payments, "customer_profiles": t.profiles, "customer_orders": t.raw_customers,
-    }
-
-
 def _ask(name, **parameters):
-    return lambda t: questions.QUESTIONS[name](_tables(t), **parameters)
+    return lambda t: questions.QUESTIONS[name](QuestionTables(t), **parameters)
 
 
 STOCK_DAY = {"snapshot_date": "20010801"}
@@ -36,14 +29,14 @@ ASKED = {
 
 QUERIES = {f"question_{name}": _ask(name, **parameters) for name, parameters in ASKED.items()}
 QUERIES |= {
-    "suppress_small": lambda t: questions.ask("daily_revenue", _tables(t), **SCOPE),
-    "suppressed_rows": lambda t: privacy.suppressed_rows(questions.daily_revenue(_tables(t), **SCOPE)),
+    "suppress_small": lambda t: questions.ask("daily_revenue", QuestionTables(t), **SCOPE),
+    "suppressed_rows": lambda t: privacy.suppressed_rows(questions.daily_revenue(QuestionTables(t), **SCOPE)),
     "min_group": lambda t: privacy.min_group(
         t.raw_items, [F.col("order_guid").isNull().alias("unknown"), F.col("location_id"), F.col("item_name")],
         F.sum("quantity").alias("quantity"), threshold=50,
     ).drop("unknown"),
     "guard_output": lambda t: privacy.guard_output(customers.customer_kpis(t.profiles)),
-    "guard_tables": lambda t: privacy.permitted(_tables(t), questions.QUESTION_TABLES)["reviews"]
+    "guard_tables": lambda t: privacy.permitted(QuestionTables(t), questions.QUESTION_TABLES)["reviews"]
     .groupBy("location_id").agg(F.count(F.lit(1)).alias("reviews")),
 }
 

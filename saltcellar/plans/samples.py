@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,30 @@ from saltcellar.sources.files import parse_payload
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+# Table names of the named questions, and the sample table behind each.
+QUESTION_TABLES = {
+    "orders": "raw_orders", "order_items": "raw_items", "orders_clean": "stored_orders",
+    "order_items_clean": "stored_items", "inventory": "inventory", "reviews": "reviews",
+    "payments": "raw_payments", "customer_profiles": "profiles", "customer_orders": "raw_customers",
+}
+
+
+class QuestionTables(Mapping):
+    """Tables by question name, built when asked for."""
+
+    def __init__(self, samples: "Samples"):
+        self._samples = samples
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self._samples, QUESTION_TABLES[name])
+
+    def __iter__(self):
+        return iter(QUESTION_TABLES)
+
+    def __len__(self) -> int:
+        return len(QUESTION_TABLES)
+
+
 class Samples:
     """Nothing is read until an operator's result is."""
 
