@@ -1,17 +1,14 @@
 """The warehouse tables derived from the star-schema sample parquet files.
 
-Amounts are exact decimals until the last step, so each row carries cents. Derived rows
+Amounts are whole cents until the last step, so each row carries exact cents. Derived rows
 include repeated orders, refunds, blank names and categories, and unreadable times.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(12,2)"
 # Signs put into some item names so that name folding has work to do.
 NOUN_SIGNS = {"ring": "环", "gear": "齿轮", "bolt": "螺栓"}
 
@@ -20,13 +17,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _money(value: Column, factor: str | Column | None = None) -> Column:
-    amount = value.cast(MONEY)
-    if factor is None:
-        return amount
-    if isinstance(factor, str):
-        factor = F.lit(Decimal(factor))
-    return (amount * factor).cast(MONEY)
+def _cents(column: str, per: int = 1, unit: int = 1) -> str:
+    """SQL for `per`/`unit` of an amount in whole cents, half up."""
+    whole = f"CAST(round({column} * 100) AS BIGINT)"
+    return whole if per == unit else f"(({whole} * {per} + {unit // 2}) div {unit})"
+
+
+def _amount(cents: str) -> Column:
+    return F.expr(f"({cents}) / 100.0D")
+
+
+# SQL for a line's price (a thousandth of the list price) and its discount and tax, in cents.
+LINE_PRICE = _cents("l_extendedprice", 1, 1000)
+LINE_DISCOUNT = (
+    f"CASE WHEN l_returnflag = 'R' THEN ({LINE_PRICE} * CAST(round(l_discount * 100) AS BIGINT) + 50) div 100 ELSE 0L END"
+)
+LINE_TAX = f"(({LINE_PRICE} * CAST(round(l_tax * 100) AS BIGINT) + 50) div 100)"
 
 
 def customer_locations(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,115 +62,71 @@ def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _line_money() -> dict[str, Column]:
-    price = _money(F.col("l_extendedprice"), "0.001")
-    rate = F.when(F.col("l_returnflag") == "R", F.col("l_discount").cast("decimal(4,2)")).otherwise(
-        F.lit(Decimal("0.00"))
-    )
-    return {
-        "price": price,
-        "discount": (price * rate).cast(MONEY),
-        "tax": (price * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY),
-    }
-
-
 def _order_amounts(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _table(spark, folder, "lineitem").select("l_orderkey", *[c.alias(k) for k, c in _line_money().items()])
-    return lines.groupBy("l_orderkey").agg(
-        F.sum("price").alias("subtotal"), F.sum("discount").alias("discount"), F.sum("tax").alias("tax")
+    return _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.expr(f"sum({LINE_PRICE})").alias("subtotal"),
+        F.expr(f"sum({LINE_DISCOUNT})").alias("discount"),
+        F.expr(f"sum({LINE_TAX})").alias("tax"),
     )
 
 
 def _clock_text() -> Column:
-    hour = F.pmod(F.col("o_totalprice").cast("long"), F.lit(14)) + 8
-    minute = F.pmod(F.col("o_totalprice").cast("long"), F.lit(60))
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    iso = F.concat(day, F.lit("T"), two(hour), F.lit(":"), two(minute))
-    twelve = F.when(hour > 12, hour - 12).otherwise(hour)
-    short = F.concat(
-        F.date_format("o_orderdate", "M/d/yy"), F.lit(" "), twelve.cast("string"), F.lit(":"), two(minute),
-        F.when(hour >= 12, F.lit(" PM")).otherwise(F.lit(" AM")),
-    )
-    return (
-        F.when(F.col("o_orderstatus") == "F", short)
-        .when(F.col("o_orderstatus") == "O", F.concat(iso, F.lit(":30.250Z")))
-        .when(F.col("o_orderpriority") == "5-LOW", F.concat(iso, F.lit(":00+0000")))
-        .otherwise(F.concat(iso, F.lit(":00Z")))
+    hour, minute = "pmod(CAST(o_totalprice AS BIGINT), 14) + 8", "pmod(CAST(o_totalprice AS BIGINT), 60)"
+    iso = f"concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T', lpad({hour}, 2, '0'), ':', lpad({minute}, 2, '0')"
+    return F.expr(
+        f"""CASE WHEN o_orderstatus = 'F' THEN concat(date_format(o_orderdate, 'M/d/yy'), ' ',
+                 CASE WHEN {hour} > 12 THEN {hour} - 12 ELSE {hour} END, ':', lpad({minute}, 2, '0'),
+                 CASE WHEN {hour} >= 12 THEN ' PM' ELSE ' AM' END)
+            WHEN o_orderstatus = 'O' THEN {iso}, ':30.250Z')
+            WHEN o_orderpriority = '5-LOW' THEN {iso}, ':00+0000')
+            ELSE {iso}, ':00Z') END"""
     )
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     """Raw orders. Those with status P arrive twice: the later copy has no tip."""
-    kind = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", "DELIVERY")
-        .when(F.col("o_orderpriority") == "2-HIGH", "Take Out")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "Dine In")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "UNKNOWN")
-        .when(F.col("o_orderstatus") == "P", F.lit(None).cast("string"))
-        .otherwise("API")
-    )
-    zero = F.lit(Decimal("0.00")).cast("decimal(22,2)")
-    subtotal = F.coalesce(F.col("subtotal"), zero)
-    discount = F.coalesce(F.col("discount"), zero)
-    tax = F.coalesce(F.col("tax"), zero)
-    tip = F.when(F.col("o_orderstatus") == "F", zero).otherwise(
-        (subtotal.cast(MONEY) * F.lit(Decimal("0.15"))).cast("decimal(22,2)")
-    )
-    sign = F.when(F.col("o_totalprice") < 3000, F.lit(-1)).otherwise(F.lit(1))
-    base = (
-        _placed_orders(spark, folder)
-        .join(_order_amounts(spark, folder), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            F.col("order_guid").alias("order_id"),
-            "location_id",
-            "business_date",
-            "order_guid",
-            _clock_text().alias("order_time"),
-            kind.alias("order_type"),
-            ((subtotal - discount + tax + tip) * sign).cast("double").alias("total_amount"),
-            subtotal.cast("double").alias("subtotal"),
-            tax.cast("double").alias("tax_amount"),
-            tip.cast("double").alias("tip_amount"),
-            discount.cast("double").alias("discount_amount"),
-            (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("created_at"),
-            F.col("o_orderstatus").alias("status"),
-        )
-    )
-    copies = F.when(F.col("status") == "P", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    again = F.col("copy") == 1
-    return base.withColumn("copy", F.explode(copies)).select(
-        "order_id", "location_id", "business_date", "order_guid", "order_time",
-        F.when(again, "Takeout").otherwise(F.col("order_type")).alias("order_type"),
-        "total_amount", "subtotal", "tax_amount",
-        F.when(again, 0.0).otherwise(F.col("tip_amount")).alias("tip_amount"),
-        "discount_amount",
-        F.when(again, F.col("created_at") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("created_at")).alias("created_at"),
+    placed = _placed_orders(spark, folder).join(
+        _order_amounts(spark, folder), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    )
+    kind = F.expr(
+        """CASE o_orderpriority WHEN '1-URGENT' THEN 'DELIVERY' WHEN '2-HIGH' THEN 'Take Out' WHEN '3-MEDIUM' THEN 'Dine In'
+           WHEN '4-NOT SPECIFIED' THEN 'UNKNOWN' ELSE CASE WHEN o_orderstatus <> 'P' THEN 'API' END END"""
+    )
+    amounts = placed.select(
+        "order_guid", "location_id", "business_date", "o_orderstatus", "o_orderdate",
+        _clock_text().alias("order_time"),
+        kind.alias("order_type"),
+        F.expr("coalesce(subtotal, 0L)").alias("sub"),
+        F.expr("coalesce(discount, 0L)").alias("disc"),
+        F.expr("coalesce(tax, 0L)").alias("tax"),
+        F.expr("CASE WHEN o_orderstatus = 'F' THEN 0L ELSE (coalesce(subtotal, 0L) * 15 + 50) div 100 END").alias("tip"),
+        F.expr("CASE WHEN o_totalprice < 3000 THEN -1 ELSE 1 END").alias("sign"),
+        F.expr("explode(CASE WHEN o_orderstatus = 'P' THEN array(0, 1) ELSE array(0) END)").alias("copy"),
+    )
+    return amounts.select(
+        F.col("order_guid").alias("order_id"), "location_id", "business_date", "order_guid", "order_time",
+        F.expr("CASE WHEN copy = 1 THEN 'Takeout' ELSE order_type END").alias("order_type"),
+        _amount("(sub - disc + tax + tip) * sign").alias("total_amount"),
+        _amount("sub").alias("subtotal"),
+        _amount("tax").alias("tax_amount"),
+        _amount("CASE WHEN copy = 1 THEN 0L ELSE tip END").alias("tip_amount"),
+        _amount("disc").alias("discount_amount"),
+        F.expr("CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(1 + copy)").alias("created_at"),
     )
 
 
 def _item_name() -> Column:
-    noun = F.element_at(F.split("p_name", " "), -1)
-    name = F.when(
-        (F.col("p_type") == "PROMO") & (F.col("p_size") == 13), F.lit("")
-    )
-    for word, sign in NOUN_SIGNS.items():
-        named = (
-            F.when(F.col("p_size") >= 40, F.concat(F.lit(sign + " "), F.col("p_name"), F.lit(" (8)")))
-            .when(F.col("p_size") >= 20, F.concat(F.col("p_name"), F.lit("  ⭐ " + sign)))
-            .when(F.col("p_size") >= 3, F.concat(F.col("p_name"), F.lit(" " + sign)))
-            .otherwise(F.lit(sign))
-        )
-        name = name.when(noun == word, named)
-    return name.otherwise(F.col("p_name"))
+    signs = " ".join(f"WHEN '{word}' THEN '{sign}'" for word, sign in NOUN_SIGNS.items())
+    sign = f"CASE element_at(split(p_name, ' '), -1) {signs} END"
+    return F.expr(
+        f"""CASE WHEN p_type = 'PROMO' AND p_size = 13 THEN '' WHEN {sign} IS NULL THEN p_name
+            WHEN p_size >= 40 THEN concat({sign}, ' ', p_name, ' (8)') WHEN p_size >= 20 THEN concat(p_name, '  ⭐ ', {sign})
+            WHEN p_size >= 3 THEN concat(p_name, ' ', {sign}) ELSE {sign} END"""
+    )
 
 
 def _kind_name() -> Column:
-    return (
-        F.when(F.col("p_type") == "SMALL", "Beverages")
-        .when(F.col("p_type") == "LARGE", "Wine")
-        .otherwise(F.col("p_type"))
-    )
+    return F.expr("CASE p_type WHEN 'SMALL' THEN 'Beverages' WHEN 'LARGE' THEN 'Wine' ELSE p_type END")
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,20 +142,17 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quantity() -> Column:
-    return F.when((F.col("l_linenumber") == 7) & (F.col("l_linestatus") == "O"), F.lit(0).cast("long")).otherwise(
-        F.col("l_quantity").cast("long")
-    )
+    return F.expr("CASE WHEN l_linenumber = 7 AND l_linestatus = 'O' THEN 0L ELSE CAST(l_quantity AS BIGINT) END")
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    price = _line_money()["price"].cast("double")
     return _lines(spark, folder).select(
         "order_guid",
         "item_name",
-        F.when(F.col("l_returnflag") == "A", "").otherwise(F.col("kind")).alias("category"),
+        F.expr("CASE WHEN l_returnflag = 'A' THEN '' ELSE kind END").alias("category"),
         _quantity().alias("quantity"),
-        price.alias("prediscount_total"),
-        price.alias("total_price"),
+        _amount(LINE_PRICE).alias("prediscount_total"),
+        _amount(LINE_PRICE).alias("total_price"),
         "location_id",
         "business_date",
     )
@@ -209,7 +168,7 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
     return _placed_orders(spark, folder).select(
         "order_guid",
         method.alias("payment_method"),
-        _money(F.col("o_totalprice"), "0.001").cast("double").alias("amount"),
+        _amount(_cents("o_totalprice", 1, 1000)).alias("amount"),
         _clock_text().alias("payment_date"),
         "location_id",
         "business_date",
@@ -267,7 +226,7 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("high") >= 20, F.col("category")).otherwise("").alias("category"),
             stock.alias("current_stock"),
             level.alias("reorder_level"),
-            F.when(~F.col("item_name").startswith("new"), _money(F.col("price"), "0.0004").cast("double")).alias("unit_cost"),
+            F.when(~F.col("item_name").startswith("new"), _amount(_cents("price", 4, 10000))).alias("unit_cost"),
             F.lit(None).cast("string").alias("last_ordered"),
             "snapshot_date",
             status.alias("status"),
@@ -310,12 +269,9 @@ def time_entries(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "signup", "site_0")
         .otherwise("site_3")
     )
-    worked = F.least(_money(F.col("value"), "0.1"), F.lit(Decimal("14.00")).cast(MONEY))
-    eight = F.lit(Decimal("8.00")).cast(MONEY)
-    regular = F.least(worked, eight)
-    cash = _money(F.col("value"), "0.05")
-    card = _money(F.col("value"), "0.10")
-    hours = worked.cast("double")
+    worked = f"least({_cents('value', 1, 10)}, 1400L)"
+    cash, card = _cents("value", 5, 100), _cents("value", 10, 100)
+    hours = _amount(worked)
     return _table(spark, folder, "events").select(
         place.alias("location_id"),
         F.date_format("ts", "yyyyMMdd").alias("business_date"),
@@ -325,12 +281,12 @@ def time_entries(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("clock_out_time"),
         hours.alias("total_hours"),
         hours.alias("payable_hours"),
-        regular.cast("double").alias("regular_hours"),
-        (worked - regular).cast("double").alias("overtime_hours"),
-        cash.cast("double").alias("cash_tips"),
-        card.cast("double").alias("non_cash_tips"),
+        _amount(f"least({worked}, 800L)").alias("regular_hours"),
+        _amount(f"greatest({worked} - 800L, 0L)").alias("overtime_hours"),
+        _amount(cash).alias("cash_tips"),
+        _amount(card).alias("non_cash_tips"),
         F.lit(0.0).alias("total_gratuity"),
-        (cash + card).cast("double").alias("total_tips"),
+        _amount(f"{cash} + {card}").alias("total_tips"),
         F.lit(15.0).alias("wage"),
         (hours * 60).cast("long").alias("duration_minutes"),
     )
@@ -526,14 +482,13 @@ def profile_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_payload(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as nested documents: one check per line status, one selection per line."""
-    money = _line_money()
     contact = _contact()
     selection = F.struct(
         (F.col("l_returnflag") == "N").alias("voided"),
         F.col("item_name").alias("displayName"),
         F.when(F.col("l_linenumber") != 6, _quantity()).alias("quantity"),
-        money["price"].cast("double").alias("preDiscountPrice"),
-        F.when(F.col("l_linenumber") != 5, (money["price"] - money["discount"]).cast("double")).alias("price"),
+        _amount(LINE_PRICE).alias("preDiscountPrice"),
+        F.when(F.col("l_linenumber") != 5, _amount(f"{LINE_PRICE} - {LINE_DISCOUNT}")).alias("price"),
         F.when(F.col("l_returnflag") != "A", F.struct(F.col("kind").alias("name"))).alias("salesCategory"),
         F.when(F.col("l_linenumber") <= 2, F.array(F.struct(F.lit("extra").alias("displayName")))).alias("modifiers"),
     )
@@ -542,12 +497,12 @@ def order_payload(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey", "l_linestatus")
         .agg(
             F.collect_list(selection).alias("selections"),
-            F.sum(money["price"]).alias("amount"),
-            F.sum(money["discount"]).alias("discount"),
-            F.sum(money["tax"]).alias("tax"),
+            F.expr(f"sum({LINE_PRICE})").alias("amount"),
+            F.expr(f"sum({LINE_DISCOUNT})").alias("discount"),
+            F.expr(f"sum({LINE_TAX})").alias("tax"),
         )
     )
-    total = F.col("amount") - F.col("discount") + F.col("tax")
+    total = _amount("amount - discount + tax")
     documents = (
         _placed_orders(spark, folder)
         .join(checks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -564,23 +519,23 @@ def order_payload(spark: SparkSession, folder: str) -> DataFrame:
                     F.col("l_linestatus").isNotNull(),
                     F.struct(
                         ((F.col("l_linestatus") == "F") & (F.col("o_orderpriority") == "2-HIGH")).alias("voided"),
-                        total.cast("double").alias("totalAmount"),
-                        F.col("amount").cast("double").alias("amount"),
-                        F.when(F.col("tax") > 0, F.col("tax").cast("double")).alias("taxAmount"),
+                        total.alias("totalAmount"),
+                        _amount("amount").alias("amount"),
+                        F.when(F.col("tax") > 0, _amount("tax")).alias("taxAmount"),
                         F.array(
                             F.struct(
                                 F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("type"),
-                                total.cast("double").alias("amount"),
+                                total.alias("amount"),
                                 F.when(
                                     F.col("o_orderstatus") != "F",
-                                    (F.col("amount").cast(MONEY) * F.lit(Decimal("0.15"))).cast(MONEY).cast("double"),
+                                    _amount("(amount * 15 + 50) div 100"),
                                 ).alias("tipAmount"),
                                 F.lit("2001-08-01").alias("paidDate"),
                             )
                         ).alias("payments"),
                         F.when(
                             F.col("discount") > 0,
-                            F.array(F.struct(F.col("discount").cast("double").alias("discountAmount"))),
+                            F.array(F.struct(_amount("discount").alias("discountAmount"))),
                         ).alias("appliedDiscounts"),
                         F.col("selections"),
                         F.struct(
