@@ -10,21 +10,14 @@ from pyspark.sql import functions as F
 
 DAY_FORMAT = "yyyyMMdd"
 
-# Text forms of times in the sources.
-ISO_ZULU_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X"
+# Shapes of days and times in the sources. A text is parsed only when it has
+# the shape, so unreadable texts cost a match and no exception.
+DAY_SHAPE = r"^\d{8}$"
+ZULU_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+US_CLOCK_SHAPE = r"^\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{2} [AaPp][Mm]$"
 US_CLOCK_FORMAT = "M/d/yy h:mm a X"
-OFFSET_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XX",
-)
-ISO_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]XXX",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]XX",
-    "yyyy-MM-dd HH:mm[:ss][.SSSSSS]XXX",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]",
-    "yyyy-MM-dd HH:mm[:ss][.SSSSSS]",
-    "yyyy-MM-dd",
-)
+OFFSET_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 LAST_YEAR_OF_TWO_DIGITS = 2068
 
 
@@ -45,7 +38,8 @@ def mean_cents(amount: Column) -> Column:
 
 def parse_day(text: Column) -> Column:
     """YYYYMMDD text to a date, NULL when it is none."""
-    return F.try_to_timestamp(text, F.lit(DAY_FORMAT)).cast("date")
+    dashed = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    return F.when(text.rlike(DAY_SHAPE), dashed.try_cast("date"))
 
 
 def day_text(day: Column) -> Column:
@@ -65,23 +59,28 @@ def parse_clock(text: Column) -> Column:
 
     Two-digit years above 68 belong to the twentieth century.
     """
-    iso = F.when(text.endswith("Z"), F.try_to_timestamp(text, F.lit(ISO_ZULU_FORMAT)))
-    short = F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(US_CLOCK_FORMAT))
+    iso = _shaped_time(text, ZULU_SHAPE)
+    short = F.when(
+        text.rlike(US_CLOCK_SHAPE), F.try_to_timestamp(F.concat(text, F.lit(" Z")), F.lit(US_CLOCK_FORMAT))
+    )
     short = F.when(
         F.year(short) > LAST_YEAR_OF_TWO_DIGITS, short - F.make_ym_interval(F.lit(100))
     ).otherwise(short)
     return F.coalesce(iso, short)
 
 
+def _shaped_time(text: Column, shape: str) -> Column:
+    return F.when(text.rlike(shape), text.try_cast("timestamp"))
+
+
 def parse_offset_time(text: Column) -> Column:
     """Snapshot times with `Z`, `+hhmm` or `+hh:mm`, with or without a fraction."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in OFFSET_FORMATS])
+    return _shaped_time(text, OFFSET_SHAPE)
 
 
 def parse_iso_time(text: Column) -> Column:
     """Any ISO time text; a text without an offset is read as UTC."""
-    trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in ISO_FORMATS])
+    return _shaped_time(F.trim(text), ISO_SHAPE)
 
 
 def utc_text(moment: Column) -> Column:

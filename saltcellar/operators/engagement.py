@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltcellar.functions.calendar import holiday_name
-from saltcellar.functions.columns import cents, ratio
+from saltcellar.functions.columns import cents, parse_day, parse_iso_time, ratio
 from saltcellar.functions.stats import correlation, quantiles
 from saltcellar.operators.tagging import TOPICS, keyword_flags
 from saltcellar.session import settle
@@ -48,9 +48,7 @@ def _number(df: DataFrame, name: str) -> Column:
 def _as_date(df: DataFrame, name: str) -> Column:
     if dict(df.dtypes)[name] == "string":
         text = F.col(name)
-        return F.coalesce(
-            F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
-        ).cast("date")
+        return F.coalesce(parse_day(text), F.to_date(parse_iso_time(text)))
     return F.col(name).cast("date")
 
 

@@ -11,7 +11,7 @@ QUERIES = {
     "order_items_clean": lambda t: t.items,
     "payments_clean": lambda t: t.payments,
     "daily_sales": lambda t: t.daily,
-    "item_performance": lambda t: views.item_performance(t.raw_items, t.name_map),
+    "item_performance": lambda t: views.item_performance(t.raw_items, t.stored_map),
     "customers_masked": lambda t: t.masked,
     "profiles_current": lambda t: views.profiles_current(t.profile_snapshots).select(
         "account_id", "account_label", "media_count", "followers_count", "snapshot_at", "snapshot_date", "source_run_id"
@@ -24,7 +24,7 @@ QUERIES = {
     "default_date_range": lambda t: views.default_date_range(t.raw_orders),
     "sales_summary": lambda t: sales.sales_summary(t.orders),
     "sales_by_channel": lambda t: sales.sales_by_channel(t.orders),
-    "menu_performance": lambda t: sales.menu_performance(t.raw_items, t.inventory),
+    "menu_performance": lambda t: sales.menu_performance(t.raw_items, t.stored_inventory),
     "menu_performance_qty": lambda t: sales.menu_performance_qty(t.items),
     "inventory_status": lambda t: sales.inventory_status(t.inventory, "20010801"),
     "inventory_status_latest": lambda t: sales.inventory_status_latest(t.inventory, "20010915"),
@@ -39,8 +39,8 @@ QUERIES = {
     "tip_alert": lambda t: sales.tip_alert(sales.tip_breakdown(sales.sales_by_channel(t.orders))),
     "inventory_alerts": lambda t: sales.inventory_alerts(sales.inventory_status(t.inventory, "20010801")),
     "overtime_alerts": lambda t: sales.overtime_alerts(sales.labor_entries(t.labor)),
-    "top_items_by_revenue": lambda t: sales.top_items(sales.menu_performance(t.raw_items, t.inventory), "revenue"),
-    "top_items_by_count": lambda t: sales.top_items(sales.menu_performance(t.raw_items, t.inventory), "order_count"),
+    "top_items_by_revenue": lambda t: sales.top_items(sales.menu_performance(t.raw_items, t.stored_inventory), "revenue"),
+    "top_items_by_count": lambda t: sales.top_items(sales.menu_performance(t.raw_items, t.stored_inventory), "order_count"),
     "labor_summary": lambda t: sales.labor_summary(sales.labor_entries(t.labor)),
     "labor_daily": lambda t: sales.labor_daily(sales.labor_entries(t.labor)),
     "labor_top_employees_by_hours": lambda t: sales.labor_top_employees(sales.labor_entries(t.labor)),

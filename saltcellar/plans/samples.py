@@ -73,7 +73,7 @@ class Samples:
 
     name_map = cached_property(lambda self: views.menu_canonical_map(self.raw_items, self.inventory))
     orders = cached_property(lambda self: views.orders_clean(self.raw_orders))
-    items = cached_property(lambda self: views.order_items_clean(self.raw_items, self.name_map))
+    items = cached_property(lambda self: views.order_items_clean(self.raw_items, self.stored_map))
     payments = cached_property(lambda self: views.payments_clean(self.raw_payments))
     daily = cached_property(lambda self: views.daily_sales(self.orders))
     masked = cached_property(lambda self: views.customers_masked(self.raw_customers))
@@ -95,6 +95,7 @@ class Samples:
     stored_items = cached_property(lambda self: self._stored("items"))
     stored_masked = cached_property(lambda self: self._stored("masked"))
     stored_inventory = cached_property(lambda self: self._stored("inventory"))
+    stored_map = cached_property(lambda self: self._stored("name_map"))
 
     @cached_property
     def gold(self) -> DataFrame:
