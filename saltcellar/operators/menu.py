@@ -370,7 +370,7 @@ def promo_opportunities(gold: DataFrame, min_store_days: int = MIN_STORE_DAYS) -
         )
         .filter(F.col("store_days") >= min_store_days)
         .withColumn("qty_lift_on_discount_days", F.col("avg_qty_discounted_days") - F.col("avg_qty_regular_days"))
-        .withColumn("price_range", F.round(F.col("max_price") - F.col("min_price"), 5))
+        .withColumn("price_range", F.round(F.col("max_price") - F.col("min_price"), 6))
     )
     raised = (F.col("discount_days") >= MIN_DISCOUNT_DAYS) & (F.col("qty_lift_on_discount_days") > 0)
     kind = F.when(raised, "Promo candidate").when(

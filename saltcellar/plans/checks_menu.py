@@ -155,7 +155,7 @@ SQL = {
               FROM m_flat, (SELECT median(popularity) AS pop_mid, median(avg_est_margin_per_unit) AS margin_mid FROM m_flat))""",
     "bundle_pairs": "SELECT * FROM m_pairs",
     "promo_opportunities": """
-        SELECT *, avg_qty_discounted_days - avg_qty_regular_days AS qty_lift_on_discount_days, round(max_price - min_price, 5) AS price_range,
+        SELECT *, avg_qty_discounted_days - avg_qty_regular_days AS qty_lift_on_discount_days, round(max_price - min_price, 6) AS price_range,
                CASE WHEN discount_days >= 5 AND avg_qty_discounted_days > avg_qty_regular_days THEN 'Promo candidate'
                     WHEN unique_prices >= 3 THEN 'Review price variation' ELSE 'Monitor' END AS opportunity_type FROM m_promo""",
     "price_margin_candidates": "SELECT * FROM m_recs WHERE recommended_action NOT IN ('Promote', 'Bundle')",

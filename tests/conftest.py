@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "10000",
+            "spark.sql.debug.maxToStringFields": "500",
             "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
