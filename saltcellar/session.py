@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,11 @@ def _shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="saltcellar-")
 
 

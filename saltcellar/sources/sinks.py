@@ -20,10 +20,14 @@ def write_table(
 ) -> int:
     """Parquet (snappy) under one folder per location, sorted inside for row-group pruning.
 
-    Returns the rows written, counted by the write itself.
+    Rows of a location are brought together first, so a folder gets few files; Spark splits
+    a location that is too large for one task (rebalance). Returns the rows written, counted
+    by the write itself.
     """
     seen = Observation()
     rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
     sort = [c for c in (*partition_by, *order_by) if c in df.columns]
     if sort:
         rows = rows.sortWithinPartitions(*sort)
@@ -36,7 +40,10 @@ def write_table(
 
 def write_csv(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ("location_id",)) -> int:
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("header", True)
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    writer = rows.write.mode(mode).option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
