@@ -22,21 +22,21 @@ QUERIES = {
     "locations": lambda t: views.locations(t.raw_orders),
     "available_dates": lambda t: views.available_dates(t.raw_orders),
     "default_date_range": lambda t: views.default_date_range(t.raw_orders),
-    "sales_summary": lambda t: sales.sales_summary(t.orders),
-    "sales_by_channel": lambda t: sales.sales_by_channel(t.orders),
+    "sales_summary": lambda t: sales.sales_summary(t.stored_orders),
+    "sales_by_channel": lambda t: sales.sales_by_channel(t.stored_orders),
     "menu_performance": lambda t: sales.menu_performance(t.raw_items, t.stored_inventory),
-    "menu_performance_qty": lambda t: sales.menu_performance_qty(t.items),
+    "menu_performance_qty": lambda t: sales.menu_performance_qty(t.stored_items),
     "inventory_status": lambda t: sales.inventory_status(t.inventory, "20010801"),
     "inventory_status_latest": lambda t: sales.inventory_status_latest(t.inventory, "20010915"),
     "reviews": lambda t: sales.reviews(t.reviews, start="20010101", end="20011231", sentiment="positive"),
     "labor_entries": lambda t: sales.labor_entries(t.labor),
     "daily_drivers": lambda t: sales.daily_drivers(t.daily),
-    "daily_drivers_raw": lambda t: sales.daily_drivers_raw(t.orders),
-    "weekday_index": lambda t: sales.weekday_index(t.orders),
-    "summary_metrics": lambda t: sales.summary_metrics(sales.sales_summary(t.orders)),
-    "week_over_week": lambda t: sales.week_over_week(sales.sales_summary(t.orders)),
-    "tip_breakdown": lambda t: sales.tip_breakdown(sales.sales_by_channel(t.orders)),
-    "tip_alert": lambda t: sales.tip_alert(sales.tip_breakdown(sales.sales_by_channel(t.orders))),
+    "daily_drivers_raw": lambda t: sales.daily_drivers_raw(t.stored_orders),
+    "weekday_index": lambda t: sales.weekday_index(t.stored_orders),
+    "summary_metrics": lambda t: sales.summary_metrics(sales.sales_summary(t.stored_orders)),
+    "week_over_week": lambda t: sales.week_over_week(sales.sales_summary(t.stored_orders)),
+    "tip_breakdown": lambda t: sales.tip_breakdown(sales.sales_by_channel(t.stored_orders)),
+    "tip_alert": lambda t: sales.tip_alert(sales.tip_breakdown(sales.sales_by_channel(t.stored_orders))),
     "inventory_alerts": lambda t: sales.inventory_alerts(sales.inventory_status(t.inventory, "20010801")),
     "overtime_alerts": lambda t: sales.overtime_alerts(sales.labor_entries(t.labor)),
     "top_items_by_revenue": lambda t: sales.top_items(sales.menu_performance(t.raw_items, t.stored_inventory), "revenue"),

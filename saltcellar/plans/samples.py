@@ -75,7 +75,7 @@ class Samples:
     orders = cached_property(lambda self: views.orders_clean(self.raw_orders))
     items = cached_property(lambda self: views.order_items_clean(self.raw_items, self.stored_map))
     payments = cached_property(lambda self: views.payments_clean(self.raw_payments))
-    daily = cached_property(lambda self: views.daily_sales(self.orders))
+    daily = cached_property(lambda self: views.daily_sales(self.stored_orders))
     masked = cached_property(lambda self: views.customers_masked(self.raw_customers))
     media = cached_property(lambda self: views.media_current(self.media_snapshots))
 
