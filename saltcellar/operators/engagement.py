@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -251,14 +250,6 @@ def lag_kernel(peaks: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     return peaks.withColumn("weights", F.transform(raw, lambda w: w / total))
 
 
-def kernel_weights(peak: int, max_lag: int = MAX_LAG) -> list[float]:
-    """The weights of `lag_kernel` for one known peak."""
-    peak = max(1, min(max_lag, peak))
-    sigma = max(1.5, peak / 2.5)
-    raw = [math.exp(-0.5 * ((n - peak) / sigma) ** 2) for n in range(1, max_lag + 1)]
-    return [w / sum(raw) for w in raw]
-
-
 def distributed_lag(features: DataFrame, kernels: DataFrame, outcome: str = "revenue") -> DataFrame:
     """Each signal's lags weighted by its kernel; values before the start count as zero."""
     chosen = kernels.filter(F.col("outcome") == outcome).select("location_id", "signal", "weights")

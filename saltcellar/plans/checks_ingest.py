@@ -181,7 +181,7 @@ QUERIES = {
     "flatten_payments": lambda t: payloads.flatten_payments(t.order_documents, F.col(PLACE)),
     "flatten_customers": lambda t: payloads.flatten_customers(t.order_documents, F.col(PLACE)),
     "flatten_menus": lambda t: payloads.flatten_menus(
-        t._documents(t.menu_payload, schemas.MENU_PAYLOAD), F.lit("demo_asia"), "20010801"
+        t.menu_documents, F.lit("demo_asia"), "20010801"
     ),
     "first_nested": lambda t: t.order_documents.select(
         "businessDate", "location_id", "openedDate",
@@ -190,7 +190,7 @@ QUERIES = {
         payloads.first_nested("diningOption.name").alias("dining"),
     ),
     "profile_snapshot": lambda t: payloads.profile_snapshot(
-        t._documents(t.profile_payload, schemas.PROFILE_PAYLOAD), F.lit(" "), F.lit("run-1"), F.lit("UTC")
+        t.profile_documents, F.lit(" "), F.lit("run-1"), F.lit("UTC")
     ),
     "media_snapshots": lambda t: payloads.media_snapshots(
         payloads.insights_pivot(t.media_documents), F.concat(F.lit("acct_"), F.col("account")), F.col("account"), F.lit(None).cast("string"), F.lit("run-1")
@@ -198,6 +198,9 @@ QUERIES = {
     "timestamp_normalize": lambda t: t.media_documents.select(
         "id", F.col("timestamp").alias("given"), payloads.timestamp_normalize(F.col("timestamp")).alias("utc")
     ),
+    "parse_payload_texts": lambda t: files.parse_payload(
+        t.media_payload.select("account", F.to_json(F.struct("id", "insights")).alias("document")), "document", schemas.MEDIA_PAYLOAD.replace("account string, ", ""), ["account"]
+    ).select("account", "id", F.size("insights").alias("metrics")),
     "insights_pivot": lambda t: payloads.insights_pivot(t.media_documents).select("id", "reach", "saved", "shares"),
     "media_window": lambda t: payloads.media_window(t.media_documents, "1998-02-01", "1998-12-31").select("id", "timestamp"),
     "customer_coverage": lambda t: coverage.customer_coverage(t.order_documents),
@@ -206,7 +209,7 @@ QUERIES = {
     "dining_option_coverage": lambda t: coverage.dining_option_coverage(t.order_documents),
     "dining_option_names": lambda t: coverage.dining_option_names(t.order_documents),
     "server_coverage": lambda t: coverage.server_coverage(t.order_documents),
-    "menu_profile": lambda t: coverage.menu_profile(t._documents(t.menu_payload, schemas.MENU_PAYLOAD)),
+    "menu_profile": lambda t: coverage.menu_profile(t.menu_documents),
 }
 
 BLOCKS = {
@@ -314,6 +317,7 @@ SQL = {
                      'media_url': 'https://media.example/' || media_id, 'thumbnail_url': NULL}])::VARCHAR END AS children_json,
                CASE WHEN media_type = 'CAROUSEL_ALBUM' THEN 2 ELSE 0 END AS child_count, 'run-1' AS source_run_id FROM p_iso""",
     "timestamp_normalize": "SELECT media_id AS id, stamp AS given, utc FROM p_iso",
+    "parse_payload_texts": "SELECT account, media_id AS id, 3 AS metrics FROM media_base",
     "insights_pivot": """
         SELECT media_id AS id, CAST(n_chars % 3001 AS VARCHAR) AS reach, CAST(n_chars % 7 AS VARCHAR) AS saved,
                CASE WHEN lang <> 'de' THEN CAST(n_chars % 5 AS VARCHAR) END AS shares FROM media_stamped""",

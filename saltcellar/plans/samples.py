@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar.operators import customers, menu, views
-from saltcellar.schemas import MEDIA_PAYLOAD, ORDER_PAYLOAD
+from saltcellar.schemas import MEDIA_PAYLOAD, MENU_PAYLOAD, ORDER_PAYLOAD, PROFILE_PAYLOAD
 from saltcellar.session import prepare, scratch_path
 from saltcellar.sources import sample, sinks
-from saltcellar.sources.files import parse_payload
+from saltcellar.sources.files import read_payload
 
-# Stored clean views of this application: (application, folder, view) -> path.
+# Stored views and landed payloads of this application: (application, folder, name) -> path.
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -109,19 +109,19 @@ class Samples:
     def profiles(self) -> DataFrame:
         return customers.customer_profiles(self.stored_masked, self.stored_orders)
 
-    @cached_property
-    def order_documents(self) -> DataFrame:
-        """Order payloads after a trip through JSON text, as a landed file has them."""
-        return self._documents(self.order_payload, ORDER_PAYLOAD, "location_id")
-
-    @cached_property
-    def media_documents(self) -> DataFrame:
-        return self._documents(self.media_payload, MEDIA_PAYLOAD)
+    def _landed(self, payload: str, schema: str) -> DataFrame:
+        """The payload landed once as JSON files and read back with its schema."""
+        key = (self.spark.sparkContext.applicationId, self.folder, payload)
+        if key not in _STORED:
+            path = scratch_path(self.spark, payload)
+            getattr(self, payload).write.json(path)
+            _STORED[key] = path
+        return read_payload(self.spark, _STORED[key], schema)
 
-    @staticmethod
-    def _documents(payload: DataFrame, schema: str, *keep: str) -> DataFrame:
-        body = F.struct(*[c for c in payload.columns if c not in keep])
-        return parse_payload(payload.select(*keep, F.to_json(body).alias("document")), "document", schema, keep)
+    order_documents = cached_property(lambda self: self._landed("order_payload", f"location_id string, {ORDER_PAYLOAD}"))
+    media_documents = cached_property(lambda self: self._landed("media_payload", MEDIA_PAYLOAD))
+    menu_documents = cached_property(lambda self: self._landed("menu_payload", MENU_PAYLOAD))
+    profile_documents = cached_property(lambda self: self._landed("profile_payload", PROFILE_PAYLOAD))
 
     @cached_property
     def addresses(self) -> DataFrame:

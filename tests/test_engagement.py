@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kernels import kernel_weights
 from saltcellar.functions.calendar import holiday_name
 from saltcellar.operators import engagement, tagging
 
@@ -78,7 +79,7 @@ def test_lag_measures_against_pandas(spark):
     assert peaks["a", "revenue", "engagement_index"] == int(np.argmax(values)) + 1 and peaks["a", "revenue", "event_topic_share"] == 1
     kernels = engagement.lag_kernel(engagement.peak_lag(correlations))
     weights = kernels.filter("location_id = 'a' AND outcome = 'revenue' AND signal = 'engagement_index'").first()
-    assert weights["weights"] == pytest.approx(engagement.kernel_weights(weights["peak_lag"])) and sum(weights["weights"]) == pytest.approx(1.0)
+    assert weights["weights"] == pytest.approx(kernel_weights(weights["peak_lag"])) and sum(weights["weights"]) == pytest.approx(1.0)
     spread = engagement.distributed_lag(df, kernels).filter("location_id = 'a' AND signal = 'engagement_index'").orderBy("date").toPandas()
     expected = sum(w * one["engagement_index"].shift(n).fillna(0.0) for n, w in enumerate(weights["weights"], start=1))
     assert spread["distributed"].to_numpy() == pytest.approx(expected.to_numpy(), abs=1e-5)

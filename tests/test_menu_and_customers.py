@@ -180,3 +180,13 @@ def test_distributions(spark, rows):
     expected, _ = np.histogram(clipped, bins=4)
     assert {r["bin"]: r["customers"] for r in bins} == {n: c for n, c in enumerate(expected) if c}
     assert customers.spend_histogram(df.limit(0)).count() == 0
+
+
+def test_one_order_with_most_lines(spark):
+    hot = [item("hot", f"n{n % 40:02d}", n % 7 + 1, float(n % 13 + 1)) for n in range(3000)]
+    cold = [item(str(n), f"n{n % 40:02d}", 1, 5.0) for n in range(600)]
+    orders = [("hot", "a", DAY, 100.0, 1.0)] + [(str(n), "a", DAY, 1.0, 1.0) for n in range(600)]
+    got = gold_of(spark, hot + cold, orders).groupBy("order_guid").agg(F.count(F.lit(1)).alias("n"), F.sum("alloc_discount").alias("d"))
+    found = {r["order_guid"]: r for r in got.collect()}
+    assert found["hot"]["n"] == 3000 and found["hot"]["d"] == pytest.approx(100.0)
+    assert len(found) == 601 and all(r["d"] == pytest.approx(1.0) for k, r in found.items() if k != "hot")

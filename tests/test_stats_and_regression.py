@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kernels import kernel_weights
 from saltcellar.functions import stats
 from saltcellar.operators import engagement, regression
 
@@ -112,7 +113,7 @@ def test_dynamic_panel_against_explicit_dummies(spark):
                 best[lag] = round(float(np.corrcoef(pair["x"], pair["revenue"])[0, 1]), 8)
         peak = max(best, key=best.get)
         assert best[peak] > 0 and got[s]["peak_lag"] == peak
-        weights = engagement.kernel_weights(peak)
+        weights = kernel_weights(peak)
         values = sum(w * daily[s].shift(n).fillna(0.0) for n, w in enumerate(weights, start=1))
         rows[f"dl_{s}"] = rows["date"].map(values.round(6))
     rows["y"] = np.log1p(rows["revenue"])

@@ -155,3 +155,11 @@ def test_optional_review_predicates(spark):
 def test_overtime_bound_is_exclusive(spark, rows):
     df = spark.createDataFrame([("d1", 8.0), ("d2", 5.0), ("d2", 3.01)], "date string, overtime_hours double")
     assert [r["date"] for r in rows(sales.overtime_alerts(df))] == ["d2"]
+
+
+def test_one_order_with_most_copies(spark, rows):
+    copies = orders(spark, {"order_guid": "hot"}).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(20_000))))
+    copies = copies.withColumn("created_at", F.col("created_at") + F.make_dt_interval(mins=F.col("n").cast("int"))).withColumn("total_amount", F.col("n").cast("double")).drop("n")
+    raw = copies.repartition(8).unionByName(orders(spark, *[{"order_guid": str(n)} for n in range(50)]))
+    got = {r["order_guid"]: r["total_amount"] for r in rows(views.orders_clean(raw))}
+    assert len(got) == 51 and got["hot"] == 0.0
