@@ -48,7 +48,7 @@ CURVE_SCHEMA = "predictor string, lag int, effect_pct double"
 def driver_features(daily: DataFrame) -> DataFrame:
     """Mixes, rates and dummies per store-day, complete rows only.
 
-    `store_b` marks the second location in name order; it is NULL-free only when there is one.
+    `store_b` marks the second location in name order; it is NULL when there is only one.
     """
     first_two = [r[0] for r in daily.select("location_id").distinct().filter("location_id IS NOT NULL").orderBy("location_id").limit(2).collect()]
     store_b = (F.col("location_id") == first_two[1]).cast("int") if len(first_two) == 2 else F.lit(None).cast("int")
