@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saltcellar.llm import mixing
+from saltcellar.llm import decontaminate, mixing
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +57,16 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the test items found in it; the list is empty for clean ones."""
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"),
+                        (F.col("n_items") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
     "op9_mix_sources": "WITH " + MIX_SQL.format(sizes=SIZES_SQL.format(documents="documents"))
