@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import decontaminate, mixing, quality
+from saltcellar.llm import decontaminate, linededup, mixing, quality
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ mixed AS (
 """
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -68,12 +73,39 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_items") > 0).alias("contaminated"))
 
 
+# Plain levenshtein over all pairs of lines whose lengths allow it takes the place of the segment index.
+LINES_SQL = """
+lines AS (
+  SELECT doc_id, pos - 1 AS pos, line, lower(trim(line, ' ')) AS norm
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM {documents})
+),
+judged AS (SELECT * FROM lines WHERE length(norm) >= 10),
+kinds AS (SELECT norm, min(doc_id * 1000000 + pos) AS first, length(norm) AS size FROM judged GROUP BY norm),
+near AS (
+  SELECT DISTINCT b.norm FROM kinds a JOIN kinds b
+  ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.first < b.first AND a.size >= 40 AND b.size >= 40
+  WHERE levenshtein(a.norm, b.norm) <= 2
+),
+marked AS (
+  SELECT l.*, coalesce(k.first <> l.doc_id * 1000000 + l.pos, false) AS exact, n.norm IS NOT NULL AND length(l.norm) >= 10 AS near
+  FROM lines l LEFT JOIN kinds k ON k.norm = l.norm AND length(l.norm) >= 10 LEFT JOIN near n ON n.norm = l.norm
+),
+deduped AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT exact AND NOT near), '') AS text, count(*)::INT AS n_lines,
+         count(*) FILTER (WHERE exact)::INT AS n_exact, count(*) FILTER (WHERE near AND NOT exact)::INT AS n_near
+  FROM marked GROUP BY doc_id
+)
+"""
+
 QUERIES: dict[str, Query] = {
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
+    "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",
     "op9_mix_sources": "WITH " + MIX_SQL.format(sizes=SIZES_SQL.format(documents="documents"))
     + " SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mixed",
 }
