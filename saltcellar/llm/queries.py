@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import decontaminate, linededup, mixing, quality
+from saltcellar.llm import decontaminate, jaccard, linededup, mixing, quality
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ mixed AS (
 """
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_exact", "n_near")
@@ -99,6 +103,7 @@ deduped AS (
 """
 
 QUERIES: dict[str, Query] = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
