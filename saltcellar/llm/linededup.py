@@ -83,6 +83,7 @@ def near_pairs(documents: DataFrame, lines: DataFrame, key: str, most: int = MOS
     rows = stored(rows.select("line", line.alias("text")).dropDuplicates(["line"]), "line-texts")
     one, two = (rows.select(F.col("line").alias(n), F.col("text").alias(f"{n}_text")) for n in ("low", "high"))
     compared = pairs.join(one, "low").join(two, "high")
+    compared = compared.filter(may_be_near(F.col("low_text"), F.col("high_text"), most))
     return compared.filter(within_edits(F.col("low_text"), F.col("high_text"), most)).select("low", "high")
 
 
@@ -97,9 +98,9 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
     first = sum(sum(1 << (most + e) for e in range(d + 1)) << (width * d) for d in range(most + 1))
 
-    def step(state: Column, j: Column) -> Column:
-        at = F.get(chars["b"], j)
-        equal = [F.when(F.get(chars["a"], j + (c - most)) == at, F.lit(1 << c)).otherwise(F.lit(0)) for c in range(width)]
+    def step(both: Column, state: Column, j: Column) -> Column:
+        at = F.get(both["b"], j)
+        equal = [F.when(F.get(both["a"], j + (c - most)) == at, F.lit(1 << c)).otherwise(F.lit(0)) for c in range(width)]
         match = sum(equal[1:], equal[0]).cast("long")
         old = [F.shiftright(state, width * d).bitwiseAND(F.lit(full)) for d in range(most + 1)]
         new = old[0].bitwiseAND(match)
@@ -114,13 +115,28 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
 
     size_a, size_b = F.char_length(a), F.char_length(b)
     # An empty line splits into one empty string; judged lines are longer.
-    last = F.aggregate(F.sequence(F.lit(0), size_b - 1), F.lit(first).cast("long"), step)
+    steps = F.sequence(F.lit(0), size_b - 1)
+    # The characters are bound once per pair: named inside `step` they would be split again at every character.
+    last = F.transform(F.array(chars), lambda both: F.aggregate(steps, F.lit(first).cast("long"), lambda state, j: step(both, state, j)))[0]
     bit = F.shiftright(last, width * most).bitwiseAND(
         F.call_function("shiftleft", F.lit(1).cast("long"), size_a - size_b + most)
     )
     return F.when(F.abs(size_a - size_b) <= most, bit != 0).otherwise(False)
 
 
+def may_be_near(a: Column, b: Column, most: int) -> Column:
+    """False only for lines that are further apart: of 3 most parts of `a`, an edit touches one at the most, and the others
+    stand in `b` within `most` characters of their place."""
+    parts = 3 * most
+    length = F.floor(F.char_length(a) / parts).cast("int")
+    found = [
+        F.call_function("locate", F.substring(a, length * i + 1, length), F.substring(b, F.greatest(length * i + 1 - most, F.lit(1)), length + 2 * most)) > 0
+        for i in range(parts)
+    ]
+    kept = sum((f.cast("int") for f in found[1:]), found[0].cast("int"))
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (kept >= parts - most)
+
+
 def repeated_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_EDITS) -> DataFrame:
     """Lines to take out: (doc, row, exact, near), arrays of line numbers from 0; documents without such lines are left out.
 
@@ -130,7 +146,7 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_E
     lines = stored(line_table(documents, key, most), "lines")
     place = F.struct("doc", "row", "pos")
     classes = lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_pairs(documents, lines, key, most)
+    near = stored(near_pairs(documents, lines, key, most), "line-near")
     both = near.select(F.col("low").alias("line"), "low", "high").union(near.select("high", "low", "high"))
     firsts = lines.join(both.select("line").distinct(), (F.col("id") == F.col("line.id")) & (F.col("id2") == F.col("line.id2")), "left_semi")
     firsts = stored(firsts.groupBy("id", "id2").agg(F.min(place).alias("first")).select(F.struct("id", "id2").alias("line"), "first"), "line-firsts")
