@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import stored, text_of
+from saltcellar.llm.shared import sent_if_small, stored, text_of
 
 WINDOW_WORDS, WINDOW_STEP = 20, 5
 EDIT_SHARE = 0.06
@@ -152,5 +152,5 @@ def contaminated(
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents without those in which a test item is found; all columns stay as they are."""
     found = contaminated(documents, benchmark, key, **settings).filter("n_items > 0")
-    bad = stored(found.select(F.col(key).alias("_bad")).distinct(), "contaminated")  # its size on disk decides the join
+    bad = sent_if_small(stored(found.select(F.col(key).alias("_bad")).distinct(), "contaminated"))
     return documents.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.llm.components import components
 from saltcellar.llm.grouped import block_tasks, earlier_shared, link_report, run_tasks, spans, whole_groups
-from saltcellar.llm.shared import stored, text_of
+from saltcellar.llm.shared import sent_if_small, stored, text_of
 from saltcellar.llm.tokens import constants, mix, shingles, slabs, word_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -257,7 +257,8 @@ def similar_documents(
     members = stored(judged.join(chosen, "node", "left_semi"), "members")
     paths = members.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     wanted = stored(sets.join(paths, F.col("class") == F.col("id")).select("id", "n", "place.*", "nodes"), "wanted")
-    found = texts.join(wanted.drop("nodes"), F.col("at.key").eqNullSafe(F.col("key")) & (wanted["text_id"] == texts["text_id"]))
+    places = sent_if_small(wanted.select("id", "n", "key", F.col("text_id").alias("of")))
+    found = texts.join(places, F.col("at.key").eqNullSafe(F.col("key")) & (F.col("text_id") == F.col("of")))
     found = found.select("id", "n", "text").dropDuplicates(["id"])
     payload = stored(found.mapInPandas(_shingle_sets, "id bigint, n bigint, shingles binary"), "shingles")
     dealt = block_tasks(members).join(payload, "id").join(wanted.select("id", "nodes"), "id")
@@ -293,5 +294,5 @@ def _low_bytes(sketch: str):
 def keep_one(documents: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents of which one of each group of similar ones stays, with all their columns."""
     gone = similar_documents(documents, key, **settings).filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    gone = stored(gone, "similar")
+    gone = sent_if_small(stored(gone, "similar"))
     return documents.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")

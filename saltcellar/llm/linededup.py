@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import stored, text_of
+from saltcellar.llm.shared import sent_if_small, stored, text_of
 
 MOST_EDITS = 2
 SHORTEST, SHORTEST_NEAR = 10, 40  # characters: shorter lines stay; below the second only equal lines are repeats
 LENGTH_STEP = 16
-BROADCAST_KEYS = 1_000_000  # shared substring keys (8 bytes each) that may be sent to every task
 
 
 def normal_line(line: Column) -> Column:
@@ -64,9 +63,7 @@ def near_pairs(documents: DataFrame, lines: DataFrame, key: str, most: int = MOS
     # Most keys belong to one line: counting finds the others, combined before the shuffle however often a line repeats.
     shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("indexed"))
     shared = stored(shared.filter("low != high AND indexed").select(F.col("key").alias("shared")), "line-keys")
-    if shared.count() <= BROADCAST_KEYS:
-        shared = F.broadcast(shared)
-    kept = entries.join(shared, F.col("key") == F.col("shared"), "left_semi")
+    kept = entries.join(sent_if_small(shared), F.col("key") == F.col("shared"), "left_semi")
     kept = stored(kept.groupBy("key", "id", "id2").agg(F.max("indexed").alias("indexed")), "line-entries")
     left = kept.filter("indexed").select("key", F.struct("id", "id2").alias("a"))
     right = kept.select("key", F.struct("id", "id2").alias("b"))
@@ -76,35 +73,65 @@ def near_pairs(documents: DataFrame, lines: DataFrame, key: str, most: int = MOS
     wanted = pairs.select(F.col("low").alias("line")).union(pairs.select("high")).distinct()
     places = lines.join(wanted, (F.col("id") == F.col("line.id")) & (F.col("id2") == F.col("line.id2")))
     places = places.groupBy("line").agg(F.min(F.struct("doc", "row", "pos")).alias("at"))
-    places = stored(places.select("line", "at.*"), "line-places")
+    places = sent_if_small(stored(places.select("line", "at.*"), "line-places"))
     texts = documents.select(F.col(key).alias("of"), text_of("text").alias("whole"))
     rows = texts.join(places, F.col("of").eqNullSafe(F.col("doc")) & (F.xxhash64("of", "whole") == F.col("row")))
     line = normal_line(F.element_at(F.split("whole", "\n", -1), F.col("pos") + 1))
     rows = stored(rows.select("line", line.alias("text")).dropDuplicates(["line"]), "line-texts")
     one, two = (rows.select(F.col("line").alias(n), F.col("text").alias(f"{n}_text")) for n in ("low", "high"))
     compared = pairs.join(one, "low").join(two, "high")
-    compared = compared.filter(may_be_near(F.col("low_text"), F.col("high_text"), most))
     return compared.filter(within_edits(F.col("low_text"), F.col("high_text"), most)).select("low", "high")
 
 
+def _bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once: an expression named inside a lambda would be computed at every step."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _without_common_front(pair: Column) -> Column:
+    """Two lines without their common beginning, on which the distance does not depend, and turned round; a character stays."""
+    a, b = pair["a"], pair["b"]
+    powers = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def longest(room: Column) -> Column:
+        # Doubling steps downwards: a step is taken where it fits and that much more is equal.
+        def step(held: Column, more: Column) -> Column:
+            equal = (more <= room - held) & (F.substring(a, held + 1, more) == F.substring(b, held + 1, more))
+            return F.when(equal, held + more).otherwise(held)
+
+        return F.aggregate(powers, F.lit(0), step)
+
+    front = _bind(F.least(F.char_length(a), F.char_length(b)) - 1, longest)
+    return _bind(
+        front, lambda p: F.struct(F.reverse(F.substring(a, p + 1, F.char_length(a))).alias("a"), F.reverse(F.substring(b, p + 1, F.char_length(b))).alias("b"))
+    )
+
+
 def within_edits(a: Column, b: Column, most: int) -> Column:
-    """Whether two lines are within `most` edits, by banded bit-parallel edit distance.
+    """Whether two non-empty lines are within `most` edits: common ends are cut off, the middle goes through a bit-parallel band."""
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= most
+    middle = _bind(_bind(F.struct(a.alias("a"), b.alias("b")), _without_common_front), _without_common_front)
+    return F.when(near, _bind(middle, lambda pair: _in_band(pair, most))).otherwise(False)
+
+
+def _in_band(pair: Column, most: int) -> Column:
+    """Banded bit-parallel edit distance of two lines whose lengths differ by `most` at the most.
 
-    After j characters of `b`, bit c of band d says that the first j + c - most characters of `a` can be had with d edits. A
+    After j characters of b, bit c of band d says that the first j + c - most characters of a can be had with d edits. A
     band has 2 most + 1 bits, and the most + 1 bands stand side by side in one long, so `most` can be 4 at the most.
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
     first = sum(sum(1 << (most + e) for e in range(d + 1)) << (width * d) for d in range(most + 1))
 
-    def step(both: Column, state: Column, j: Column) -> Column:
-        at = F.get(both["b"], j)
-        equal = [F.when(F.get(both["a"], j + (c - most)) == at, F.lit(1 << c)).otherwise(F.lit(0)) for c in range(width)]
-        match = sum(equal[1:], equal[0]).cast("long")
+    def step(chars: Column, state: Column, j: Column) -> Column:
+        at = F.get(chars["b"], j)
+        equal = [F.when(F.get(chars["a"], j + (c - most)) == at, F.lit(1 << c)).otherwise(F.lit(0)) for c in range(width)]
+        return _bind(sum(equal[1:], equal[0]).cast("long"), lambda match: moved(state, match))
+
+    def moved(state: Column, match: Column) -> Column:
         old = [F.shiftright(state, width * d).bitwiseAND(F.lit(full)) for d in range(most + 1)]
-        new = old[0].bitwiseAND(match)
-        packed = new
+        new = packed = old[0].bitwiseAND(match)
         for d in range(1, most + 1):
             # a matching or a replaced character; one more of b; one more of a
             new = old[d].bitwiseAND(match).bitwiseOR(old[d - 1]).bitwiseOR(F.shiftright(old[d - 1], 1)).bitwiseOR(
@@ -113,28 +140,13 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
             packed = packed.bitwiseOR(F.shiftleft(new, width * d))
         return packed
 
-    size_a, size_b = F.char_length(a), F.char_length(b)
-    # An empty line splits into one empty string; judged lines are longer.
-    steps = F.sequence(F.lit(0), size_b - 1)
-    # The characters are bound once per pair: named inside `step` they would be split again at every character.
-    last = F.transform(F.array(chars), lambda both: F.aggregate(steps, F.lit(first).cast("long"), lambda state, j: step(both, state, j)))[0]
-    bit = F.shiftright(last, width * most).bitwiseAND(
-        F.call_function("shiftleft", F.lit(1).cast("long"), size_a - size_b + most)
+    size_a, size_b = F.char_length(pair["a"]), F.char_length(pair["b"])
+    chars = F.struct(F.split(pair["a"], "").alias("a"), F.split(pair["b"], "").alias("b"))
+    last = _bind(
+        chars, lambda both: F.aggregate(F.sequence(F.lit(0), size_b - 1), F.lit(first).cast("long"), lambda state, j: step(both, state, j))
     )
-    return F.when(F.abs(size_a - size_b) <= most, bit != 0).otherwise(False)
-
-
-def may_be_near(a: Column, b: Column, most: int) -> Column:
-    """False only for lines that are further apart: of 3 most parts of `a`, an edit touches one at the most, and the others
-    stand in `b` within `most` characters of their place."""
-    parts = 3 * most
-    length = F.floor(F.char_length(a) / parts).cast("int")
-    found = [
-        F.call_function("locate", F.substring(a, length * i + 1, length), F.substring(b, F.greatest(length * i + 1 - most, F.lit(1)), length + 2 * most)) > 0
-        for i in range(parts)
-    ]
-    kept = sum((f.cast("int") for f in found[1:]), found[0].cast("int"))
-    return (F.abs(F.char_length(a) - F.char_length(b)) <= most) & (kept >= parts - most)
+    end = F.call_function("shiftleft", F.lit(1).cast("long"), size_a - size_b + most)
+    return F.shiftright(last, width * most).bitwiseAND(end) != 0
 
 
 def repeated_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_EDITS) -> DataFrame:
@@ -172,7 +184,7 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_EDIT
     the empty text; rows that repeat key and text count as one document and stay equal; an empty table stays empty. All other columns
     stay; an input column named like one of the three new ones is replaced.
     """
-    drops = stored(repeated_lines(documents, key, most), "line-drops")
+    drops = sent_if_small(stored(repeated_lines(documents, key, most), "line-drops"))
     drops = drops.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
     same = F.col(key).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(key), text_of("text")) == F.col("__row"))
     joined = documents.join(drops, same, "left").withColumn("__lines", F.split(text_of("text"), "\n", -1))

@@ -28,3 +28,12 @@ def key_hash(column: Column) -> Column:
     """60 bits of the MD5 of a key written as text (null as empty): any SQL engine can compute it."""
     digest = F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def sent_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows marked for broadcast if it is counted to have at most `most_rows`.
+
+    Used where the other side of a join carries whole texts: below the bound they stay where they are read, beyond it both
+    sides are shuffled. The result is the same.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
