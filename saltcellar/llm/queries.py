@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import decontaminate, jaccard, linededup, mixing, quality
+from saltcellar.llm import decontaminate, jaccard, linededup, mixing, quality, secrets
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ mixed AS (
 """
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
@@ -102,7 +106,50 @@ deduped AS (
 )
 """
 
+# The kinds as the scan defines them, with the lengths of the base kinds tested after the match.
+SECRET_KINDS_SQL = {
+    "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+    "forge": (r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 40),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    "private": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27),
+    "login": (r"[a-z]{3,10}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 1, 6),
+}
+
+
+def _secrets_sql() -> str:
+    kinds = "\nUNION ALL\n".join(
+        f"""SELECT doc_id, source, {rank} AS rank, '{name}' AS kind, {least} AS least, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps,
+          regexp_extract_all(coalesce(text, ''), '{pattern}', 0) AS found, regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) AS secrets
+          FROM documents"""
+        for rank, (name, (pattern, group, least)) in enumerate(SECRET_KINDS_SQL.items())
+    )
+    return f"""
+WITH matched AS ({kinds}),
+each AS (SELECT *, generate_subscripts(found, 1) AS k, unnest(found) AS hit, unnest(secrets) AS secret, unnest(gaps[1:len(found)]) AS gap FROM matched WHERE len(found) > 0),
+placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY k) AS stop FROM each
+),
+spans AS (SELECT doc_id, source, rank, kind, (stop - length(hit))::INT AS start, stop::INT AS stop, sha256(secret) AS secret FROM placed WHERE length(secret) >= least),
+owners AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) >= 3 AS copied FROM spans GROUP BY secret),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (WHERE rank >= 3) AS n_further, count(*) FILTER (WHERE copied) AS n_copied, count(*) FILTER (WHERE NOT copied) AS n_own
+  FROM spans JOIN owners USING (secret) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_further, 0) AS n_further,
+  coalesce(n_copied, 0) AS n_copied, coalesce(n_own, 0) AS n_own
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op3_secrets": op3_secrets,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
@@ -110,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
+    "op3_secrets": _secrets_sql(),
     "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",
     "op9_mix_sources": "WITH " + MIX_SQL.format(sizes=SIZES_SQL.format(documents="documents"))
     + " SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mixed",
