@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import decontaminate, jaccard, linededup, mixing, quality, secrets
+from saltcellar.llm import chat, decontaminate, jaccard, linededup, mixing, quality, secrets
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that is nothing but control strings, formatted and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], turns.schema)
+    return chat.digests(chat.format_trees(chat.threads(turns.union(probe))))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_exact", "n_near")
@@ -148,9 +156,37 @@ FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
 
 
+# A chain of replies is one path, so its formatted form follows from the turns alone.
+CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+sized AS (
+  SELECT *, {escaped_role} AS role_out, {escaped_text} AS text_out FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role_out) + 1 + length(text_out) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _chat_sql() -> str:
+    def escaped(column: str) -> str:
+        for plain, mark in chat.ESCAPES:
+            column = f"replace({column}, '{plain}', '{mark}')"
+        return column
+
+    role = f"replace({escaped('role')}, chr(10), '~n')"
+    return CHAT_SQL.format(escaped_role=role, escaped_text=escaped("text"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
@@ -158,6 +194,7 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op3_secrets": _secrets_sql(),
+    "op6_chat_format": _chat_sql(),
     "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",
     "op9_mix_sources": "WITH " + MIX_SQL.format(sizes=SIZES_SQL.format(documents="documents"))
     + " SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mixed",
