@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import chat, decontaminate, jaccard, linededup, mixing, quality, secrets
+from saltcellar.llm import chat, decontaminate, embeddings, jaccard, linededup, mixing, quality, secrets
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
@@ -185,6 +189,7 @@ def _chat_sql() -> str:
 
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
+    "op4_near_vectors": op4_near_vectors,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
