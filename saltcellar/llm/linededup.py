@@ -10,6 +10,7 @@ from saltcellar.llm.shared import sent_if_small, stored, text_of
 MOST_EDITS = 2
 SHORTEST, SHORTEST_NEAR = 10, 40  # characters: shorter lines stay; below the second only equal lines are repeats
 LENGTH_STEP = 16
+COUNTED = tuple("etaoinsrhldcumfpbgw ,.é")  # characters whose numbers are compared before lines are
 
 
 def normal_line(line: Column) -> Column:
@@ -65,21 +66,28 @@ def near_pairs(documents: DataFrame, lines: DataFrame, key: str, most: int = MOS
     shared = stored(shared.filter("low != high AND indexed").select(F.col("key").alias("shared")), "line-keys")
     kept = entries.join(sent_if_small(shared), F.col("key") == F.col("shared"), "left_semi")
     kept = stored(kept.groupBy("key", "id", "id2").agg(F.max("indexed").alias("indexed")), "line-entries")
-    left = kept.filter("indexed").select("key", F.struct("id", "id2").alias("a"))
-    right = kept.select("key", F.struct("id", "id2").alias("b"))
-    pairs = left.join(right, "key").filter("a != b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    pairs = stored(pairs.distinct(), "line-pairs")
-    # Texts of the lines in pairs, one document each.
-    wanted = pairs.select(F.col("low").alias("line")).union(pairs.select("high")).distinct()
+    # Texts of the lines with such keys, one document each.
+    wanted = kept.select(F.struct("id", "id2").alias("line")).distinct()
     places = lines.join(wanted, (F.col("id") == F.col("line.id")) & (F.col("id2") == F.col("line.id2")))
     places = places.groupBy("line").agg(F.min(F.struct("doc", "row", "pos")).alias("at"))
     places = sent_if_small(stored(places.select("line", "at.*"), "line-places"))
     texts = documents.select(F.col(key).alias("of"), text_of("text").alias("whole"))
     rows = texts.join(places, F.col("of").eqNullSafe(F.col("doc")) & (F.xxhash64("of", "whole") == F.col("row")))
     line = normal_line(F.element_at(F.split("whole", "\n", -1), F.col("pos") + 1))
-    rows = stored(rows.select("line", line.alias("text")).dropDuplicates(["line"]), "line-texts")
+    rows = rows.select("line", line.alias("text")).dropDuplicates(["line"])
+    counts = [(F.char_length("text") - F.char_length(F.replace("text", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
+    rows = stored(rows.select("line", "text", F.char_length("text").alias("size"), *counts), "line-texts")
+    numbers = ["size", *[f"c{i}" for i in range(len(COUNTED))]]
+    sides = []
+    for name in ("low", "high"):
+        side = kept.join(rows, (F.col("id") == F.col("line.id")) & (F.col("id2") == F.col("line.id2")))
+        sides.append(side.select("key", F.col("indexed").alias(f"{name}_indexed"), F.col("line").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in numbers]))
+    # An edit changes the length by one at the most and the letter counts by two in all.
+    apart = [F.abs(F.col(f"low_{c}") - F.col(f"high_{c}")) for c in numbers]
+    possible = (F.col("low") < F.col("high")) & (F.col("low_indexed") | F.col("high_indexed")) & (apart[0] <= most) & (sum(apart[2:], apart[1]) <= 2 * most)
+    pairs = sides[0].join(sides[1], "key").filter(possible).select("low", "high").distinct()
     one, two = (rows.select(F.col("line").alias(n), F.col("text").alias(f"{n}_text")) for n in ("low", "high"))
-    compared = pairs.join(one, "low").join(two, "high")
+    compared = stored(pairs, "line-pairs").join(one, "low").join(two, "high")
     return compared.filter(within_edits(F.col("low_text"), F.col("high_text"), most)).select("low", "high")
 
 
