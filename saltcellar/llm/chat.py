@@ -69,14 +69,11 @@ def branches(nodes: DataFrame, most: int | None = 1) -> DataFrame:
     while not (open_ends := now.filter("up IS NOT NULL")).isEmpty() and len(jumps) < rounds:
         jumps.append(open_ends.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        joined = now.join(above, ["tree", "up"], "left")
-        now = stored(
-            joined.select(
-                "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-            ),
-            "tree-jumps",
+        # Only nodes that do not see a root yet look further; every `up` is a node of the table.
+        seen = open_ends.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")
         )
+        now = stored(now.filter("up IS NULL").union(seen), "tree-jumps")
     replied = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
     leaves = now.filter("up IS NULL")
     leaves = leaves.join(replied, ["tree", "node"], "left_anti") if jumps else leaves
