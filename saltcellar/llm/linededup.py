@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import sent_if_small, stored, text_of
+from saltcellar.llm.shared import bind, sent_if_small, stored, text_of
 
 MOST_EDITS = 2
 SHORTEST, SHORTEST_NEAR = 10, 40  # characters: shorter lines stay; below the second only equal lines are repeats
@@ -91,11 +91,6 @@ def near_pairs(documents: DataFrame, lines: DataFrame, key: str, most: int = MOS
     return compared.filter(within_edits(F.col("low_text"), F.col("high_text"), most)).select("low", "high")
 
 
-def _bind(value: Column, use) -> Column:
-    """`use(value)` with the value computed once: an expression named inside a lambda would be computed at every step."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _without_common_front(pair: Column) -> Column:
     """Two lines without their common beginning, on which the distance does not depend, and turned round; a character stays."""
     a, b = pair["a"], pair["b"]
@@ -109,8 +104,8 @@ def _without_common_front(pair: Column) -> Column:
 
         return F.aggregate(powers, F.lit(0), step)
 
-    front = _bind(F.least(F.char_length(a), F.char_length(b)) - 1, longest)
-    return _bind(
+    front = bind(F.least(F.char_length(a), F.char_length(b)) - 1, longest)
+    return bind(
         front, lambda p: F.struct(F.reverse(F.substring(a, p + 1, F.char_length(a))).alias("a"), F.reverse(F.substring(b, p + 1, F.char_length(b))).alias("b"))
     )
 
@@ -118,8 +113,8 @@ def _without_common_front(pair: Column) -> Column:
 def within_edits(a: Column, b: Column, most: int) -> Column:
     """Whether two non-empty lines are within `most` edits: common ends are cut off, the middle goes through a bit-parallel band."""
     near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    middle = _bind(_bind(F.struct(a.alias("a"), b.alias("b")), _without_common_front), _without_common_front)
-    return F.when(near, _bind(middle, lambda pair: _in_band(pair, most))).otherwise(False)
+    middle = bind(bind(F.struct(a.alias("a"), b.alias("b")), _without_common_front), _without_common_front)
+    return F.when(near, bind(middle, lambda pair: _in_band(pair, most))).otherwise(False)
 
 
 def _in_band(pair: Column, most: int) -> Column:
@@ -135,7 +130,7 @@ def _in_band(pair: Column, most: int) -> Column:
     def step(chars: Column, state: Column, j: Column) -> Column:
         at = F.get(chars["b"], j)
         equal = [F.when(F.get(chars["a"], j + (c - most)) == at, F.lit(1 << c)).otherwise(F.lit(0)) for c in range(width)]
-        return _bind(sum(equal[1:], equal[0]).cast("long"), lambda match: moved(state, match))
+        return bind(sum(equal[1:], equal[0]).cast("long"), lambda match: moved(state, match))
 
     def moved(state: Column, match: Column) -> Column:
         old = [F.shiftright(state, width * d).bitwiseAND(F.lit(full)) for d in range(most + 1)]
@@ -150,7 +145,7 @@ def _in_band(pair: Column, most: int) -> Column:
 
     size_a, size_b = F.char_length(pair["a"]), F.char_length(pair["b"])
     chars = F.struct(F.split(pair["a"], "").alias("a"), F.split(pair["b"], "").alias("b"))
-    last = _bind(
+    last = bind(
         chars, lambda both: F.aggregate(F.sequence(F.lit(0), size_b - 1), F.lit(first).cast("long"), lambda state, j: step(both, state, j))
     )
     end = F.call_function("shiftleft", F.lit(1).cast("long"), size_a - size_b + most)

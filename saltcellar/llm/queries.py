@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import chat, decontaminate, embeddings, jaccard, linededup, mixing, quality, secrets
+from saltcellar.llm import chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ mixed AS (
 """
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses.template", ",").alias("licenses"),
+                        F.coalesce(F.array_min("licenses.containment"), F.lit(0.0)).alias("least_containment"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
@@ -187,7 +193,38 @@ def _chat_sql() -> str:
     return CHAT_SQL.format(escaped_role=role, escaped_text=escaped("text"))
 
 
+# Containment in the whole document, of every template.
+LICENSES_SQL = r"""
+WITH templates AS (SELECT * FROM (VALUES {templates}) t(template, text)),
+cut AS (
+  SELECT *, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
+  FROM (SELECT template AS id, text FROM templates UNION ALL SELECT doc_id::VARCHAR, text FROM documents)
+),
+shingles AS (
+  SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)
+),
+wanted AS (SELECT s.id AS template, s FROM shingles s JOIN templates t ON t.template = s.id),
+shared AS (
+  SELECT d.id, w.template, count(*) / (SELECT count(*) FROM wanted x WHERE x.template = w.template)::DOUBLE AS containment
+  FROM wanted w JOIN shingles d ON d.s = w.s AND d.id NOT IN (SELECT template FROM templates) GROUP BY d.id, w.template
+),
+found AS (
+  SELECT id, count(*)::INT AS n, string_agg(template, ',' ORDER BY template) AS names, min(containment) AS least FROM shared WHERE containment >= 0.8 GROUP BY id
+)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(least, 0.0) AS least_containment
+FROM documents LEFT JOIN found ON id = doc_id::VARCHAR
+"""
+
+
+def _licenses_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    return LICENSES_SQL.format(templates=", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.TEMPLATES.items()))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op5_jaccard_join": op5_jaccard_join,
@@ -198,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
+    "op1_licenses": _licenses_sql(),
     "op3_secrets": _secrets_sql(),
     "op6_chat_format": _chat_sql(),
     "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",

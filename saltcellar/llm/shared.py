@@ -30,6 +30,11 @@ def key_hash(column: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once: an expression named inside a lambda would be computed at every step."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sent_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A stored table of narrow rows marked for broadcast if it is counted to have at most `most_rows`.
 
