@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets
+from saltcellar.llm import backoff, chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
                         F.coalesce(F.array_min("licenses.containment"), F.lit(0.0)).alias("least_containment"))
 
 
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = backoff.score_corpus(table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
@@ -223,8 +228,44 @@ def _licenses_sql() -> str:
     return LICENSES_SQL.format(templates=", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.TEMPLATES.items()))
 
 
+LM_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS w3, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents)
+),
+grams AS (
+  SELECT *, lag(w3, 1) OVER d AS w2, lag(w3, 2) OVER d AS w1 FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+c1 AS (SELECT w3, count(*) AS c FROM grams GROUP BY w3),
+c2 AS (SELECT w2, w3, count(*) AS c FROM grams WHERE i > 1 GROUP BY w2, w3),
+c3 AS (SELECT w1, w2, w3, count(*) AS c FROM grams WHERE i > 2 GROUP BY w1, w2, w3),
+o1 AS (SELECT doc_id, w3, count(*) AS c FROM grams GROUP BY doc_id, w3),
+o2 AS (SELECT doc_id, w2, w3, count(*) AS c FROM grams WHERE i > 1 GROUP BY doc_id, w2, w3),
+o3 AS (SELECT doc_id, w1, w2, w3, count(*) AS c FROM grams WHERE i > 2 GROUP BY doc_id, w1, w2, w3),
+seen AS (
+  SELECT g.doc_id, g.i, g.n, (SELECT count(*) FROM words) AS total, c1.c - o1.c AS uni, p1.c - q1.c AS before, c2.c - o2.c AS bi, p2.c - q2.c AS pair, c3.c - o3.c AS tri
+  FROM grams g JOIN c1 USING (w3) JOIN o1 USING (doc_id, w3)
+  LEFT JOIN c1 p1 ON p1.w3 = g.w2 LEFT JOIN o1 q1 ON q1.doc_id = g.doc_id AND q1.w3 = g.w2
+  LEFT JOIN c2 ON c2.w2 = g.w2 AND c2.w3 = g.w3 LEFT JOIN o2 ON o2.doc_id = g.doc_id AND o2.w2 = g.w2 AND o2.w3 = g.w3
+  LEFT JOIN c2 p2 ON p2.w2 = g.w1 AND p2.w3 = g.w2 LEFT JOIN o2 q2 ON q2.doc_id = g.doc_id AND q2.w2 = g.w1 AND q2.w3 = g.w2
+  LEFT JOIN c3 ON c3.w1 = g.w1 AND c3.w2 = g.w2 AND c3.w3 = g.w3
+  LEFT JOIN o3 ON o3.doc_id = g.doc_id AND o3.w1 = g.w1 AND o3.w2 = g.w2 AND o3.w3 = g.w3
+),
+logs AS (
+  SELECT doc_id, n, ln(CASE
+    WHEN i > 2 AND tri > 0 THEN tri / pair::DOUBLE
+    WHEN i > 1 AND bi > 0 THEN (CASE WHEN i > 2 THEN 0.4 ELSE 1 END)::DOUBLE * bi / before
+    ELSE (CASE WHEN i > 2 THEN 0.16 WHEN i > 1 THEN 0.4 ELSE 1 END)::DOUBLE * greatest(uni, 1) / greatest(total - n, 1) END) AS l
+  FROM seen
+),
+sums AS (SELECT doc_id, max(n) AS n_words, sum(l) AS s FROM logs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / n_words, 4) AS mean_log_score
+FROM documents LEFT JOIN sums USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
+    "op2_lm_scores": op2_lm_scores,
     "op3_secrets": op3_secrets,
     "op4_near_vectors": op4_near_vectors,
     "op5_jaccard_join": op5_jaccard_join,
@@ -236,6 +277,7 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op1_licenses": _licenses_sql(),
+    "op2_lm_scores": LM_SQL,
     "op3_secrets": _secrets_sql(),
     "op6_chat_format": _chat_sql(),
     "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",
