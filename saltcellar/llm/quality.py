@@ -18,6 +18,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8192  # the bounded sample of labelled rows th
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
 SLAB_BYTES = 1 << 18
+GRID = float(1 << 20)
 
 
 @dataclass
@@ -94,17 +95,13 @@ def chunk_features(net: Network, texts: list[bytes]) -> np.ndarray:
 def fit_network(texts: list[bytes], labels: np.ndarray, steps: int = 1500, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the log loss. The byte embedding is shared by the offsets of the filters. One class only: a constant score."""
     random = np.random.default_rng(seed)
-    embed = random.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32)
-    filters = random.normal(0, 0.5, (WIDTH, EMBEDDING, FILTERS)).astype(np.float32)
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     params = {
-        "embed": embed, "filters": filters, "bias": np.zeros(FILTERS, np.float32),
-        "weight": random.normal(0, 0.1, FILTERS).astype(np.float32),
-        "offset": np.array([np.log(share / (1 - share))], np.float32),
+        "embed": random.normal(0, 0.5, (256, EMBEDDING)), "filters": random.normal(0, 0.5, (WIDTH, EMBEDDING, FILTERS)),
+        "bias": np.zeros(FILTERS), "weight": random.normal(0, 0.1, FILTERS), "offset": np.array([np.log(share / (1 - share))]),
     }
-    tables = np.einsum("be,jef->jbf", embed, filters)
     if len(set(labels.tolist())) < 2:
-        return Network(tables, params["bias"], params["weight"] * 0, float(params["offset"][0]))
+        return _network(params | {"weight": np.zeros(FILTERS)})
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     step = 0
     epochs = -(-steps * batch // len(texts))
@@ -120,9 +117,14 @@ def fit_network(texts: list[bytes], labels: np.ndarray, steps: int = 1500, batch
                 mean += 0.1 * (grad - mean)
                 square += 0.01 * (grad * grad - square)
                 fixed = (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
-                params[name] -= (pace * fixed).astype(np.float32)
-    tables = np.einsum("be,jef->jbf", params["embed"], params["filters"]).astype(np.float32)
-    return Network(tables, params["bias"], params["weight"], float(params["offset"][0]))
+                # On a grid far above rounding errors, so that machines that add in another order agree.
+                params[name] = np.round((params[name] - pace * fixed) * GRID) / GRID
+    return _network(params)
+
+
+def _network(params: dict[str, np.ndarray]) -> Network:
+    tables = np.einsum("be,jef->jbf", params["embed"], params["filters"])
+    return Network(tables.astype(np.float32), params["bias"].astype(np.float32), params["weight"], float(params["offset"][0]))
 
 
 def _gradients(params: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -151,8 +153,8 @@ def _gradients(params: dict[str, np.ndarray], texts: list[bytes], labels: np.nda
         to_embed += to_table @ params["filters"][j].T
         to_filters[j] = params["embed"].T @ to_table
     return {
-        "embed": to_embed, "filters": to_filters, "bias": to_chunk.sum(axis=0).astype(np.float32),
-        "weight": (pooled.T @ error).astype(np.float32) + 1e-4 * params["weight"], "offset": np.array([error.sum()], np.float32),
+        "embed": to_embed, "filters": to_filters, "bias": to_chunk.sum(axis=0),
+        "weight": pooled.T @ error + 1e-4 * params["weight"], "offset": np.array([error.sum()]),
     }
 
 
