@@ -54,9 +54,13 @@ def slabs(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes in whole blocks per text (zeros behind its end), and each text's number of blocks."""
-    counts = np.array([(len(t) + WIDTH - 1) // BLOCK + 1 for t in texts])
-    data = b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, counts.tolist()))
+    """All bytes in whole blocks per text, and each text's number of blocks.
+
+    A text has zeros before it and behind its end: windows at the end of one text see none of the next.
+    """
+    lead = b"\0" * (WIDTH - 1)
+    counts = np.array([-(-(len(t) + len(lead)) // BLOCK) for t in texts])
+    data = b"".join((lead + t).ljust(n * BLOCK, b"\0") for t, n in zip(texts, counts.tolist()))
     return np.frombuffer(data + b"\0" * WIDTH, dtype=np.uint8), counts
 
 
