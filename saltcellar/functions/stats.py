@@ -5,55 +5,65 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltcellar.functions.columns import ratio
 
-# Up to this many rows the exact percentile aggregate fits one task by far.
-SMALL_ROWS = 1_000_000
-SKETCH_ACCURACY = 100_000
+BUCKETS = 512
 
 
-def quantiles(df: DataFrame, column: str, probabilities: Sequence[float], small_rows: int = SMALL_ROWS) -> list[float | None]:
-    """Linearly interpolated quantiles of `column`, NULLs left out; exact.
+def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of `column`, NULLs left out; exact at any size, all in the same passes.
 
-    A large column is never gathered: a sketch brackets each quantile, the rows below the
-    bracket are counted, and only the values inside it are ranked. `df` is read three times,
-    so it should be a stored or settled table.
+    Values are counted in equal-width buckets between the smallest and the largest; each bucket that holds a wanted rank
+    is cut again between its own smallest and largest value, until that is one value. A pass is one map-side combined
+    aggregate with a few hundred groups per wanted rank; two or three passes are usual, as `df` is read in each, it should
+    be a stored or settled table.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    rows = values.count()
-    if rows == 0:
+    whole = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if not whole["n"]:
         return [None for _ in probabilities]
-    if rows <= small_rows:
-        found = values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")).first()
-        return list(found["q"])
-    return [_bracketed_quantile(values, rows, p) for p in probabilities]
-
-
-def _bracketed_quantile(values: DataFrame, rows: int, probability: float) -> float:
-    slack = 2.0 / SKETCH_ACCURACY + 2.0 / rows
-    position = probability * (rows - 1)
-    low, high = (
-        values.agg(
-            F.percentile_approx("v", max(0.0, probability - slack), SKETCH_ACCURACY).alias("low"),
-            F.percentile_approx("v", min(1.0, probability + slack), SKETCH_ACCURACY).alias("high"),
-        )
-        .select("low", "high")
-        .first()
+    positions = [p * (whole["n"] - 1) for p in probabilities]
+    ranks = {math.floor(x) for x in positions} | {math.ceil(x) for x in positions}
+    # rank -> (smallest and largest value of its bucket, rows below the bucket)
+    held = {rank: (whole["low"], whole["high"], 0) for rank in ranks}
+    while wide := sorted({(low, high) for low, high, _ in held.values() if low < high}):
+        counted = _counted(values, wide)
+        for rank, (low, high, below) in held.items():
+            for bucket in counted.get((low, high), []):
+                if rank < below + bucket["n"]:
+                    held[rank] = (bucket["low"], bucket["high"], below)
+                    break
+                below += bucket["n"]
+    found = []
+    for x in positions:
+        lower, upper = held[math.floor(x)][0], held[math.ceil(x)][0]
+        found.append(lower + (upper - lower) * (x - math.floor(x)))
+    return found
+
+
+def _counted(values: DataFrame, ranges: list[tuple[float, float]]) -> dict[tuple[float, float], list]:
+    """Buckets of each range in order, with rows, smallest and largest value. Ranges do not overlap."""
+    v = F.col("v")
+    place = F.lit(None).cast("struct<part:int,bucket:int>")
+    for i, (low, high) in enumerate(ranges):
+        # Halves, so that the width of a range of huge values stays finite.
+        share = (v / 2 - low / 2) / (high / 2 - low / 2)
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        place = F.when(v.between(low, high), F.struct(F.lit(i).alias("part"), bucket.alias("bucket"))).otherwise(place)
+    rows = (
+        values.select("v", place.alias("place"))
+        .filter(F.col("place").isNotNull())
+        .groupBy("place.part", "place.bucket")
+        .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .collect()
     )
-    below = values.filter(F.col("v") < low).count()
-    # Equal values fold into one row, so a value held by a third of the rows is one row here.
-    bracket = values.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(below)
-    ranked = bracket.withColumn("upto", upto)
-
-    def value_at(rank: int) -> float:
-        return ranked.filter(F.col("upto") > rank).agg(F.min("v")).first()[0]
-
-    lower, upper = value_at(math.floor(position)), value_at(math.ceil(position))
-    return lower + (upper - lower) * (position - math.floor(position))
+    out: dict[tuple[float, float], list] = {}
+    for row in sorted(rows, key=lambda r: (r["part"], r["bucket"])):
+        out.setdefault(ranges[row["part"]], []).append(row)
+    return out
 
 
 def correlation(x: Column, y: Column) -> Column:

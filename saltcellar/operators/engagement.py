@@ -275,7 +275,7 @@ def _confidence_band(r: Column, p: Column, n: Column) -> Column:
 def predictive_summary(correlations: DataFrame, model: DataFrame, n_days: int, location_id: str = ALL, outcome: str = "revenue") -> DataFrame:
     """Lead time, direction, correlation, effect and confidence per predictor, strongest first.
 
-    `model` has predictor, peak_lag, beta and pvalue. A predictor whose model lag has no
+    `model` has predictor, peak_lag, beta and pvalue, and may be empty. A predictor whose model lag has no
     correlation takes the best lag of its correlations.
     """
     scope = correlations.filter(
@@ -291,7 +291,11 @@ def predictive_summary(correlations: DataFrame, model: DataFrame, n_days: int, l
     fallback = F.when(F.col("has_up") == 1, F.col("up")).otherwise(F.col("any"))
     at_model = F.try_element_at("by_lag", F.col("peak_lag"))
     labels = F.create_map(*[F.lit(x) for pair in SIGNAL_LABELS.items() for x in pair])
-    rows = model.select("predictor", "peak_lag", "beta", "pvalue").join(best, F.col("predictor") == F.col("signal"), "left")
+    effects = model.select("predictor", "peak_lag", "beta", "pvalue")
+    # The index is reported from its correlations where there is no model of it.
+    always = correlations.sparkSession.createDataFrame([("engagement_index",)], "predictor string")
+    predictors = effects.select("predictor").union(always).distinct()
+    rows = predictors.join(effects, "predictor", "left").join(best, F.col("predictor") == F.col("signal"), "left")
     chosen = rows.withColumns(
         {
             "lead_time": F.when(at_model.isNotNull(), F.col("peak_lag")).otherwise(F.coalesce(fallback["lag"], F.col("peak_lag"))),

@@ -36,6 +36,7 @@ TOPIC_SEEDS = {
     "event_topic": ("opening", "holiday", "christmas", "lunar", "event", "festival", "community", "catering"),
 }
 TOPICS = tuple(TOPIC_KEYWORDS)
+KEY, ALL_TERMS = ("account_id", "media_id"), (1 << 31) - 1
 MIN_CAPTIONS, MIN_DOCUMENTS, TOPIC_WORDS, LONGEST_NGRAM = 5, 2, 8, 3
 
 # Question words, checked in this order.
@@ -148,43 +149,47 @@ def ambiguity_tag_lenient(question: Column) -> Column:
 def topic_model(media: DataFrame, topics: int = 8, iterations: int = 20, seed: int = 42) -> DataFrame:
     """Topic flags from a topic model of the captions, keyword flags where it finds none.
 
-    Hashtags and English stop words are taken out; one- to three-word terms that occur in at
-    least two captions feed LDA. A topic belongs to the group with most seed words among its
-    eight top words. Below five captions only keywords are used. `media_id` names the row.
+    Hashtags and English stop words are taken out; all one- to three-word terms that occur in at
+    least two captions feed LDA, which passes over all captions each time. A topic belongs to the
+    group with most seed words among its eight top words. The number of topics is given, not found. Below five
+    captions only keywords are used. (account_id, media_id) names the row; the vocabulary is held by the driver.
     """
     texts = media.select(
-        "media_id", "caption", F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"#\w+", "")).alias("text")
+        *KEY, "caption", F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"#\w+", "")).alias("text")
     )
     usable = texts.filter(F.col("text") != "")
     flags = keyword_flags(F.col("caption"))
     if usable.limit(MIN_CAPTIONS).count() < MIN_CAPTIONS:
-        return texts.select("media_id", F.lit(None).cast("int").alias("topic"), *[c.alias(n) for n, c in flags.items()])
+        return texts.select(*KEY, F.lit(None).cast("int").alias("topic"), *[c.alias(n) for n, c in flags.items()])
     joined = ", ".join(f"terms{n}" for n in range(1, LONGEST_NGRAM + 1))
     steps = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="words", outputCol="kept"),
         *[NGram(n=n, inputCol="kept", outputCol=f"terms{n}") for n in range(1, LONGEST_NGRAM + 1)],
-        SQLTransformer(statement=f"SELECT media_id, concat({joined}) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="features", minDF=MIN_DOCUMENTS),
+        SQLTransformer(statement=f"SELECT {', '.join(KEY)}, concat({joined}) AS terms FROM __THIS__"),
     ]
-    vectorizer = Pipeline(stages=steps).fit(usable)
-    vectors = settle(vectorizer.transform(usable).select("media_id", "features"))
-    model = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online").fit(vectors)
-    vocabulary = vectorizer.stages[-1].vocabulary
+    terms = settle(Pipeline(stages=steps).fit(usable).transform(usable))
+    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=MIN_DOCUMENTS, vocabSize=ALL_TERMS).fit(terms)
+    vectors = settle(counter.transform(terms).select(*KEY, "features"))
+    model = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors)
+    vocabulary = counter.vocabulary
     groups = {
         row["topic"]: _topic_group([vocabulary[i] for i in row["termIndices"]])
         for row in model.describeTopics(TOPIC_WORDS).collect()
     }
     weights = vector_to_array(F.col("topicDistribution"))
     assigned = model.transform(vectors).select(
-        "media_id", (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic")
+        *[F.col(k).alias(f"_{k}") for k in KEY], (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic")
     )
-    rows = texts.join(assigned, "media_id", "left")
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = texts.join(assigned, same, "left")
     in_group = {name: [topic for topic, group in groups.items() if group == name] for name in TOPICS}
     modeled = {n: F.coalesce(F.col("topic").isin(in_group[n]), F.lit(False)).cast("int") for n in TOPICS}
     found = F.greatest(*modeled.values()) > 0
     return rows.select(
-        "media_id", "topic", *[F.when(found, modeled[n]).otherwise(flags[n]).alias(n) for n in TOPICS]
+        *KEY, "topic", *[F.when(found, modeled[n]).otherwise(flags[n]).alias(n) for n in TOPICS]
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.functions.columns import cents
-from saltcellar.operators import coverage, imports, payloads
+from saltcellar.operators import coverage, imports, payloads, views
 from saltcellar.session import scratch_path
 from saltcellar.sources import files, sinks
 
@@ -113,7 +113,7 @@ def _export_tables(t):
         t.spark,
         {
             "orders_clean": t.stored_orders, "order_items_clean": t.stored_items, "payments_clean": t.payments,
-            "daily_sales": t.daily, "menu_canonical_map": t.name_map, "inventory": t.inventory,
+            "daily_sales": t.daily, "item_performance": views.item_performance(t.raw_items, t.stored_map), "menu_canonical_map": t.name_map, "inventory": t.inventory,
             "customer_orders_masked": t.masked,
         },
         scratch_path(t.spark, "analysis"),
@@ -148,7 +148,10 @@ def _import_log(t):
 def _manifest(t):
     folder = scratch_path(t.spark, "pull")
     paths = {}
-    for name, df in {"orders": t.raw_orders, "customer_orders": t.raw_customers}.items():
+    pulled = {
+        "orders": t.raw_orders, "order_items": t.raw_items, "payments": t.raw_payments, "customer_orders": t.raw_customers, "inventory": t.inventory,
+    }
+    for name, df in pulled.items():
         paths[name] = f"{folder}/{name}"
         sinks.write_table(df, paths[name], "overwrite")
     return sinks.write_manifest(t.spark, paths, f"{folder}/manifest", start_date="19950101", end_date="20011231").select(
@@ -257,7 +260,7 @@ SQL = {
     "csv_sink": "SELECT location_id, 2 * count(*) AS rows, round(2 * sum(total_amount), 2) AS total FROM raw_orders GROUP BY location_id",
     "analysis_export": " UNION ALL ".join(
         f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {r}"
-        for n, r in (("orders_clean", "v_orders"), ("order_items_clean", "v_items"), ("payments_clean", "raw_payments"), ("daily_sales", "v_daily"),
+        for n, r in (("orders_clean", "v_orders"), ("order_items_clean", "v_items"), ("payments_clean", "raw_payments"), ("daily_sales", "v_daily"), ("item_performance", "v_item_performance"),
                      ("menu_canonical_map", "v_map"), ("inventory", "raw_inventory"), ("customer_orders_masked", "v_masked"))
     ),
     "append_rows": "SELECT payment_method, 2 * count(*) AS rows, 0 AS dated FROM raw_payments GROUP BY 1",
@@ -269,7 +272,9 @@ SQL = {
         SELECT location_id, file_type, count(*) AS entries, CAST(sum(rows_imported) AS BIGINT) AS rows, max(business_date) AS latest FROM raw_import_log GROUP BY ALL""",
     "pull_manifest": """
         SELECT *, true AS has_bytes, '19950101' AS start_date, '20011231' AS end_date FROM (
-            SELECT 'orders' AS table_name, count(*) AS row_count FROM raw_orders UNION ALL SELECT 'customer_orders', count(*) FROM raw_customers)""",
+            SELECT 'orders' AS table_name, count(*) AS row_count FROM raw_orders UNION ALL SELECT 'customer_orders', count(*) FROM raw_customers
+            UNION ALL SELECT 'order_items', count(*) FROM raw_items UNION ALL SELECT 'payments', count(*) FROM raw_payments
+            UNION ALL SELECT 'inventory', count(*) FROM raw_inventory)""",
     "flatten_orders": """
         SELECT order_guid AS order_id, location_id, business_date, order_guid, clock_text AS order_time,
                CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'UNKNOWN' ELSE o_orderpriority END AS order_type,

@@ -59,12 +59,7 @@ SQL = {
                     ELSE try_strptime(payment_date, '%-m/%-d/%y %-I:%M %p') END, '%Y-%m-%d %H:%M:%S') AS payment_date,
                location_id, strftime(strptime(business_date, '%Y%m%d'), '%Y-%m-%d') AS business_date FROM raw_payments""",
     "daily_sales": f"SELECT * REPLACE ({BUSINESS_DAY}) FROM v_daily",
-    "item_performance": """
-        SELECT location_id, canonical_name, display_name, coalesce(nullif(i.category, ''), m.category) AS category,
-               strftime(strptime(business_date, '%Y%m%d'), '%Y-%m-%d') AS business_date, CAST(sum(quantity) AS BIGINT) AS total_qty,
-               round(sum(total_price), 2) AS total_revenue, count(DISTINCT order_guid) AS order_count,
-               round(sum(total_price), 2) / nullif(sum(quantity), 0) AS avg_unit_price
-        FROM raw_items i JOIN v_map m ON i.item_name = m.item_name GROUP BY ALL""",
+    "item_performance": "SELECT * FROM v_item_performance",
     "customers_masked": f"SELECT * REPLACE ({BUSINESS_DAY}) FROM v_masked",
     "profiles_current": f"""
         SELECT * REPLACE ({TIME.format('snapshot_at')}, {DAY.format('snapshot_date')}) FROM raw_profiles

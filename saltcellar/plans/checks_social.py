@@ -121,7 +121,7 @@ QUERIES = {
         "account_id", "media_id", "date", "likes", "views", "shares", "total_interactions", F.round("engagement_score", 6).alias("engagement_score")
     ),
     "keyword_topics": lambda t: tagging.keyword_topics(t.media).select("account_id", "media_id", *tagging.TOPICS),
-    "topic_model": lambda t: tagging.topic_model(t.media, topics=6, iterations=5),
+    "topic_model": lambda t: tagging.topic_model(t.media),
     "social_daily": lambda t: engagement.social_daily(_scored(t)),
     "engagement_features": _features,
     "holiday_flag": lambda t: engagement.holiday_flags(t.stored_orders.select(F.col("business_date").alias("date")).distinct()),
@@ -296,11 +296,12 @@ SQL = {
     "peak_lag": "SELECT * FROM e_peaks",
     "lag_kernel": "SELECT location_id, outcome, signal, place, round(weight, 8) AS weight FROM e_weights",
     "distributed_lag": """
-        SELECT v.location_id, strftime(v.date, '%Y-%m-%d') AS date, v.signal, round(coalesce(s.total, 0), 6) AS distributed
-        FROM e_long v LEFT JOIN (
-            SELECT p.location_id, p.signal, p.n, sum(p.x * w.weight) AS total FROM e_pairs p JOIN e_weights w
-            ON p.location_id = w.location_id AND p.signal = w.signal AND p.lag = w.place + 1 AND w.outcome = 'revenue' GROUP BY ALL) s
-        ON v.location_id = s.location_id AND v.signal = s.signal AND v.n = s.n""",
+        SELECT v.location_id, strftime(v.date, '%Y-%m-%d') AS date, v.signal, round("""
+    + " + ".join(f"coalesce(lag(v.value, {n}) OVER w, 0) * k.weights[{n}]" for n in range(1, 15))
+    + """, 6) AS distributed
+        FROM e_long v JOIN (
+            SELECT location_id, signal, list(weight ORDER BY place) AS weights FROM e_weights WHERE outcome = 'revenue' GROUP BY ALL) k
+        ON v.location_id = k.location_id AND v.signal = k.signal WINDOW w AS (PARTITION BY v.location_id, v.signal ORDER BY v.date)""",
     "predictive_summary_of_correlations": """
         SELECT p.signal, label, p.peak_lag AS lead_time, CASE WHEN c.correlation > 0 THEN 'Positive' WHEN c.correlation < 0 THEN 'Negative' ELSE 'Neutral' END AS direction,
                c.correlation AS peak_r, CAST(NULL AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS pvalue,

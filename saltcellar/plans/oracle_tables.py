@@ -159,6 +159,10 @@ TABLES: dict[str, str] = {
 }
 
 
+# Read several times by one query and costly to expand.
+KEPT = {"e_features", "e_long", "e_corr", "e_peaks", "e_weights"}
+
+
 def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     """`body` preceded by the definitions it needs, in order of dependence."""
     known = {**TABLES, **(extra or {})}
@@ -172,7 +176,7 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
                     needed.append(word)
 
     visit(body)
-    heads = ", ".join(f"{name} AS ({known[name].strip()})" for name in needed)
+    heads = ", ".join(f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}({known[name].strip()})" for name in needed)
     body = body.strip()
     if not heads:
         return body

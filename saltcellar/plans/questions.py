@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltcellar.functions.columns import cents, in_scope, mean_cents, parse_day, ratio
-from saltcellar.operators.customers import customer_order_bins
+from saltcellar.operators.customers import customer_order_bins, customer_profiles
 from saltcellar.operators.privacy import guard_output, min_group, permitted, suppress_small
 
 Locations = Sequence[str] | None
@@ -20,6 +20,7 @@ Locations = Sequence[str] | None
 # Tables a question may read, order types told apart, the smallest group.
 QUESTION_TABLES = (
     "orders", "order_items", "orders_clean", "order_items_clean", "inventory", "reviews", "payments", "customer_profiles",
+    "customer_orders_masked",
 )
 DELIVERY, DINE_IN, TAKEOUT = "DELIVERY", "DINE_IN", "TAKEOUT"
 TOP_K = 10
@@ -135,7 +136,9 @@ def review_sentiment(tables, locations: Locations = None, start=None, end=None)
 
 
 def customer_summary(tables, locations: Locations = None, start=None, end=None) -> DataFrame:
-    return customer_order_bins(_scope(tables, "customer_profiles", locations, start, end, "last_visit"))
+    """Customers by their orders inside the window."""
+    inside = customer_profiles(tables["customer_orders_masked"], tables["orders_clean"], locations, start, end)
+    return customer_order_bins(inside)
 
 
 def _raw_orders(tables, locations, start, end, key: Column, *measures: Column) -> DataFrame:

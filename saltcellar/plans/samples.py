@@ -23,6 +23,7 @@ QUESTION_TABLES = {
     "orders": "raw_orders", "order_items": "raw_items", "orders_clean": "stored_orders",
     "order_items_clean": "stored_items", "inventory": "inventory", "reviews": "reviews",
     "payments": "raw_payments", "customer_profiles": "profiles", "customer_orders": "raw_customers",
+    "customer_orders_masked": "stored_masked",
 }
 
 

@@ -24,13 +24,13 @@ def write_table(
     a location that is too large for one task (rebalance). Returns the rows written, counted
     by the write itself.
     """
-    seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
-        rows = rows.hint("rebalance", *partition_by)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
     sort = [c for c in (*partition_by, *order_by) if c in df.columns]
     if sort:
         rows = rows.sortWithinPartitions(*sort)
+    # Counted by the tasks that write: a map task that is run again after a lost executor counts nothing twice.
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode(mode).option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -39,10 +39,9 @@ def write_table(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ("location_id",)) -> int:
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
     seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
-        rows = rows.hint("rebalance", *partition_by)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.mode(mode).option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -69,11 +68,11 @@ EXPORT_TABLES = (
 
 
 def export_tables(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write the analysis tables and return their row counts, one row per table."""
+    """Write the eight analysis tables and return their row counts, one row per table."""
+    if absent := [name for name in EXPORT_TABLES if name not in tables]:
+        raise ValueError(f"an analysis export holds {', '.join(absent)} as well")
     counts = [
-        (name, write_table(tables[name], f"{folder}/{name}.parquet", "overwrite", partition_by=()))
-        for name in EXPORT_TABLES
-        if name in tables
+        (name, write_table(tables[name], f"{folder}/{name}.parquet", "overwrite", partition_by=())) for name in EXPORT_TABLES
     ]
     return spark.createDataFrame(counts, "table_name string, row_count bigint")
 

@@ -149,9 +149,25 @@ def test_question_tags(spark, question, intent, guard, open_point, lenient):
     assert (got["intent"], got["guard"], got["open"], got["lenient"]) == (intent, guard, open_point, lenient)
 
 
+def test_topic_model_keeps_rows_of_equal_media_ids(spark, rows):
+    captions = ["dumpling noodle pork dumplings", "holiday festival community event"] * 3
+    df = spark.createDataFrame([("ab"[n // 3], str(n % 3), c) for n, c in enumerate(captions)], "account_id string, media_id string, caption string")
+    assert len(rows(tagging.topic_model(df, topics=2, iterations=3))) == 6
+
+
+def test_summary_without_a_model_reports_the_index(spark, rows):
+    correlations = spark.createDataFrame(
+        [("ALL", "revenue", "engagement_index", lag, 0.1 * lag, 95) for lag in (1, 2, 3)] + [("ALL", "revenue", "promo_topic_share", 1, 0.9, 95)],
+        "location_id string, outcome string, signal string, lag int, correlation double, pairs int",
+    )
+    model = spark.createDataFrame([], "predictor string, peak_lag int, beta double, pvalue double")
+    (only,) = rows(engagement.predictive_summary(correlations, model, n_days=100))
+    assert (only["signal"], only["lead_time"], only["direction"], only["confidence"]) == ("engagement_index", 3, "Positive", "Moderate")
+
+
 def test_topic_model(spark, rows):
     captions = ["dumpling noodle pork dumplings"] * 6 + ["holiday festival community event #sale"] * 6 + ["#only #tags", None, "free coupon xyz"]
-    df = spark.createDataFrame([(str(n), c) for n, c in enumerate(captions)], "media_id string, caption string")
+    df = spark.createDataFrame([("a", str(n), c) for n, c in enumerate(captions)], "account_id string, media_id string, caption string")
     got = {r["media_id"]: r for r in rows(tagging.topic_model(df, topics=2, iterations=15))}
     assert len(got) == len(captions) and got["12"]["topic"] is None and got["13"]["promo_topic"] == 0
     assert all(max(r["promo_topic"], r["product_topic"], r["event_topic"]) == 1 for k, r in got.items() if int(k) < 12)

@@ -17,12 +17,12 @@ def documents(spark, payloads_list, schema=schemas.ORDER_PAYLOAD):
 
 ORDERS = [
     {
-        "guid": "o1", "businessDate": 20260410, "openedDate": "2026-04-10T12:00:00.000+0000", "source": "ONLINE",
+        "guid": "o1", "businessDate": 20240229, "openedDate": "2024-02-29T19:45:30.000+0000", "source": "KIOSK",
         "checks": [
             {
-                "totalAmount": 25.5, "amount": 20.0, "taxAmount": 2.5,
-                "payments": [{"type": "CREDIT", "amount": 25.5, "tipAmount": 3.0, "paidDate": "2026-04-10"}],
-                "appliedDiscounts": [{"discountAmount": 1.25}],
+                "totalAmount": 41.75, "amount": 36.0, "taxAmount": 3.25,
+                "payments": [{"type": "GIFTCARD", "amount": 41.75, "tipAmount": 4.5, "paidDate": "2024-02-29"}],
+                "appliedDiscounts": [{"discountAmount": 2.0}, {"discountAmount": 0.75}],
                 "selections": [
                     {"displayName": "Bao", "quantity": 2, "preDiscountPrice": 8.0, "price": 7.5, "salesCategory": {"name": "Food"},
                      "modifiers": [{"displayName": "hot"}]},
@@ -35,12 +35,14 @@ ORDERS = [
             },
             {"voided": True, "totalAmount": 99.0, "amount": 99.0, "payments": [{"amount": 99.0}], "selections": [{"displayName": "No"}],
              "customer": {"email": "b@x.org"}},
+            {"totalAmount": 8.5, "amount": 8.0, "taxAmount": 0.5, "appliedDiscounts": [{"discountAmount": 0.25}],
+             "payments": [{"type": "CASH", "amount": 8.5, "tipAmount": 1.0, "paidDate": "2024-02-29"}]},
             {"totalAmount": None, "payments": [{"amount": None}], "customer": {"email": " ", "phone": None}},
         ],
     },
-    {"guid": "o2", "voided": True, "businessDate": 20260410, "checks": [{"totalAmount": 5.0}]},
-    {"businessDate": 20260410, "checks": [{"totalAmount": 7.0}]},
-    {"guid": "o3", "businessDate": 20260411},
+    {"guid": "o2", "voided": True, "businessDate": 20240229, "checks": [{"totalAmount": 5.0}]},
+    {"businessDate": 20240229, "checks": [{"totalAmount": 7.0}]},
+    {"guid": "o3", "businessDate": 20240301},
 ]
 
 
@@ -48,9 +50,9 @@ def test_orders_skip_voided_parts_and_rows_without_guid(spark, rows):
     got = rows(payloads.flatten_orders(documents(spark, ORDERS), F.lit(PLACE)), "order_guid")
     assert [r["order_guid"] for r in got] == ["o1", "o3"]
     first = got[0]
-    assert (first["total_amount"], first["subtotal"], first["tax_amount"]) == (25.5, 20.0, 2.5)
-    assert (first["tip_amount"], first["discount_amount"]) == (3.0, 1.25)
-    assert first["order_type"] == "ONLINE" and first["business_date"] == "20260410" and first["location_id"] == PLACE
+    assert (first["total_amount"], first["subtotal"], first["tax_amount"]) == (50.25, 44.0, 3.75)
+    assert (first["tip_amount"], first["discount_amount"]) == (5.5, 3.0)
+    assert first["order_type"] == "KIOSK" and first["business_date"] == "20240229" and first["location_id"] == PLACE
     assert got[1]["order_type"] == "UNKNOWN" and got[1]["total_amount"] == 0.0 and got[1]["order_time"] == ""
 
 
@@ -64,7 +66,7 @@ def test_items_fill_quantity_price_and_category(spark, rows):
 def test_payments_have_defaults(spark, rows):
     got = rows(payloads.flatten_payments(documents(spark, ORDERS), F.lit(PLACE)), "payment_method")
     assert [(r["payment_method"], r["amount"], r["payment_date"]) for r in got] == [
-        ("CREDIT", 25.5, "2026-04-10"), ("UNKNOWN", 0.0, ""),
+        ("CASH", 8.5, "2024-02-29"), ("GIFTCARD", 41.75, "2024-02-29"), ("UNKNOWN", 0.0, ""),
     ]
 
 
@@ -86,7 +88,7 @@ def test_menus_as_list_or_single_menu(spark, rows):
 @pytest.mark.parametrize(
     "path, value",
     [
-        ("checks[].payments[].type", "CREDIT"), ("checks[].appliedDiscounts[].discountAmount", 1.25), ("guid", "o1"),
+        ("checks[].payments[].type", "GIFTCARD"), ("checks[].appliedDiscounts[].discountAmount", 2.0), ("guid", "o1"),
         ("checks[].selections[].salesCategory.name", "Food"), ("diningOption.name", None), ("checks[].server.guid", None),
     ],
 )
@@ -165,9 +167,9 @@ def test_profile_rows(spark, rows):
 
 def test_coverage(spark):
     df = documents(spark, ORDERS)
-    assert coverage.payload_profile(df).first().asDict() == {"orders": 4, "checks": 5, "payments": 3, "selections": 5}
+    assert coverage.payload_profile(df).first().asDict() == {"orders": 4, "checks": 6, "payments": 4, "selections": 5}
     seen = coverage.customer_coverage(df).first()
-    assert (seen["checks"], seen["with_customer"], seen["with_email"], seen["with_name"], seen["distinct_emails"]) == (5, 3, 2, 1, 2)
+    assert (seen["checks"], seen["with_customer"], seen["with_email"], seen["with_name"], seen["distinct_emails"]) == (6, 3, 2, 1, 2)
     assert [r[0] for r in coverage.masked_email_sample(df).collect()] == ["A***@x.org", "b***@x.org"]
     assert coverage.modifier_coverage(df).first().asDict() == {"selections": 4, "with_modifiers": 1, "pct": 25.0}
     assert coverage.server_coverage(df).first()["with_server"] == 1

@@ -62,6 +62,17 @@ def test_ask_suppresses_and_scopes(spark, rows):
     assert len(rows(questions.daily_revenue(few))) > len(rows(questions.ask("daily_revenue", few)))
 
 
+def test_customer_summary_counts_inside_the_window(spark, rows):
+    clean = orders(spark)["orders_clean"]
+    masked = clean.select(F.lit("c1").alias("customer_id"), F.lit("a").alias("location_id"), "order_guid").filter("cast(order_guid as int) < 12")
+    tables = {"orders_clean": clean, "customer_orders_masked": masked}
+    # the customer comes on four days, three orders each; the window ends before the last two
+    (inside,) = rows(questions.customer_summary(tables, end="20260409"))
+    assert (inside["customers"], inside["avg_total_spend"]) == (1, 6 * 10.0 + 0 + 1 + 4 + 5 + 8 + 9) and inside["customer_segment"] == "5+ orders"
+    (one_day,) = rows(questions.customer_summary(tables, start="20260408", end="20260408"))
+    assert one_day["customer_segment"] == "2-4 orders"
+
+
 def test_weekly_and_weekday_numbers(spark, rows):
     data = [(f"{n}", "a", day, f"{n}", None, "X", 1.0, 1.0, 0.0, 0.0, 0.0, None) for n, day in enumerate(["20230101", "20221231", "20240101", "20240107"] * 5)]
     tables = {"orders": spark.createDataFrame(data, schemas.TABLES["orders"])}
