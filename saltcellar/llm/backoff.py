@@ -18,7 +18,7 @@ from saltcellar.llm.tokens import mix, slabs, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 BLOCK_CHARS = 1 << 23  # texts of about so many characters have their n-grams counted before they are sent
-PART_CHARS = 1 << 24  # there is one part of the n-gram tables for so many characters of the corpus
+PART_CHARS = 1 << 23  # there is one part of the n-gram tables for so many characters of the corpus
 _REQUEST = "block bigint, `order` int, part int, grams binary, times binary"
 _ANSWER = "block bigint, `order` int, part int, counts binary"
 
@@ -35,16 +35,28 @@ def n_grams(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarr
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as byte planes, so that a compressed shuffle sees runs of equal high bytes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers as planes of equal bytes, only as many as the largest number needs; the first byte tells."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").reshape(-1)
 
 
-def _steps(sorted_values: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_values, prepend=np.uint64(0))
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Sorted numbers by their steps: hashes that lie close take fewer bytes."""
+    return values[:1].astype("<u8").tobytes() + packed(np.diff(values)) if len(values) else b""
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], dtype="<u8"), unpacked(data[8:])]), dtype=np.uint64)
 
 
 def _part_cuts(sorted_grams: np.ndarray, parts: int) -> np.ndarray:
@@ -82,7 +94,7 @@ def _requests(order: int, parts: int, block_chars: int):
                 values, times = np.unique(grams[whole], return_counts=True)
                 cuts = _part_cuts(values, parts)
                 rows = [
-                    (number, n, p, packed(_steps(values[a:b])), packed(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
+                    (number, n, p, packed_sorted(values[a:b]), packed(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
                 ]
                 if rows:
                     yield pd.DataFrame(rows, columns=["block", "order", "part", "grams", "times"])
@@ -95,7 +107,7 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     keys = ["order", "part"]
     for run in whole_groups(batches, keys):
         for a, b in spans(run, keys):
-            grams = [np.cumsum(unpacked(g), dtype=np.uint64) for g in run["grams"].iloc[a:b]]
+            grams = [unpacked_sorted(g) for g in run["grams"].iloc[a:b]]
             times = np.concatenate([unpacked(t) for t in run["times"].iloc[a:b]])
             values, place = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.bincount(place, weights=times.astype(np.float64), minlength=len(values)).astype(np.uint64)
@@ -112,7 +124,7 @@ def _payload(block_chars: int):
             planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             yield pd.DataFrame(
                 {
-                    "block": [number], "order": [0], "part": [0], "counts": [zlib.compress(planes, 1)], "vocabulary": [packed(_steps(vocabulary))],
+                    "block": [number], "order": [0], "part": [0], "counts": [zlib.compress(planes, 1)], "vocabulary": [packed_sorted(vocabulary)],
                     "keys": [keys], "lengths": [counts.astype(np.int64)],
                 }
             )
@@ -139,7 +151,7 @@ def _scores(order: int, factor: float, corpus_words: int, key: str):
                 rows = run.iloc[a:b]
                 head = rows.iloc[0]
                 counts = np.asarray(head["lengths"], dtype=np.int64)
-                vocabulary = np.cumsum(unpacked(head["vocabulary"]), dtype=np.uint64)
+                vocabulary = unpacked_sorted(head["vocabulary"])
                 planes = np.frombuffer(zlib.decompress(head["counts"]), dtype=np.uint8).reshape(4, -1)
                 words = vocabulary[np.ascontiguousarray(planes.T).view("<u4").reshape(-1)]
                 document = np.repeat(np.arange(len(counts)), counts)
@@ -190,12 +202,13 @@ def score_corpus(
     chars = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-chars // part_chars))
     asked = rows.mapInPandas(_requests(order, parts, block_chars), _REQUEST)
-    answers = asked.repartition("order", "part").sortWithinPartitions("order", "part", "block").mapInPandas(_answers, _ANSWER)
+    # About a group a task: the numbers grow with the corpus, and a worker holds one group at a time.
+    answers = asked.repartition(order * parts, "order", "part").sortWithinPartitions("order", "part", "block").mapInPandas(_answers, _ANSWER)
     kind = documents.schema[key].dataType.simpleString()
     carried = f"{_ANSWER}, vocabulary binary, keys array<{kind}>, lengths array<bigint>"
     payload = rows.mapInPandas(_payload(block_chars), carried)
     both = payload.unionByName(answers, allowMissingColumns=True)
     words = payload.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    both = both.repartition("block").sortWithinPartitions("block", "order", "part")
+    both = both.repartition(2 * max(1, -(-chars // block_chars)), "block").sortWithinPartitions("block", "order", "part")
     scored = both.mapInPandas(_scores(order, factor, words, key), f"`{key}` {kind}, n_words bigint, log_score double, mean_log_score double")
     return scored.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))
