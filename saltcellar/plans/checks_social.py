@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from saltcellar import schemas
 from saltcellar.operators import engagement, imports, payloads, regression, tagging, views
 from saltcellar.session import scratch_path, settle
+from saltcellar.sources import files, sinks
 from saltcellar.streaming import incremental
 
 TODAY = dt.date(2001, 8, 15)
@@ -65,14 +66,31 @@ def _evidence(t):
 
 
 def _new_files(t):
-    """Two runs with files in between, and a third one with nothing new."""
+    """Runs with files of two headers in between, an append beside them, and a last run with nothing new."""
     root, target, state = (scratch_path(t.spark, n) for n in ("raw", "payments", "state"))
     sheet = t.raw_payments.select("order_guid", "payment_method", F.col("amount").cast("string").alias("amount"), "payment_date")
-    for place, runs in (("store_0", 1), ("store_1", 2)):
-        sheet.write.option("header", True).csv(f"{root}/{place}/20010801/PaymentDetails.csv")
+    wider = sheet.select(F.lit("x").alias("Server"), "payment_date", "amount", "order_guid", F.lit(1).alias("Table"), "payment_method")
+    for place, runs, rows in (("store_0", 1, sheet), ("store_1", 2, wider)):
+        rows.write.option("header", True).csv(f"{root}/{place}/20010801/PaymentDetails.csv")
         for _ in range(runs):
-            incremental.ingest_new_files(t.spark, root, "PaymentDetails", imports.import_payments, target, state)
-    return t.spark.read.parquet(target)
+            incremental.ingest_new_files(t.spark, root, "PaymentDetails", imports.import_payments, target, state, "payments")
+        if place == "store_0":
+            beside = t.raw_payments.withColumns({"location_id": F.lit("store_2"), "business_date": F.lit("20010801")})
+            sinks.append_rows(beside, target, "payments")
+    return files.read_table(t.spark, target, "payments")
+
+
+def _new_orders(t):
+    """From order exports to the clean view."""
+    root, target, state, log = (scratch_path(t.spark, n) for n in ("raw", "orders", "state", "log"))
+    names = {"Order Id": "order_guid", "Opened": "order_time", "Dining Options": "order_type", "Total": "total_amount", "Amount": "subtotal",
+             "Tax": "tax_amount", "Tip": "tip_amount", "Discount Amount": "discount_amount"}
+    sheet = t.raw_orders.select(*[F.col(c).cast("string").alias(h) for h, c in names.items()], F.lit("z").alias("Server"))
+    sheet.write.option("header", True).csv(f"{root}/store_0/20010801/OrderDetails.csv")
+    incremental.ingest_new_files(t.spark, root, "OrderDetails", imports.import_orders, target, state, "orders", log)
+    clean = views.orders_clean(files.read_table(t.spark, target, "orders"))
+    logged = files.read_table(t.spark, log, "import_log").agg(F.sum("rows_imported").alias("logged_rows"))
+    return clean.groupBy("location_id").agg(F.count(F.lit(1)).alias("orders"), F.count("order_time").alias("timed")).join(logged)
 
 
 def _snapshots(t):
@@ -88,7 +106,7 @@ def _snapshots(t):
         t.media_payload.write.mode("append").json(landing)
         incremental.snapshot_append(t.spark, landing, schemas.MEDIA_PAYLOAD, transform(run_id), target, state)
     incremental.snapshot_append(t.spark, landing, schemas.MEDIA_PAYLOAD, transform("run-3"), target, state)
-    stored = t.spark.read.parquet(target)
+    stored = files.read_table(t.spark, target, "media_snapshots")
     return views.media_current(stored).groupBy("account_id", "source_run_id").agg(
         F.count(F.lit(1)).alias("media"), F.sum("engagement_total").alias("engagement")
     )
@@ -153,6 +171,7 @@ QUERIES = {
     "response_curves": lambda t: regression.response_curves(regression.dynamic_panel(_features(t))),
     "evidence_level": _evidence,
     "new_files": _new_files,
+    "new_orders_clean": _new_orders,
     "snapshot_append": _snapshots,
     "sync_range": _ranges,
     "latest_import_date": lambda t: incremental.latest_import_date(t.import_log, source="API"),
@@ -328,7 +347,9 @@ SQL = {
         SELECT location_id, outcome, signal, lag, CASE WHEN r >= 0.35 AND pairs >= 120 THEN 'High' WHEN r >= 0.20 AND pairs >= 75 THEN 'Moderate' ELSE 'Directional' END AS level
         FROM (SELECT *, round(pow(correlation, 2) * 10, 6) AS r FROM e_corr)""",
     "new_files": """
-        SELECT order_guid, payment_method, amount, payment_date, store AS location_id, '20010801' AS business_date FROM raw_payments, (VALUES ('store_0'), ('store_1')) s(store)""",
+        SELECT order_guid, payment_method, amount, payment_date, store AS location_id, '20010801' AS business_date FROM raw_payments, (VALUES ('store_0'), ('store_1'), ('store_2')) s(store)""",
+    "new_orders_clean": """
+        SELECT 'store_0' AS location_id, count(DISTINCT order_guid) AS orders, (SELECT count(order_time) FROM v_orders) AS timed, count(*)::BIGINT AS logged_rows FROM raw_orders""",
     "snapshot_append": """
         SELECT 'acct_' || account AS account_id, 'run-2' AS source_run_id, count(*) AS media, CAST(sum(n_chars % 211 + n_chars % 17) AS BIGINT) AS engagement FROM media_base GROUP BY account""",
     "sync_range": """

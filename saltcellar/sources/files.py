@@ -22,9 +22,12 @@ EXPORT_MARKS = {
 PATH_PARTS = r"/([^/]+)/([^/]+)/([^/]+?)(?:/part-[^/]+)?$"
 
 
+LOAD = "load"  # the folder name of an append to a declared table
+
+
 def read_table(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """A parquet table; when declared, its columns must be there with the declared types."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop(LOAD)
     if table is None:
         return df
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -54,13 +57,35 @@ def with_path_parts(df: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, root: str, mark: str) -> DataFrame:
-    """The CSV files under root/<location>/<day>/ whose name holds `mark`, all columns as text.
+    """The CSV files under root/<location>/<day>/ whose name holds `mark`, all columns as text, by name.
 
-    Files of one kind share their header; Spark checks each file's header against it and
-    stops on a difference, so columns cannot be mixed up.
+    Files of one kind may have further columns, lack some or order them otherwise.
     """
+    return read_by_name(spark, headers(_texts(spark.read).load(f"{root}/*/*/*{mark}*.csv")))
+
+
+def _texts(reader):
+    return reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+
+
+def headers(texts: DataFrame) -> list[tuple[str, list[str]]]:
+    """Different first lines of whole-text files, each with the files that have it: names of files go to the driver."""
+    first = F.regexp_extract("value", r"\A\x{FEFF}?([^\r\n]*)", 1)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    listed = texts.select(first.alias("header"), path.alias("file")).filter("header != ''")
+    found = listed.groupBy("header").agg(F.array_sort(F.collect_set("file")).alias("files")).orderBy("header").collect()
+    return [(row["header"], row["files"]) for row in found]
+
+
+def read_by_name(spark: SparkSession, found: list[tuple[str, list[str]]], declared: Iterable[str] = ()) -> DataFrame | None:
+    """Files with their columns matched by name; declared columns that no file has are empty. None without files."""
     reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
-    return with_path_parts(reader.csv(f"{root}/*/*/*{mark}*.csv"))
+    frames = [with_path_parts(reader.csv(paths)) for _, paths in found]
+    if not frames:
+        return None
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    absent = [name for name in declared if name not in whole.columns]
+    return whole.withColumns({name: F.lit(None).cast("string") for name in absent}) if absent else whole
 
 
 def read_exports(spark: SparkSession, root: str, table: str) -> list[DataFrame]:
@@ -68,7 +93,8 @@ def read_exports(spark: SparkSession, root: str, table: str) -> list[DataFrame]:
     frames = []
     for mark in EXPORT_MARKS[table]:
         try:
-            frames.append(read_export(spark, root, mark))
+            frame = read_export(spark, root, mark)
+            frames += [frame] if frame is not None else []
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise

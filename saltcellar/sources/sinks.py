@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar import schemas
+from saltcellar.sources.files import LOAD
 
 
 def write_table(
@@ -49,10 +51,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "append", partition_by: tupl
     return seen.get["rows"]
 
 
-def append_rows(df: DataFrame, path: str, table: str) -> int:
-    """Append to a declared table; missing columns are added, required ones must be set."""
+def append_rows(df: DataFrame, path: str, table: str, load: str | None = None) -> int:
+    """Append to a declared table; missing columns are added, required ones must be set.
+
+    Every append is a folder load=<name> of its own. A named load that is written again replaces itself, so a repeated
+    batch of a stream adds nothing twice; `read_table` gives the declared columns of all loads.
+    """
     rows = add_missing_columns(df, table).select(*schemas.TABLES[table].fieldNames())
-    return write_table(rows, path, "append", partition_by=())
+    return write_table(rows, f"{path}/{LOAD}={load or uuid.uuid4().hex}", "overwrite", partition_by=())
 
 
 def replace_table(df: DataFrame, path: str) -> int:
@@ -107,8 +113,8 @@ def log_entries(counts: DataFrame) -> DataFrame:
     )
 
 
-def log_import(counts: DataFrame, path: str) -> int:
-    return append_rows(log_entries(counts), path, "import_log")
+def log_import(counts: DataFrame, path: str, load: str | None = None) -> int:
+    return append_rows(log_entries(counts), path, "import_log", load)
 
 
 def table_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

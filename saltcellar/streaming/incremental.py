@@ -1,21 +1,23 @@
 """File streams into tables, and the dates still to be fetched.
 
 Every stream runs with `availableNow`: it takes what has arrived since the last run and
-stops. The checkpoint keeps the files seen and the parquet sink keeps the batches written,
-so a run that is repeated or restarted adds nothing twice.
+stops. The checkpoint keeps the files seen, and a batch is a load of its own in the table,
+so a run that is repeated or restarted adds nothing twice and other appends stand beside it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saltcellar import schemas
 from saltcellar.functions.columns import DAY_FORMAT, day_text, parse_day
-from saltcellar.sources.files import with_path_parts
-from saltcellar.sources.sinks import log_entries
+from saltcellar.session import settle
+from saltcellar.sources.files import headers, read_by_name
+from saltcellar.sources.sinks import append_rows, log_entries, log_import
 
 # What a text export has in its columns, by the mark in its file name.
 EXPORT_HEADERS = {
@@ -30,26 +32,45 @@ EXPORT_HEADERS = {
 }
 
 
-def run_stream(rows: DataFrame, target: str, checkpoint: str, partition_by: Sequence[str] = ()) -> None:
-    """Append what is new to a parquet table and stop."""
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.trigger(availableNow=True).start(target).awaitTermination()
+def run_stream(rows: DataFrame, batch: Callable[[DataFrame, str], None], checkpoint: str) -> None:
+    """Give what is new to `batch` with a name that a repeated run gives again, and stop."""
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.foreachBatch(lambda found, number: batch(found, f"stream-{number}"))
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def new_export_files(spark: SparkSession, root: str, mark: str) -> DataFrame:
-    """A stream over the CSV exports of one kind under root/<location>/<day>/."""
-    schema = ", ".join(f"`{name}` string" for name in EXPORT_HEADERS[mark])
-    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
-    return with_path_parts(reader.csv(f"{root}/*/*/*{mark}*.csv"))
+    """A stream over the CSV exports of one kind under root/<location>/<day>/, as whole texts."""
+    reader = spark.readStream.format("text").option("wholetext", True)
+    return reader.load(f"{root}/*/*/*{mark}*.csv").select("value", "_metadata")
 
 
 def ingest_new_files(
-    spark: SparkSession, root: str, mark: str, importer: Callable[[DataFrame], DataFrame], target: str, checkpoint: str
+    spark: SparkSession, root: str, mark: str, importer: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, table: str,
+    log: str | None = None,
 ) -> None:
-    """Import the export files that have arrived since the last run."""
-    run_stream(importer(new_export_files(spark, root, mark)), target, checkpoint)
+    """Import the export files that have arrived since the last run into a declared table, and log each file's rows.
+
+    Columns are matched by name, per file: further ones are left, missing ones are empty. All declared columns of the table
+    are written, with created_at as the time of the run.
+    """
+
+    def batch(found: DataFrame, load: str) -> None:
+        session = found.sparkSession
+        export = read_by_name(session, headers(found), EXPORT_HEADERS[mark])
+        if export is None:
+            return
+        append_rows(_stamped(importer(export), table), target, table, f"{mark}-{load}")
+        if log:
+            counted = export.groupBy("location_id", "business_date", "file_name").agg(F.count(F.lit(1)).alias("rows_imported"))
+            log_import(counted.withColumn("file_type", F.lit("CSV")), log, f"{mark}-{load}")
+
+    run_stream(new_export_files(spark, root, mark), batch, checkpoint)
+
+
+def _stamped(rows: DataFrame, table: str) -> DataFrame:
+    has = "created_at" in schemas.TABLES[table].fieldNames()
+    return rows.withColumn("created_at", F.current_timestamp()) if has else rows
 
 
 def new_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,10 +84,21 @@ def snapshot_append(
     transform: Callable[[DataFrame], DataFrame],
     target: str,
     checkpoint: str,
+    table: str = "media_snapshots",
+    log: str | None = None,
 ) -> None:
-    """Append snapshot rows of the payload files that have arrived since the last run."""
-    stamped = transform(new_payloads(spark, landing, schema)).withColumn("created_at", F.current_timestamp())
-    run_stream(stamped, target, checkpoint)
+    """Append snapshot rows (of media or profiles) of the payload files that have arrived since the last run, with log rows."""
+
+    def batch(found: DataFrame, load: str) -> None:
+        rows = settle(transform(found))
+        append_rows(_stamped(rows, table), target, table, load)
+        if log:
+            counted = rows.groupBy(F.col("account_id").alias("location_id"), "source_run_id").agg(
+                F.count(F.lit(1)).alias("rows_imported"), F.date_format(F.current_timestamp(), "yyyyMMdd").alias("business_date")
+            )
+            log_import(counted.withColumns({"file_type": F.lit(table), "file_name": F.col("source_run_id")}), log, f"{table}-{load}")
+
+    run_stream(new_payloads(spark, landing, schema), batch, checkpoint)
 
 
 def unlogged_imports(imported: DataFrame, log: DataFrame, file_type: str) -> DataFrame:

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from saltcellar.operators import imports
+from saltcellar.operators import imports, views
+from saltcellar.sources import files, sinks
 from saltcellar.streaming import incremental
 
 TODAY = dt.date(2026, 4, 11)
@@ -75,16 +76,35 @@ def test_files_are_taken_once(spark, tmp_path):
         (folder / "PaymentDetails.csv").write_text("order_guid,payment_method,amount,payment_date\n" + text)
 
     def run():
-        incremental.ingest_new_files(spark, root, "PaymentDetails", imports.import_payments, target, state)
-        return spark.read.parquet(target)
+        incremental.ingest_new_files(spark, root, "PaymentDetails", imports.import_payments, target, state, "payments", log=str(tmp_path / "log"))
+        return files.read_table(spark, target, "payments")
 
     land("a", "20260410", "1,CASH,2.5,\n2,,x,\n")
     assert run().count() == 1
     assert run().count() == 1
+    extra = spark.createDataFrame([("9", 1.0, "c", "20260410")], "order_guid string, amount double, location_id string, business_date string")
+    sinks.append_rows(extra, target, "payments")
+    assert run().count() == 2
     land("a", "20260411", "3,CASH,1,\n")
     land("b", "20260411", "4,CARD,1,t\n")
     final = run()
-    assert sorted((r["order_guid"], r["location_id"], r["payment_date"]) for r in final.collect()) == [("1", "a", "20260410"), ("3", "a", "20260411"), ("4", "b", "t")]
+    assert sorted((r["order_guid"], r["location_id"], r["payment_date"]) for r in final.collect()) == [("1", "a", "20260410"), ("3", "a", "20260411"), ("4", "b", "t"), ("9", "c", None)]
+    assert {(r["location_id"], r["business_date"], r["rows_imported"]) for r in files.read_table(spark, str(tmp_path / "log"), "import_log").collect()} == {
+        ("a", "20260410", 2), ("a", "20260411", 1), ("b", "20260411", 1),
+    }
+    final = final.filter("order_guid != '9'")
     done = log(spark, ("a", "20260410", "CSV"))
     fresh = incremental.unlogged_imports(final, done, "CSV").orderBy("location_id").collect()
     assert [(r["location_id"], r["business_date"], r["rows_imported"]) for r in fresh] == [("a", "20260411", 1), ("b", "20260411", 1)]
+
+
+def test_orders_arrive_with_other_headers(spark, tmp_path):
+    folder = tmp_path / "raw" / "a" / "20260410"
+    folder.mkdir(parents=True)
+    (folder / "OrderDetails_1.csv").write_text("Order Id,Opened,Dining Options,Total,Amount,Tax,Tip,Discount Amount,Server\n1,,Delivery,9,8,1,0,0,Li\n")
+    (folder / "OrderDetails_2.csv").write_text('Total,"Order Id",Tip\r\n5,2,1\r\n')
+    target, state = str(tmp_path / "orders"), str(tmp_path / "state")
+    incremental.ingest_new_files(spark, str(tmp_path / "raw"), "OrderDetails", imports.import_orders, target, state, "orders")
+    stored = files.read_table(spark, target, "orders")
+    assert sorted((r["order_guid"], r["total_amount"], r["tip_amount"]) for r in stored.collect()) == [("1", 9.0, 0.0), ("2", 5.0, 1.0)]
+    assert views.orders_clean(stored).count() == 2 and stored.filter("created_at IS NULL").count() == 0
