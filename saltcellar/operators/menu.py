@@ -99,17 +99,17 @@ def item_kpis(
     start=None,
     end=None,
 ) -> DataFrame:
-    """Key figures and quadrant per canonical item.
+    """Key figures and quadrant per canonical item, from the clean tables."""
+    return kpis_of_gold(item_gold(clean_items, clean_orders, inventory, location_ids, start, end))
+
+
+def kpis_of_gold(gold: DataFrame) -> DataFrame:
+    """Key figures and quadrant per canonical item; `gold` is read twice and should be stored.
 
     Lines are first combined per (item, order), which spreads one very popular item over its
     orders; the per-item table is settled because medians and rows both read it.
     """
-    gold = item_gold(clean_items, clean_orders, inventory, location_ids, start, end)
-    total_orders = (
-        matched_orders(in_scope(clean_items, location_ids, start, end), in_scope(clean_orders, location_ids, start, end))
-        .agg(F.count_distinct("order_guid"))
-        .scalar()
-    )
+    total_orders = gold.agg(F.count_distinct("order_guid")).scalar()
     costed = F.col("unit_cost").isNotNull()
     per_order = (
         gold.filter(F.col("canonical_name").isNotNull())
@@ -264,18 +264,15 @@ def bundle_pairs(
     A pair can reach `min_count` only if both its items do, so rarer items are left out
     before any pair is formed. Equal baskets are counted once with their number of orders,
     which folds repeated orders, and a long basket is cut into runs of leading items that go
-    to different tasks. All of this is exact.
+    to different tasks. All of this is exact. `gold` is scanned three times and should be stored.
     """
-    bought = settle(
-        gold.filter(F.col("canonical_name").isNotNull())
-        .groupBy("order_guid", "canonical_name")
-        .agg(
-            F.min("display_name").alias("display"),
-            F.min("category_filled").alias("category"),
-            F.max("is_drink").alias("drink"),
-        )
+    named = gold.filter(F.col("canonical_name").isNotNull())
+    bought = named.groupBy("order_guid", "canonical_name").agg(
+        F.min("display_name").alias("display"),
+        F.min("category_filled").alias("category"),
+        F.max("is_drink").alias("drink"),
     )
-    total = bought.agg(F.count_distinct("order_guid")).first()[0]
+    total = named.agg(F.count_distinct("order_guid")).first()[0]
     items = settle(
         bought.groupBy("canonical_name")
         .agg(
@@ -287,17 +284,16 @@ def bundle_pairs(
         .filter(F.col("orders") >= min_count)
     )
     baskets = (
-        bought.select("order_guid", "canonical_name")
+        named.select("order_guid", "canonical_name")
         .join(items.select("canonical_name"), "canonical_name", "left_semi")
         .groupBy("order_guid")
         .agg(F.sort_array(F.collect_set("canonical_name")).alias("basket"))
         .filter(F.size("basket") >= 2)
     )
-    runs = (
-        baskets.select("basket", F.explode(F.sequence(F.lit(1), F.size("basket") - 1, F.lit(LEADS_PER_RUN))).alias("run"))
-        .groupBy("basket", "run")
-        .agg(F.count(F.lit(1)).alias("orders"))
-    )
+    equal = baskets.groupBy(F.xxhash64("basket").alias("hash"), "basket").agg(F.count(F.lit(1)).alias("orders"))
+    leads = F.sequence(F.lit(1), F.size("basket") - 1, F.lit(LEADS_PER_RUN))
+    # Runs of one long basket are dealt out by their place in it.
+    runs = equal.select("basket", "orders", F.explode(leads).alias("run")).repartition("run", F.xxhash64("basket"))
     last = F.least(F.col("run") + (LEADS_PER_RUN - 1), F.size("basket") - 1)
     pairs = (
         runs.select("basket", "orders", F.explode(F.sequence(F.col("run"), last)).alias("lead"))

@@ -17,10 +17,10 @@ QUERIES = {
     "item_kpis": lambda t: t.kpis,
     "menu_engineering": lambda t: menu.menu_engineering(t.kpis),
     "menu_recommendations": lambda t: menu.menu_recommendations(t.kpis),
-    "bundle_action": lambda t: menu.bundle_actions(t.kpis, menu.bundle_pairs(t.gold, **PAIR_BOUNDS)),
+    "bundle_action": lambda t: menu.bundle_actions(t.kpis, menu.bundle_pairs(t.stored_gold, **PAIR_BOUNDS)),
     "recommendations_from_menu": lambda t: menu.recommendations_from_menu(sales.menu_performance(t.raw_items, t.inventory)),
-    "bundle_pairs": lambda t: menu.bundle_pairs(t.gold, **PAIR_BOUNDS),
-    "promo_opportunities": lambda t: menu.promo_opportunities(t.gold),
+    "bundle_pairs": lambda t: menu.bundle_pairs(t.stored_gold, **PAIR_BOUNDS),
+    "promo_opportunities": lambda t: menu.promo_opportunities(t.stored_gold),
     "price_margin_candidates": lambda t: menu.price_margin_candidates(menu.menu_recommendations(t.kpis)),
     "action_counts": lambda t: menu.action_counts(menu.menu_recommendations(t.kpis)),
     "customer_profiles": lambda t: t.profiles,

@@ -96,6 +96,7 @@ class Samples:
     stored_items = cached_property(lambda self: self._stored("items"))
     stored_masked = cached_property(lambda self: self._stored("masked"))
     stored_inventory = cached_property(lambda self: self._stored("inventory"))
+    stored_gold = cached_property(lambda self: self._stored("gold"))
     stored_map = cached_property(lambda self: self._stored("name_map"))
 
     @cached_property
@@ -104,7 +105,7 @@ class Samples:
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return menu.item_kpis(self.stored_items, self.stored_orders, self.stored_inventory)
+        return menu.kpis_of_gold(self.stored_gold)
 
     @cached_property
     def profiles(self) -> DataFrame:
