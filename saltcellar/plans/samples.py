@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.operators import customers, menu, views
 from saltcellar.schemas import MEDIA_PAYLOAD, MENU_PAYLOAD, ORDER_PAYLOAD, PROFILE_PAYLOAD
-from saltcellar.session import prepare, scratch_path
+from saltcellar.session import prepare, remove_at_exit, scratch_path
 from saltcellar.sources import sample, sinks
 from saltcellar.sources.files import read_payload
 
@@ -89,6 +89,7 @@ class Samples:
         if key not in _STORED:
             path = scratch_path(self.spark, view)
             sinks.write_table(getattr(self, view), path, "overwrite", partition_by=())
+            remove_at_exit(self.spark, path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -117,6 +118,7 @@ class Samples:
         if key not in _STORED:
             path = scratch_path(self.spark, payload)
             getattr(self, payload).write.json(path)
+            remove_at_exit(self.spark, path)
             _STORED[key] = path
         return read_payload(self.spark, _STORED[key], schema)
 

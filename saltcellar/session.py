@@ -54,6 +54,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a scratch table deleted when the driver ends; results that are read later belong elsewhere."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage so that later readers do not run its plan again.
 

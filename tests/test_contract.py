@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest sample folder."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -15,7 +17,8 @@ QUICK = (
 
 
 def test_names_agree():
-    queries, oracle = contract.queries(), contract.oracle_sql()
+    named = lambda found: {name for name in found if not re.match(r"op\d+_|pipeline$", name)}  # those have tests of their own
+    queries, oracle = named(contract.queries()), named(contract.oracle_sql())
     assert set(oracle) <= set(queries) and len(queries) > 140
     assert set(queries) - set(oracle) == {"topic_model", "predictive_summary", "ols_hc3", "dynamic_panel", "response_curves"}
 
