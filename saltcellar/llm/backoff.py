@@ -48,6 +48,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts, most of them one and the same small number."""
+    return zlib.compress(packed(counts), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return unpacked(zlib.decompress(data))
+
+
 def packed_sorted(values: np.ndarray) -> bytes:
     """Sorted numbers by their steps: hashes that lie close take fewer bytes."""
     return values[:1].astype("<u8").tobytes() + packed(np.diff(values)) if len(values) else b""
@@ -94,7 +103,7 @@ def _requests(order: int, parts: int, block_chars: int):
                 values, times = np.unique(grams[whole], return_counts=True)
                 cuts = _part_cuts(values, parts)
                 rows = [
-                    (number, n, p, packed_sorted(values[a:b]), packed(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
+                    (number, n, p, packed_sorted(values[a:b]), squeezed(times[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a
                 ]
                 if rows:
                     yield pd.DataFrame(rows, columns=["block", "order", "part", "grams", "times"])
@@ -103,16 +112,16 @@ def _requests(order: int, parts: int, block_chars: int):
 
 
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts in the whole corpus for the n-grams each block asked for: one part of an n-gram table at a time."""
+    """How often the other blocks have the n-grams each block asked for: one part of an n-gram table at a time."""
     keys = ["order", "part"]
     for run in whole_groups(batches, keys):
         for a, b in spans(run, keys):
             grams = [unpacked_sorted(g) for g in run["grams"].iloc[a:b]]
-            times = np.concatenate([unpacked(t) for t in run["times"].iloc[a:b]])
+            times = np.concatenate([unsqueezed(t) for t in run["times"].iloc[a:b]])
             values, place = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.bincount(place, weights=times.astype(np.float64), minlength=len(values)).astype(np.uint64)
             cuts = np.cumsum([len(g) for g in grams])[:-1]
-            yield run.iloc[a:b][["block", "order", "part"]].assign(counts=[packed(c) for c in np.split(totals[place], cuts)])
+            yield run.iloc[a:b][["block", "order", "part"]].assign(counts=[squeezed(c) for c in np.split(totals[place] - times, cuts)])
 
 
 def _payload(block_chars: int):
@@ -158,12 +167,12 @@ def _scores(order: int, factor: float, corpus_words: int, key: str):
                 seen: list[np.ndarray] = []
                 for n in range(1, order + 1):
                     answers = rows[rows["order"] == n]
-                    totals = np.concatenate([unpacked(c) for c in answers["counts"]]) if len(answers) else np.zeros(0, dtype=np.uint64)
+                    elsewhere = np.concatenate([unsqueezed(c) for c in answers["counts"]]) if len(answers) else np.zeros(0, dtype=np.uint64)
                     grams, whole = n_grams(words, counts, n)
                     left = np.zeros(len(words), dtype=np.int64)
                     if whole.any():
-                        _, place = np.unique(grams[whole], return_inverse=True)
-                        left[whole] = totals[place].astype(np.int64) - _own(grams[whole], document[whole])
+                        _, place, here = np.unique(grams[whole], return_inverse=True, return_counts=True)
+                        left[whole] = (elsewhere.astype(np.int64) + here)[place] - _own(grams[whole], document[whole])
                     seen.append(left)
                 others = np.maximum(corpus_words - counts, 1)[document]
                 log = np.log(np.maximum(seen[0], 1) / others)
@@ -199,7 +208,8 @@ def score_corpus(
     both times, as stored tables do.
     """
     rows = documents.select(F.col(key).alias("key"), text_of("text").alias("text"))
-    chars = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    number = F.regexp_count(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
+    chars, words = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.char_length("text"), number)]).first()
     parts = max(1, -(-chars // part_chars))
     asked = rows.mapInPandas(_requests(order, parts, block_chars), _REQUEST)
     # About a group a task: the numbers grow with the corpus, and a worker holds one group at a time.
@@ -208,7 +218,6 @@ def score_corpus(
     carried = f"{_ANSWER}, vocabulary binary, keys array<{kind}>, lengths array<bigint>"
     payload = rows.mapInPandas(_payload(block_chars), carried)
     both = payload.unionByName(answers, allowMissingColumns=True)
-    words = payload.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     both = both.repartition(2 * max(1, -(-chars // block_chars)), "block").sortWithinPartitions("block", "order", "part")
     scored = both.mapInPandas(_scores(order, factor, words, key), f"`{key}` {kind}, n_words bigint, log_score double, mean_log_score double")
     return scored.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.session import scratch_path
+from saltcellar.session import remove_at_exit, scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,9 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once under the shared scratch folder and read again: a lineage cut with column pruning."""
+    """`df` written once under the shared scratch folder and read again: a lineage cut with column pruning.
+
+    The table goes when the driver ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
