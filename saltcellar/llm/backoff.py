@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltcellar.llm.grouped import spans, whole_groups
-from saltcellar.llm.shared import text_of
+from saltcellar.llm.shared import small_batches, text_of
 from saltcellar.llm.tokens import mix, slabs, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
@@ -207,7 +207,7 @@ def score_corpus(
     a block, so no part is hot, and tables and questions grow with the corpus. `documents` is scanned twice and must give the same rows in the same tasks
     both times, as stored tables do.
     """
-    rows = documents.select(F.col(key).alias("key"), text_of("text").alias("text"))
+    rows = small_batches(documents).select(F.col(key).alias("key"), text_of("text").alias("text"))
     number = F.regexp_count(F.lower("text"), F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+"))
     chars, words = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.char_length("text"), number)]).first()
     parts = max(1, -(-chars // part_chars))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import sent_if_small, stored, text_of
+from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
 
 WINDOW_WORDS, WINDOW_STEP = 20, 5
 EDIT_SHARE = 0.06
@@ -145,7 +145,7 @@ def contaminated(
             )
 
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
+    rows = small_batches(documents).select(F.col(key).alias("_key"), text_of(text).alias("_text"))
     return rows.mapInPandas(judge, f"`{key}` {kind}, items array<bigint>, edits array<int>, n_items int")
 
 

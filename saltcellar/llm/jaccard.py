@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.llm.components import components
 from saltcellar.llm.grouped import block_tasks, earlier_shared, link_report, run_tasks, spans, whole_groups
-from saltcellar.llm.shared import sent_if_small, stored, text_of
+from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
 from saltcellar.llm.tokens import constants, mix, shingles, slabs, word_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -234,7 +234,7 @@ def similar_documents(
     members whose sketches agree with no other; what is left is compared exactly. As many runs are made as bring a pair at the threshold
     to the target recall. A large bucket that does not part is compared in blocks, so no task holds it and no pair is written.
     """
-    texts = documents.select(
+    texts = small_batches(documents).select(
         F.struct(F.col(key).alias("key")).alias("at"), F.xxhash64(F.col(key), text_of("text")).alias("text_id"), text_of("text").alias("text")
     )
     kind = documents.schema[key].dataType.simpleString()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import key_hash, text_of
+from saltcellar.llm.shared import key_hash, small_batches, text_of
 
 WIDTH, FILTERS, EMBEDDING = 6, 16, 8
 BLOCK = 256  # a chunk is two neighbouring blocks, so chunks overlap by half
@@ -193,7 +193,7 @@ def score(documents: DataFrame, net: Network, key: str = "doc_id") -> DataFrame:
             texts = [t.encode("utf-8", "replace") for t in batch["_text"]]
             yield pd.DataFrame({key: batch["_key"], "score": model.value.scores(texts).astype("float64")})
 
-    rows = documents.select(F.col(key).alias("_key"), text_of("text").alias("_text"))
+    rows = small_batches(documents).select(F.col(key).alias("_key"), text_of("text").alias("_text"))
     return rows.mapInPandas(rate, f"`{key}` {documents.schema[key].dataType.simpleString()}, score double")
 
 
@@ -214,4 +214,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, key: str = "doc_id", thre
     def rating(texts: pd.Series) -> pd.Series:
         return pd.Series(net.value.scores([t.encode("utf-8", "replace") for t in texts]), dtype="float64")
 
-    return documents.filter(rating(text_of("text")) >= threshold)
+    return small_batches(documents).filter(rating(text_of("text")) >= threshold)

@@ -38,7 +38,16 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def sent_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """`df`, whose whole texts go to Python workers: its session sends at most so many rows at once from now on."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= rows:
+        conf.set(setting, str(rows))
+    return df
+
+
+def sent_if_small(df: DataFrame, most_rows: int = 400_000) -> DataFrame:
     """A stored table of narrow rows marked for broadcast if it is counted to have at most `most_rows`.
 
     Used where the other side of a join carries whole texts: below the bound they stay where they are read, beyond it both
