@@ -229,6 +229,18 @@ def test_licenses_found_and_others_left(spark):
     assert licenses.scan(part).first()["n_licenses"] == 0
 
 
+def test_three_word_license_at_every_place(spark):
+    """One template shingle among the others of its window, at all places of the windows."""
+    r = random.Random(21)
+    rows = []
+    for i in range(800):
+        w = [f"u{r.randrange(10**6)}" for _ in range(40)]
+        w[10 + i % 8 : 10 + i % 8] = ["All", "rights", "reserved."]
+        rows.append((i, " ".join(w)))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("n_licenses = 0").count() == 0
+
+
 def test_contaminated_passages(spark):
     r = random.Random(2)
     item = sentence(11, 50)
