@@ -118,7 +118,7 @@ def _deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """Leaf buckets (node, id) of two members or more, over all runs."""
+    """Leaf buckets (node, id, n) of n members, two or more, over all runs."""
     known = sets.select("class", "sketch")
     rows = stored(known.mapInPandas(_roots(runs), "node bigint, id bigint"), "paths")
     leaves = None
@@ -126,7 +126,6 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = stored(rows.join(sizes, "node"), "path-sizes")
         done = sized.filter(F.col("n") <= BUCKET) if depth < DEPTH else sized
-        done = done.select("node", "id")
         leaves = done if leaves is None else leaves.union(done)
         large = sized.filter(F.col("n") > BUCKET)
         if depth == DEPTH or large.isEmpty():
@@ -137,27 +136,51 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     return leaves
 
 
+def _near(table: np.ndarray, least: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Which rows agree with another row in `least` places; with `own`, only rows of another block count."""
+    keep = np.zeros(len(table), dtype=bool)
+    for low in range(0, len(table), 64):
+        some = slice(low, min(low + 64, len(table)))
+        same = (table[some, None, :] == table[None, :, :]).sum(axis=2)
+        same[np.arange(len(same)), np.arange(low, low + len(same))] = -1
+        if own is not None:
+            same[own[some, None] == own[None, :]] = -1
+        keep[some] = same.max(axis=1) >= least
+    return keep
+
+
+def _low_table(values: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), SKETCH)
+
+
 def _agreeing(least: int):
-    """Members of small buckets that agree with another member in at least `least` sketch values."""
+    """Members of buckets of BUCKET members at the most that agree with another member in at least `least` sketch values."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in whole_groups(batches, ["node"]):
-            table = np.frombuffer(b"".join(run["small"]), dtype=np.uint8).reshape(len(run), SKETCH)
+            table = _low_table(run["small"])
             keep = np.zeros(len(run), dtype=bool)
             cuts = np.array(list(spans(run, ["node"])))
             pairs = cuts[cuts[:, 1] - cuts[:, 0] == 2, 0]
             fits = (table[pairs] == table[pairs + 1]).sum(axis=1) >= least
             keep[pairs[fits]] = keep[pairs[fits] + 1] = True
             for a, b in cuts[cuts[:, 1] - cuts[:, 0] > 2]:
-                for low in range(a, b, 64):  # rows of 64 against the bucket: bounded memory
-                    same = (table[low : min(low + 64, b), None, :] == table[None, a:b, :]).sum(axis=2)
-                    same[np.arange(len(same)), np.arange(low - a, low - a + len(same))] = 0
-                    keep[low : low + len(same)] |= same.max(axis=1) >= least
+                keep[a:b] = _near(table[a:b], least)
             yield run.loc[keep, ["node", "id"]]
 
     return judge
 
 
+def _agreeing_blocks(least: int):
+    """The same for two blocks of a larger bucket."""
+
+    def kernel(task: pd.DataFrame) -> pd.DataFrame:
+        own = task["own"].to_numpy() if task["i"].iloc[0] != task["j"].iloc[0] else None
+        return task.loc[_near(_low_table(task["small"]), least, own), ["node", "id"]]
+
+    return kernel
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections. Rare shingles add pair by pair, frequent ones by products of 0/1 columns."""
     n = len(sets)
@@ -230,8 +253,8 @@ def similar_documents(
     group of null keys only keeps all its rows. Rows that repeat key and text are linked to each other and kept together.
 
     Each set's 128 MinHash values are its tokens. In every run a bucket samples one or two tokens, which its members share by
-    the seed of the bucket, and members part by the token's value, until a bucket is small or four deep. Small buckets drop
-    members whose sketches agree with no other; what is left is compared exactly. As many runs are made as bring a pair at the threshold
+    the seed of the bucket, and members part by the token's value, until a bucket is small or four deep. Buckets drop members
+    whose sketches agree with no other, large ones block by block; what is left is compared exactly. As many runs are made as bring a pair at the threshold
     to the target recall. A large bucket that does not part is compared in blocks, so no task holds it and no pair is written.
     """
     texts = small_batches(documents).select(
@@ -247,9 +270,12 @@ def similar_documents(
     # The low byte of each sketch value is enough to tell agreement from chance.
     least = int(SKETCH * similarity - AGREE_SIGMAS * math.sqrt(SKETCH * similarity * (1 - similarity)))
     small = sets.select("class", _low_bytes("sketch").alias("small"))
-    judged = leaves.join(small, F.col("id") == F.col("class")).select("node", "id", "small")
-    judged = judged.repartition("node").sortWithinPartitions("node").mapInPandas(_agreeing(least), "node bigint, id bigint")
-    judged = stored(judged, "agreeing")
+    pair = "node bigint, id bigint"
+    leaves = leaves.join(small, F.col("id") == F.col("class")).select("node", "id", "n", "small")
+    whole = leaves.filter(F.col("n") <= BUCKET).select("node", "id", "small")
+    whole = whole.repartition("node").sortWithinPartitions("node").mapInPandas(_agreeing(least), pair)
+    dealt = block_tasks(leaves.filter(F.col("n") > BUCKET).select("node", "id", "small"))
+    judged = stored(whole.union(run_tasks(dealt, _agreeing_blocks(least), pair).distinct()), "agreeing")
     # Buckets of the same members are compared once.
     mark = F.xxhash64("id", F.lit("mark"))
     alike = judged.groupBy("node").agg(F.bit_xor(mark).alias("mark"), F.min("id").alias("first"), F.count(F.lit(1)).alias("m"))

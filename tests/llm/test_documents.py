@@ -217,6 +217,30 @@ def test_similar_documents_by_brute_force(spark):
     assert all(got[i]["kept"] == (got[i]["group_id"] == i) for i in got)
 
 
+def test_large_buckets_are_judged_in_blocks(spark, monkeypatch):
+    """No task is handed a whole bucket of near copies that does not part."""
+    core = [f"c{k}" for k in range(400)]
+    rows = [(i, " ".join([*core, f"n{i}"])) for i in range(1500)]
+    whole = jaccard._agreeing
+
+    def bounded(least):
+        judge = whole(least)
+
+        def checked(batches):
+            def small(frames):
+                for frame in frames:
+                    assert len(frame) == 0 or frame["node"].value_counts().max() <= jaccard.BUCKET
+                    yield frame
+
+            return judge(small(batches))
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_agreeing", bounded)
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["n_links"] for r in got} == {1499} and {r["group_id"] for r in got} == {0}
+
+
 def test_licenses_found_and_others_left(spark):
     texts = ["x " * 50 + t.upper().replace(",", " ,") + " y" * 50 for t in licenses.TEMPLATES.values()]
     clean = [sentence(i) for i in range(20)]
