@@ -280,6 +280,40 @@ def test_contaminated_passages(spark):
         decontaminate.contaminated(docs, _benchmark(spark), most_chars=10)
 
 
+def test_benchmark_in_parts(spark):
+    """A benchmark beyond one part is read in several passes that find the same, edits included."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 12, 20, 40, 90])))) for i in range(30)]
+    items += [(50, items[4][1]), (51, " ".join(r.choice(vocabulary) for _ in range(2500)))]
+    far = items[-1][1].split()[1500:1560]
+    rows = [(1, _edit(r, items[3][1], 1) + " x " + items[9][1]), (2, "nothing of it"), (3, " ".join(far)), (None, items[4][1]), (1, items[20][1]), (4, None)]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), _benchmark(spark, items)
+    one = sorted(map(str, decontaminate.contaminated(docs, tests).collect()))
+    assert one == sorted(map(str, decontaminate.contaminated(docs, tests, part_chars=2000).collect()))
+    parts = list(decontaminate._parts(tests, "item_id", "text", None, 2000))
+    assert len(parts) > 5 and max(sum(len(t) for _, t in p) for p in parts) < sum(len(t) for _, t in items)
+    assert [x["items"] for x in decontaminate.contaminated(docs.filter("doc_id = 3"), tests).collect()] == [[51]]
+
+
+def test_least_edits_of_windows_by_myers():
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    for _ in range(60):
+        item = " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 45)))
+        w = item.split()
+        begin = r.randrange(len(w))
+        text = "x " * r.randint(0, 3) + _edit(r, " ".join(w[begin : begin + r.randint(5, 40)]), r.randint(0, 9)) + r.choice(["", " yy zz", " " + item[:60]])
+        best = None
+        for s in decontaminate.window_starts(len(w)):
+            window = " ".join(w[s : s + decontaminate.WINDOW_WORDS])
+            budget = int(len(window) * decontaminate.EDIT_SHARE)
+            edits = decontaminate.end_distance(decontaminate._bits(window), len(window), text, budget)
+            if edits <= budget and (best is None or edits < best):
+                best = edits
+        assert decontaminate._Index([(7, item)], decontaminate.EDIT_SHARE).search(text) == ({} if best is None else {7: best})
+
+
 def test_myers_distance_is_the_least_over_substrings():
     r = random.Random(4)
     for _ in range(200):
