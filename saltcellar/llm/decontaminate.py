@@ -268,6 +268,6 @@ def contaminated(
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents without those in which a test item is found; all columns stay as they are."""
-    found = contaminated(documents, benchmark, key, **settings).filter("n_items > 0")
-    bad = sent_if_small(stored(found.select(F.col(key).alias("_bad")).distinct(), "contaminated"))
-    return documents.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = sent_if_small(stored(_found(documents, benchmark, key, **settings).select("_key", "_row"), "found"))
+    row = F.xxhash64(F.col(key), text_of(settings.get("text", "text")))
+    return documents.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (row == F.col("_row")), "left_anti")

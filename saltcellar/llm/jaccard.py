@@ -257,6 +257,11 @@ def similar_documents(
     whose sketches agree with no other, large ones block by block; what is left is compared exactly. As many runs are made as bring a pair at the threshold
     to the target recall. A large bucket that does not part is compared in blocks, so no task holds it and no pair is written.
     """
+    return _judged(documents, key, similarity, recall).drop("own_text")
+
+
+def _judged(documents: DataFrame, key: str, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
+    """`similar_documents` with own_text, the hash of key and text, by which rows of one key are told apart."""
     texts = small_batches(documents).select(
         F.struct(F.col(key).alias("key")).alias("at"), F.xxhash64(F.col(key), text_of("text")).alias("text_id"), text_of("text").alias("text")
     )
@@ -264,7 +269,7 @@ def similar_documents(
     schema = f"text_id bigint, key {kind}, class bigint, `check` bigint, sketch binary"
     hashed = stored(texts.select("text_id", "at.key", "text").mapInPandas(_sketches, schema), "sketches")
     place = F.struct("key", "text_id")
-    sets = hashed.groupBy("class").agg(F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    sets = hashed.groupBy("class").agg(F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("key").alias("name"))
     sets = stored(sets, "sets")
     leaves = _buckets(sets, runs_for(recall, similarity, DEPTH))
     # The low byte of each sketch value is enough to tell agreement from chance.
@@ -291,7 +296,7 @@ def similar_documents(
     report = stored(run_tasks(dealt, _verify(similarity)), "reports")
     links = report.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(report.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = sets.select("class", "n", F.col("place.key").alias("class_id")).join(links, F.col("class") == F.col("id"), "left").drop("id")
+    named = sets.select("class", "n", F.col("name").alias("class_id")).join(links, F.col("class") == F.col("id"), "left").drop("id")
     named = named.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     groups = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
     named = stored(named.join(groups, "component"), "classes").select(
@@ -305,7 +310,7 @@ def similar_documents(
     classed = F.when(F.col("class").isNull(), F.col("own")).otherwise(F.col("class_id"))
     return out.select(
         F.col("own").alias(key), classed.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), grouped.alias("group_id"),
-        grouped.eqNullSafe(F.col("own")).alias("kept"),
+        grouped.eqNullSafe(F.col("own")).alias("kept"), "own_text",
     )
 
 
@@ -319,6 +324,7 @@ def _low_bytes(sketch: str):
 
 def keep_one(documents: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents of which one of each group of similar ones stays, with all their columns."""
-    gone = similar_documents(documents, key, **settings).filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
+    gone = _judged(documents, key, **settings).filter(~F.col("kept")).select(F.col(key).alias("__gone"), F.col("own_text").alias("__text")).distinct()
     gone = sent_if_small(stored(gone, "similar"))
-    return documents.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col(key), text_of("text")) == F.col("__text"))
+    return documents.join(gone, same, "left_anti")

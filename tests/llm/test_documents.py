@@ -280,6 +280,16 @@ def test_contaminated_passages(spark):
         decontaminate.contaminated(docs, _benchmark(spark), most_chars=10)
 
 
+def test_only_judged_rows_of_a_key_go(spark):
+    """Other texts of the same or of no key stay."""
+    rows = [(1, sentence(0)), (None, sentence(0)), (None, sentence(1)), (2, sentence(0)), (2, sentence(2)), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = {(1, sentence(0)), (None, sentence(1)), (2, sentence(2)), (2, None)}
+    assert {tuple(r) for r in jaccard.keep_one(docs).collect()} == stay
+    clean = decontaminate.decontaminate(docs, _benchmark(spark, [(1, sentence(0))]))
+    assert {tuple(r) for r in clean.collect()} == stay - {(1, sentence(0))}
+
+
 def test_benchmark_in_parts(spark):
     """A benchmark beyond one part is read in several passes that find the same, edits included."""
     r = random.Random(6)
