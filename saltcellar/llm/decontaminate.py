@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
 
-WINDOW_WORDS, WINDOW_STEP = 20, 5
+WINDOW_WORDS = 20
 EDIT_SHARE = 0.06
 PART_CHARS = 1_000_000  # characters of the benchmark in one pass over the documents; what a task holds grows with them alone
 STRETCH_WORDS = 1000  # longer items are laid out in stretches that share all but a word of a window
@@ -28,8 +28,8 @@ def plain(text: str) -> str:
 
 
 def window_starts(words: int) -> list[int]:
-    """First words of the overlapping windows that cover an item of so many words; a shorter item is one window."""
-    return [*range(0, words - WINDOW_WORDS, WINDOW_STEP), max(words - WINDOW_WORDS, 0)]
+    """First words of the windows of an item of so many words, one at every word; a shorter item is one window."""
+    return list(range(max(words - WINDOW_WORDS, 0) + 1))
 
 
 def pieces(window: str, budget: int) -> list[tuple[int, str]]:
@@ -249,7 +249,7 @@ def contaminated(
 ) -> DataFrame:
     """One row per document row with the test items found in it: key, items (sorted ids), edits (of each), n_items.
 
-    Each test item is read as windows of 20 words (a shorter item: the whole of it), so a passage of an item counts. A
+    Each test item is read as windows of 20 words from every word on (a shorter item: the whole of it), so any 20 words of an item count. A
     window may differ by 6 % of its characters: pieces are cut so that each window holds one more than that, each document is
     searched for all pieces at once over its whole text, and from each hit the edits are counted both ways along diagonals.
     Case, punctuation and white space make no difference. A benchmark of any size is taken, in parts of about `part_chars`

@@ -306,6 +306,14 @@ def test_benchmark_in_parts(spark):
     assert [x["items"] for x in decontaminate.contaminated(docs.filter("doc_id = 3"), tests).collect()] == [[51]]
 
 
+def test_twenty_words_at_every_place(spark):
+    item = sentence(11, 50)
+    w = item.split()
+    rows = [(i, "in front " + " ".join(w[i : i + 20]) + " and behind") for i in range(31)] + [(100, " ".join(w[3:20]))]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), _benchmark(spark, [(4, item)])).collect()
+    assert {r["doc_id"] for r in found if r["n_items"]} == set(range(31))
+
+
 def test_least_edits_of_windows_by_myers():
     r = random.Random(8)
     vocabulary = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(60)]
