@@ -80,7 +80,9 @@ def _tokens_of(node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The tokens a bucket samples (index into the sketch), and which buckets sample them."""
     first, second = mix(node + np.uint64(11)), mix(node + np.uint64(12))
     every = np.ones(len(node), dtype=bool)
-    return [((first % np.uint64(SKETCH)).astype(np.int64), every), ((second % np.uint64(SKETCH)).astype(np.int64), first >> np.uint64(62) == 0)]
+    token = first % np.uint64(SKETCH)
+    other = (token + np.uint64(1) + second % np.uint64(SKETCH - 1)) % np.uint64(SKETCH)  # never the first: a name would repeat
+    return [(token.astype(np.int64), every), (other.astype(np.int64), first >> np.uint64(62) == 0)]
 
 
 def _children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

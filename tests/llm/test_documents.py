@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,12 @@ def test_similar_documents_by_brute_force(spark):
     assert all(got[i]["kept"] == (got[i]["group_id"] == i) for i in got)
 
 
+def test_no_member_goes_twice_into_a_bucket():
+    node = np.arange(1, 5001, dtype=np.uint64) * np.uint64(7919)
+    row, name = jaccard._children(node, np.zeros((len(node), jaccard.SKETCH), dtype="<u4"))
+    assert len(row) > 5000 and len(set(zip(row.tolist(), name.tolist()))) == len(row)
+
+
 def test_large_buckets_are_judged_in_blocks(spark, monkeypatch):
     """No task is handed a whole bucket of near copies that does not part."""
     core = [f"c{k}" for k in range(400)]
