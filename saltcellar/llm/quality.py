@@ -14,7 +14,7 @@ from saltcellar.llm.shared import key_hash, small_batches, text_of
 
 WIDTH, FILTERS, EMBEDDING = 6, 16, 8
 BLOCK = 256  # a chunk is two neighbouring blocks, so chunks overlap by half
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8192  # the bounded sample of labelled rows that the fit sees
+SAMPLE_ROWS = 4000  # labelled rows that the fit sees, whole
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
 SLAB_BYTES = 1 << 18
@@ -134,9 +134,13 @@ def _network(params: dict[str, np.ndarray]) -> Network:
 def _gradients(params: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     tables = np.einsum("be,jef->jbf", params["embed"], params["filters"])
     data, counts = _blocks(texts)
-    out = _responses(tables, data).reshape(int(counts.sum()), BLOCK, FILTERS)
-    where = out.argmax(axis=1)
-    peaks = np.take_along_axis(out, where[:, None, :], axis=1)[:, 0, :]
+    blocks = int(counts.sum())
+    where, peaks = np.empty((blocks, FILTERS), dtype=np.int64), np.empty((blocks, FILTERS))
+    for low in range(0, blocks, SLAB_BYTES // BLOCK):
+        high = min(low + SLAB_BYTES // BLOCK, blocks)
+        out = _responses(tables, data[low * BLOCK : high * BLOCK + WIDTH]).reshape(high - low, BLOCK, FILTERS)
+        where[low:high] = out.argmax(axis=1)
+        peaks[low:high] = np.take_along_axis(out, where[low:high, None, :], axis=1)[:, 0, :]
     first, second, begin = _chunk_rows(counts)
     from_second = peaks[second] > peaks[first]
     best = np.where(from_second, peaks[second], peaks[first]) + params["bias"]
@@ -168,19 +172,21 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = SAMPLE_ROWS) -> Network:
-    """A network from at most `rows` labelled rows outside the held-out fold, those with the smallest key hashes.
+    """A network from at most `rows` labelled rows outside the held-out fold, those with the smallest hashes of key and text.
 
-    Of a sampled text the fit sees the first 8,192 bytes; scoring reads whole texts. Null labels are left out, several labels
-    of one key count as the lowest. Without labels every score is 0.5; with one class it is that class' clipped share.
+    Rows that repeat key and text count once. The fit sees whole texts, so only the number of rows is bounded. Null labels are left
+    out, several labels of one key count as the lowest. Without labels every score is 0.5; with one class it is that class' clipped share.
     """
     marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).filter("_key IS NOT NULL AND _label IS NOT NULL")
     marks = marks.groupBy("_key").agg((F.min("_label") > 0).cast("int").alias("_label")).filter(~held_out("_key"))
-    known = documents.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").distinct()
-    chosen = marks.join(known, "_key", "left_semi").orderBy(key_hash(F.col("_key")), "_key").limit(rows)
-    texts = documents.select(F.col(key).alias("_key"), F.substring(text_of("text"), 1, SAMPLE_BYTES).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_key").select("_key", "_label", "_text").collect()  # at most `rows` keys
+    row = F.xxhash64(F.col(key), text_of("text"))
+    known = documents.select(F.col(key).alias("_key"), row.alias("_row")).filter("_key IS NOT NULL").join(marks, "_key").distinct()
+    chosen = known.orderBy("_row", key_hash(F.col("_key")), "_key").limit(rows)
+    texts = documents.select(F.col(key).alias("_key"), row.alias("_row"), text_of("text").alias("_text"))
+    found = texts.join(F.broadcast(chosen), ["_key", "_row"]).dropDuplicates(["_key", "_row"])
+    found = found.select("_key", "_label", "_text").collect()  # at most `rows` rows
     found.sort(key=lambda r: (r["_key"], r["_text"]))
-    sample = [r["_text"].encode("utf-8", "replace")[:SAMPLE_BYTES] for r in found]
+    sample = [r["_text"].encode("utf-8", "replace") for r in found]
     return fit_network(sample, np.array([r["_label"] for r in found], dtype=np.float64))
 
 

@@ -361,6 +361,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-6 for r in got.collect())
 
 
+def test_fit_is_bounded_in_rows_and_sees_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_network", lambda texts, labels: seen.append(texts))
+    rows = [(1, f"text {i}") for i in range(50)] + [(1, "text 0")] * 20 + [(i, "y" * 9000 + str(i)) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.fit(docs, labels, rows=30)
+    quality.fit(docs, labels)
+    whole = {t.encode() for i, t in rows}
+    assert len(seen[0]) == 30 and len(seen[1]) == len(set(seen[1])) and all(t in whole for texts in seen for t in texts)
+    assert max(map(len, seen[1])) > 9000
+
+
 def test_quality_without_labels(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(awkward, none).collect()} == {0.5}
