@@ -15,6 +15,7 @@ from saltcellar.llm.shared import key_hash, small_batches, text_of
 WIDTH, FILTERS, EMBEDDING = 6, 16, 8
 BLOCK = 256  # a chunk is two neighbouring blocks, so chunks overlap by half
 SAMPLE_ROWS = 4000  # labelled rows that the fit sees, whole
+MOST_EPOCHS = 60
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
 SLAB_BYTES = 1 << 18
@@ -97,7 +98,8 @@ def chunk_features(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit_network(texts: list[bytes], labels: np.ndarray, steps: int = 1500, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the log loss. The byte embedding is shared by the offsets of the filters. One class only: a constant score."""
+    """Adam on the log loss: about `steps` steps, at most `MOST_EPOCHS` passes. The byte embedding is shared by the offsets of the
+    filters. One class only: a constant score."""
     random = np.random.default_rng(seed)
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     params = {
@@ -108,7 +110,7 @@ def fit_network(texts: list[bytes], labels: np.ndarray, steps: int = 1500, batch
         return _network(params | {"weight": np.zeros(FILTERS)})
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     step = 0
-    epochs = -(-steps * batch // len(texts))
+    epochs = min(MOST_EPOCHS, -(-steps // -(-len(texts) // batch)))  # few texts give few steps, however long they are
     for epoch in range(epochs):
         order = random.permutation(len(texts))
         pace = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
