@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import alignment, backoff, chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets
+from saltcellar.llm import alignment, backoff, chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets, toxicity
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_items") > 0).alias("contaminated"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"))
 
@@ -278,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
+    "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
 }
 SQL: dict[str, str] = {
