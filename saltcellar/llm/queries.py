@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltcellar.llm import alignment, backoff, chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, secrets, toxicity
+from saltcellar.llm import alignment, backoff, chat, decontaminate, embeddings, jaccard, licenses, linededup, mixing, quality, ranking, secrets, toxicity
 from saltcellar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_items") > 0).alias("contaminated"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -271,6 +275,29 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4)
 FROM documents LEFT JOIN sums USING (doc_id)
 """
 
+# Every document is scored for every item.
+RANKING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term, docs),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term
+),
+scored AS (
+  SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_lm_scores": op2_lm_scores,
@@ -282,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
+    "op11_ranked_search": op11_ranked_search,
     "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -291,6 +319,7 @@ SQL: dict[str, str] = {
     "op3_secrets": _secrets_sql(),
     "op6_chat_format": _chat_sql(),
     "op7_line_dedup": "WITH " + LINES_SQL.format(documents="documents") + " SELECT * FROM deduped",
+    "op11_ranked_search": RANKING_SQL,
     "op9_mix_sources": "WITH " + MIX_SQL.format(sizes=SIZES_SQL.format(documents="documents"))
     + " SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM mixed",
 }
