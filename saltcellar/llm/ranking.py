@@ -20,7 +20,7 @@ TOP = 20
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FILTER_BITS = 24  # places of the term filter that tasks get: 2 MB, whatever the items hold
 BLOCK_ROWS = 8
-SHARD_ENTRIES = 1 << 21  # (document, term) entries that a task holds while it cuts blocks
+SHARD_ENTRIES = 1 << 19  # (document, term) entries that a task holds while it cuts blocks
 SEED_ROWS = 4096  # documents of an item's rarest terms that are looked at for a first bound
 GROUP_TERMS = 1 << 20  # (item, term) rows of one pass of the block builder, and of what is broadcast for it
 SKETCH = 16
@@ -196,9 +196,11 @@ def cluster(sketches: np.ndarray, size: int) -> np.ndarray:
 def shard_blocks(lists: Lists, size: int, row: np.ndarray, starts: np.ndarray, code: np.ndarray, impact: np.ndarray) -> Iterator[tuple]:
     """(list, rows, coordinates, maxima) of the blocks of each needed list within some documents; codes are places in `lists.codes`."""
     owner = np.repeat(np.arange(len(row)), np.diff(starts))
-    signs = ((lists.codes[code][:, None] >> np.arange(SKETCH)) & 1) * 2.0 - 1
     strength = impact * lists.weights[code]
-    sketches = np.stack([np.bincount(owner, strength * signs[:, d], len(row)) for d in range(SKETCH)], axis=1)
+    names = lists.codes[code]
+    sketches = np.empty((len(row), SKETCH))
+    for d in range(SKETCH):  # the bits of a term's code are the signs of its projections
+        sketches[:, d] = np.bincount(owner, np.where((names >> d) & 1 == 1, strength, -strength), len(row))
     sketches /= np.maximum(np.linalg.norm(sketches, axis=1), 1e-9)[:, None]
     order = np.argsort(code, kind="stable")
     low, high = np.searchsorted(code[order], lists.lists), np.searchsorted(code[order], lists.lists, side="right")
@@ -256,7 +258,7 @@ def blocks(rows: DataFrame, totals: Totals, lists: Lists, block_rows: int = BLOC
     return stored(read.mapInArrow(build, "term long, block long, rows array<long>, coordinates array<long>, maxima array<long>"), "search-blocks")
 
 
-def _block_rows(known: Lists, size: int, held: list[tuple], number: int, names: list[str], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _block_rows(known: Lists, size: int, held: list[tuple], number: int, names: list[str], most: int = 4096) -> Iterator[pa.RecordBatch]:
     row, lengths, code, impact = (np.concatenate([h[i] for h in held]) for i in range(4))
     found = []
 
