@@ -30,8 +30,9 @@ def open_session(app: str = "saltcellar", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Business days and clock hours are defined in UTC, whatever the host zone is."""
+    """Business days and clock hours are defined in UTC, whatever the host zone is. Folder names are read as texts: a day is no number."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     return spark
 
 
@@ -60,6 +61,11 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage so that later readers do not run its plan again.
 

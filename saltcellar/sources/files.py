@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar import schemas
+from saltcellar.session import prepare
 
 # The mark in a file name that tells what the export holds.
 EXPORT_MARKS = {
@@ -23,11 +24,29 @@ PATH_PARTS = r"/([^/]+)/([^/]+)/([^/]+?)(?:/part-[^/]+)?$"
 
 
 LOAD = "load"  # the folder name of an append to a declared table
+PERIOD = "period"  # the folder name of a month or day inside
+DAY_GRAIN, MONTH = "yyyyMMdd", "yyyyMM"
 
 
-def read_table(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """A parquet table; when declared, its columns must be there with the declared types."""
-    df = spark.read.parquet(path).drop(LOAD)
+def in_period(start: str | None, end: str | None) -> Column:
+    """The folders, of months or days, that can hold days from `start` to `end` (YYYYMMDD)."""
+    name = F.col(PERIOD)
+    after = name >= F.substring(F.lit(start), 1, F.length(name)) if start else F.lit(True)
+    before = name <= F.substring(F.lit(end), 1, F.length(name)) if end else F.lit(True)
+    return after & before
+
+
+def read_table(spark: SparkSession, path: str, table: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A parquet table; when declared, its columns must be there with the declared types.
+
+    With `start` or `end` (YYYYMMDD) only rows of these business days, from the folders of their periods. Folder names are texts,
+    as `prepare` sets it.
+    """
+    df = prepare(spark).read.parquet(path)
+    if start or end:
+        df = df.filter(in_period(start, end)) if PERIOD in df.columns else df
+        df = df.filter(F.col("business_date").between(start or "", end or "99999999"))
+    df = df.drop(LOAD, PERIOD)
     if table is None:
         return df
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}

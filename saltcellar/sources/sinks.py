@@ -10,22 +10,33 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar import schemas
-from saltcellar.sources.files import LOAD
+from saltcellar.functions.columns import parse_day
+from saltcellar.sources.files import LOAD, MONTH, PERIOD
+
+
+def with_period(df: DataFrame, grain: str = MONTH) -> DataFrame:
+    """The folder column: month or day of the business date (a date, or text), NULL where it is no day."""
+    day = F.col("business_date")
+    return df.withColumn(PERIOD, F.date_format(day if dict(df.dtypes)["business_date"] == "date" else parse_day(day), grain))
 
 
 def write_table(
     df: DataFrame,
     path: str,
     mode: str = "append",
-    partition_by: tuple[str, ...] = ("location_id",),
-    order_by: tuple[str, ...] = ("business_date",),
+    partition_by: tuple[str, ...] | None = None,
+    order_by: tuple[str, ...] = ("location_id", "business_date"),
+    grain: str = MONTH,
 ) -> int:
-    """Parquet (snappy) under one folder per location, sorted inside for row-group pruning.
+    """Parquet (snappy) under one folder per month (`grain`: or day) of the business date, where there is one, sorted inside by
+    location and day: filters on both open few folders and row groups.
 
-    Rows of a location are brought together first, so a folder gets few files; Spark splits
-    a location that is too large for one task (rebalance). Returns the rows written, counted
-    by the write itself.
+    Rows of a folder are brought together first, so it gets few files; Spark splits a folder that is too large for one task
+    (rebalance). Other folders may be asked for. Returns the rows written, counted by the write itself.
     """
+    if partition_by is None:
+        partition_by = (PERIOD,) if "business_date" in df.columns else ()
+        df = with_period(df, grain) if partition_by else df
     rows = df.hint("rebalance", *partition_by) if partition_by else df
     sort = [c for c in (*partition_by, *order_by) if c in df.columns]
     if sort:
@@ -54,11 +65,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "append", partition_by: tupl
 def append_rows(df: DataFrame, path: str, table: str, load: str | None = None) -> int:
     """Append to a declared table; missing columns are added, required ones must be set.
 
-    Every append is a folder load=<name> of its own. A named load that is written again replaces itself, so a repeated
+    Every append is a folder load=<name> of its own, with a folder per month inside where the table has days. A named load that is written again replaces itself, so a repeated
     batch of a stream adds nothing twice; `read_table` gives the declared columns of all loads.
     """
     rows = add_missing_columns(df, table).select(*schemas.TABLES[table].fieldNames())
-    return write_table(rows, f"{path}/{LOAD}={load or uuid.uuid4().hex}", "overwrite", partition_by=())
+    return write_table(rows, f"{path}/{LOAD}={load or uuid.uuid4().hex}", "overwrite")
 
 
 def replace_table(df: DataFrame, path: str) -> int:

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.functions.columns import DAY_FORMAT, day_text, parse_day
-from saltcellar.session import settle
-from saltcellar.sources.files import headers, read_by_name
+from saltcellar.sources.files import LOAD, headers, read_by_name
 from saltcellar.sources.sinks import append_rows, log_entries, log_import
 
 # What a text export has in its columns, by the mark in its file name.
@@ -90,10 +89,10 @@ def snapshot_append(
     """Append snapshot rows (of media or profiles) of the payload files that have arrived since the last run, with log rows."""
 
     def batch(found: DataFrame, load: str) -> None:
-        rows = settle(transform(found))
-        append_rows(_stamped(rows, table), target, table, load)
+        append_rows(_stamped(transform(found), table), target, table, load)
         if log:
-            counted = rows.groupBy(F.col("account_id").alias("location_id"), "source_run_id").agg(
+            written = found.sparkSession.read.parquet(f"{target}/{LOAD}={load}")
+            counted = written.groupBy(F.col("account_id").alias("location_id"), "source_run_id").agg(
                 F.count(F.lit(1)).alias("rows_imported"), F.date_format(F.current_timestamp(), "yyyyMMdd").alias("business_date")
             )
             log_import(counted.withColumns({"file_type": F.lit(table), "file_name": F.col("source_run_id")}), log, f"{table}-{load}")
