@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
+from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of, whole_row
 
 WINDOW_WORDS = 20
 EDIT_SHARE = 0.06
@@ -269,5 +269,6 @@ def contaminated(
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents without those in which a test item is found; all columns stay as they are."""
     bad = sent_if_small(stored(_found(documents, benchmark, key, **settings).select("_key", "_row"), "found"))
-    row = F.xxhash64(F.col(key), text_of(settings.get("text", "text")))
-    return documents.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (row == F.col("_row")), "left_anti")
+    row = F.xxhash64(F.col(f"own.{key}"), text_of(F.col(f"own.{settings.get('text', 'text')}")))
+    rows = documents.select(whole_row(documents))
+    return rows.join(bad, F.col(f"own.{key}").eqNullSafe(F.col("_key")) & (row == F.col("_row")), "left_anti").select("own.*")

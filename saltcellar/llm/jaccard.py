@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.llm.components import components
 from saltcellar.llm.grouped import block_tasks, earlier_shared, link_report, run_tasks, spans, whole_groups
-from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
+from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of, whole_row
 from saltcellar.llm.tokens import constants, mix, shingles, slabs, word_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -271,8 +271,11 @@ def _judged(documents: DataFrame, key: str, similarity: float = SIMILARITY, reca
     schema = f"text_id bigint, key {kind}, class bigint, `check` bigint, sketch binary"
     hashed = stored(texts.select("text_id", "at.key", "text").mapInPandas(_sketches, schema), "sketches")
     place = F.struct("key", "text_id")
-    sets = hashed.groupBy("class").agg(F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("key").alias("name"))
-    sets = stored(sets, "sets")
+    sets = hashed.groupBy(F.col("class").alias("hash"), "check").agg(
+        F.min("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("key").alias("name")
+    )
+    # Classes are told apart by 128 bits and numbered, so that no two share a number.
+    sets = stored(sets.withColumn("class", F.monotonically_increasing_id()), "sets")
     leaves = _buckets(sets, runs_for(recall, similarity, DEPTH))
     # The low byte of each sketch value is enough to tell agreement from chance.
     least = int(SKETCH * similarity - AGREE_SIGMAS * math.sqrt(SKETCH * similarity * (1 - similarity)))
@@ -304,7 +307,8 @@ def _judged(documents: DataFrame, key: str, similarity: float = SIMILARITY, reca
     named = stored(named.join(groups, "component"), "classes").select(
         "class", "class_id", "group_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    rows = hashed.select(F.col("key").alias("own_key"), "text_id", "class").distinct()
+    rows = hashed.select(F.col("key").alias("own_key"), "text_id", F.col("class").alias("hash"), "check").distinct()
+    rows = rows.join(sets.select("hash", "check", "class"), ["hash", "check"]).drop("hash", "check")
     rows = stored(rows.join(named, "class"), "document-classes")
     out = documents.select(F.col(key).alias("own"), F.xxhash64(F.col(key), text_of("text")).alias("own_text"))
     out = out.join(rows, F.col("own").eqNullSafe(F.col("own_key")) & (F.col("own_text") == F.col("text_id")), "left")
@@ -326,7 +330,8 @@ def _low_bytes(sketch: str):
 
 def keep_one(documents: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents of which one of each group of similar ones stays, with all their columns."""
-    gone = _judged(documents, key, **settings).filter(~F.col("kept")).select(F.col(key).alias("__gone"), F.col("own_text").alias("__text")).distinct()
+    gone = _judged(documents, key, **settings).filter(~F.col("kept")).select(F.col(key).alias("gone"), "own_text").distinct()
     gone = sent_if_small(stored(gone, "similar"))
-    same = F.col(key).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col(key), text_of("text")) == F.col("__text"))
-    return documents.join(gone, same, "left_anti")
+    mine = F.col(f"own.{key}")
+    same = mine.eqNullSafe(F.col("gone")) & (F.xxhash64(mine, text_of(F.col("own.text"))) == F.col("own_text"))
+    return documents.select(whole_row(documents)).join(gone, same, "left_anti").select("own.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import bind, sent_if_small, stored, text_of
+from saltcellar.llm.shared import bind, sent_if_small, stored, text_of, whole_row
 
 MOST_EDITS = 2
 SHORTEST, SHORTEST_NEAR = 10, 40  # characters: shorter lines stay; below the second only equal lines are repeats
@@ -160,11 +160,11 @@ def repeated_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_E
     """
     lines = stored(line_table(documents, key, most), "lines")
     place = F.struct("doc", "row", "pos")
-    classes = lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = stored(lines.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-kinds")
     near = stored(near_pairs(documents, lines, key, most), "line-near")
     both = near.select(F.col("low").alias("line"), "low", "high").union(near.select("high", "low", "high"))
-    firsts = lines.join(both.select("line").distinct(), (F.col("id") == F.col("line.id")) & (F.col("id2") == F.col("line.id2")), "left_semi")
-    firsts = stored(firsts.groupBy("id", "id2").agg(F.min(place).alias("first")).select(F.struct("id", "id2").alias("line"), "first"), "line-firsts")
+    firsts = classes.withColumn("line", F.struct("id", "id2")).join(both.select("line").distinct(), "line", "left_semi")
+    firsts = stored(firsts.select("line", "first"), "line-firsts")
     low = firsts.select(F.col("line").alias("low"), F.col("first").alias("low_first"))
     high = firsts.select(F.col("line").alias("high"), F.col("first").alias("high_first"))
     later = near.join(low, "low").join(high, "high")
@@ -188,17 +188,15 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", most: int = MOST_EDIT
     stay; an input column named like one of the three new ones is replaced.
     """
     drops = sent_if_small(stored(repeated_lines(documents, key, most), "line-drops"))
-    drops = drops.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    same = F.col(key).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(key), text_of("text")) == F.col("__row"))
-    joined = documents.join(drops, same, "left").withColumn("__lines", F.split(text_of("text"), "\n", -1))
-    gone = F.concat(F.col("__exact"), F.col("__near"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
-    text = F.array_join(F.transform(left, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n")
-    out = joined.withColumns(
-        {
-            "text": F.when(F.col("__exact").isNull(), text_of("text")).otherwise(text),
-            "n_lines": F.size("__lines"),
-            "n_exact": F.coalesce(F.size("__exact"), F.lit(0)), "n_near": F.coalesce(F.size("__near"), F.lit(0)),
-        }
-    )
-    return out.drop("__doc", "__row", "__exact", "__near", "__lines")
+    mine, whole = F.col(f"own.{key}"), text_of(F.col("own.text"))
+    same = mine.eqNullSafe(F.col("doc")) & (F.xxhash64(mine, whole) == F.col("row"))
+    joined = documents.select(whole_row(documents)).join(drops, same, "left").withColumn("lines", F.split(whole, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat("exact", "near"))
+    text = F.array_join(F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")
+    new = {
+        "text": F.when(F.col("exact").isNull(), whole).otherwise(text), "n_lines": F.size("lines"),
+        "n_exact": F.coalesce(F.size("exact"), F.lit(0)), "n_near": F.coalesce(F.size("near"), F.lit(0)),
+    }
+    counts = ("n_lines", "n_exact", "n_near")
+    kept = [new["text"].alias(c) if c == "text" else F.col(f"own.`{c}`") for c in documents.columns if c not in counts]
+    return joined.select(*kept, *[new[c].alias(c) for c in counts])

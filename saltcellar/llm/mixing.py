@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import key_hash, stored, text_of
+from saltcellar.llm.shared import stored, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -48,11 +48,12 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = (1, 2, 3), most_r
 
 
 def hash_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """The hash below which a document is taken once more: (source, …) in, plus `cut` out.
+    """The hash below which a document is taken once more, and how many of the rows at that hash are: (source, …) in, plus `cut`,
+    `extra` and `edge_size` (of a row at the cut) out.
 
     Sizes are summed by source and leading hash bits; the bucket in which the sum passes `part` is the only one that the
-    next level looks into, so each level is one map-side combined aggregate. At the last level a bucket is one hash, which
-    is taken if that ends nearer to the target. A larger `part` only moves the cut up: budgets are nested.
+    next level looks into, so each level is one map-side combined aggregate. At the last level a bucket is one hash, that of equal
+    rows; as many of them are taken as end nearest to the target. A larger `part` only moves the cut up: budgets are nested.
     """
     part = F.least(F.col("part"), F.col("source_size").cast("double"))
     edge = targets.select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), part.alias("rest"))
@@ -61,17 +62,24 @@ def hash_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
         bucket = F.shiftright("hash", HASH_BITS - LEVEL_BITS * step)
         inside = F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("bucket", LEVEL_BITS) == F.col("prefix"))
         rows = sized.withColumn("bucket", bucket).join(edge, inside)
-        sums = rows.groupBy("of", "bucket", "rest").agg(F.sum("size").alias("held"))
+        sums = rows.groupBy("of", "bucket", "rest").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("n"))
         upto = F.sum("held").over(Window.partitionBy("of").orderBy("bucket"))
         passed = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest"))
-        first = passed.groupBy("of").agg(F.min_by(F.struct("bucket", "held", "upto", "rest"), "bucket").alias("hit"))
+        first = passed.groupBy("of").agg(F.min_by(F.struct("bucket", "held", "upto", "rest", "n"), "bucket").alias("hit"))
         below = F.col("hit.rest") - (F.col("hit.upto") - F.col("hit.held"))
-        edge = first.select("of", F.col("hit.bucket").alias("prefix"), below.alias("rest"), F.col("hit.held").alias("held"))
-        edge = edge if step == steps else edge.drop("held")
+        edge = first.select("of", F.col("hit.bucket").alias("prefix"), below.alias("rest"), F.col("hit.held").alias("held"), F.col("hit.n").alias("n"))
+        edge = edge if step == steps else edge.drop("held", "n")
     # Half a document decides: what it adds beyond the target against what is missing without it.
-    cut = F.when(F.col("rest") * 2 >= F.col("held"), F.col("prefix") + 1).otherwise(F.col("prefix"))
+    extra = F.coalesce(F.floor(F.try_divide(F.col("rest") * F.col("n"), F.col("held")) + 0.5), F.lit(0)).cast("long")
     found = targets.join(edge, F.col("source").eqNullSafe(F.col("of")))
-    return found.select("source", "source_size", "target", "whole", cut.alias("cut"))
+    edge_size = (F.col("held") / F.col("n")).cast("long")
+    return found.select("source", "source_size", "target", "whole", F.col("prefix").alias("cut"), extra.alias("extra"), edge_size.alias("edge_size"))
+
+
+def row_hash(*columns: Column) -> Column:
+    """60 bits of the MD5 of columns written as text, one a line (null as empty): any SQL engine can compute it."""
+    lines = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("\n", *lines).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -79,24 +87,37 @@ def mix(
 ) -> DataFrame:
     """How often each document goes into a mix in which sources have their target shares.
 
-    Returns the key, the columns in `keep`, size, source_size, target, copies and taken (size x copies). Copies depend on the
-    key's hash and the source's sums alone: reruns agree, no sort of documents, `taken` of a source ends within half a document
-    of its target. No document is taken more than `most_repeats` times. Null text has size 0; null sources form one source;
-    rows that repeat a key of a source go together; an empty table gives no row. Extra columns are not looked at.
+    Returns the key, the columns in `keep`, size, source_size, target, copies and taken (size x copies). Copies depend on the hash of
+    key, text and kept columns and on the source's sums alone: reruns agree, no sort of documents. Only rows that are equal in all of
+    these share a hash; where the cut falls among them they are counted and dealt out one by one, so `taken` of a source ends
+    within half a document of its target, however often keys and texts repeat. No document is taken more than `most_repeats`
+    times. Null text has size 0; null sources form one source; an empty table gives no row. Extra columns are not looked at.
     """
     kept = [c for c in keep if c != key]
-    measured = documents.select(
-        F.struct(F.col(key), *[F.col(c) for c in kept]).alias("row"), F.col("source").alias("of"),
-        key_hash(F.col(key)).alias("hash"), word_count(F.col("text")).alias("size"),
-    )
+    own = F.struct(F.col(key), *[F.col(c) for c in kept]).alias("row")
+    named = row_hash(F.col(key), F.col("text"), *[F.col(c) for c in kept if c != "text"]).alias("hash")
+    measured = documents.select(own, F.col("source").alias("of"), named, word_count(F.col("text")).alias("size"))
     # Without further columns the measured rows are small and kept; else the table is read again rather than copied.
     sized = stored(measured if not kept else measured.drop("row"), "mix-sizes")
     rows = measured if kept else sized
     by_source = sized.withColumnRenamed("of", "source")
     totals = by_source.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = stored(hash_cuts(by_source, source_targets(totals, weights, most_repeats)), "mix-cuts")
-    copies = F.col("whole") + (F.col("hash") < F.col("cut")).cast("long")
-    joined = rows.join(cuts, F.col("of").eqNullSafe(F.col("source"))).withColumn("copies", F.least(copies, F.lit(most_repeats)))
-    return joined.select(
-        "row.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    of_source = F.col("of").eqNullSafe(F.col("source"))
+    plain = rows.join(cuts, of_source & (F.col("hash") != F.col("cut"))).withColumn("more", (F.col("hash") < F.col("cut")).cast("long"))
+    columns = ["row", "size", "source_size", "target", "whole", "more"]
+    chosen = plain.select(*columns).union(_dealt(rows.select("row", "of", "hash").join(cuts, of_source & (F.col("hash") == F.col("cut")))).select(*columns))
+    chosen = chosen.withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(most_repeats)))
+    return chosen.select("row.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _dealt(equal: DataFrame, run: int = 4096) -> DataFrame:
+    """The rows at the cuts, numbered: equal rows are counted where they lie, and `extra` of them are taken once more.
+
+    A row that stands there very often is written out again in runs that go to several tasks.
+    """
+    counted = equal.groupBy("row", F.col("edge_size").alias("size"), "source_size", "target", "whole", "extra").agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))))
+    runs = runs.repartition(F.xxhash64("start", "extra", "target"))
+    numbered = runs.withColumn("number", F.explode(F.sequence("start", F.least(F.col("start") + run, F.col("n")) - 1)))
+    return numbered.withColumn("more", (F.col("number") < F.col("extra")).cast("long"))

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # How the mix is defined, in SQL: a full sort takes the place of the histograms.
 SIZES_SQL = r"""
-SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash,
+SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS hash,
        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
 FROM {documents}
 """
@@ -38,16 +38,16 @@ targets AS (
 shares AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets
 ),
-by_hash AS (SELECT source AS of, hash, sum(size)::BIGINT AS held FROM sized GROUP BY source, hash),
+by_hash AS (SELECT source AS of, hash, sum(size)::BIGINT AS held, count(*) AS n FROM sized GROUP BY source, hash),
 upto AS (SELECT *, sum(held) OVER (PARTITION BY of ORDER BY hash) AS upto FROM by_hash),
 edges AS (
-  SELECT source, min_by(CASE WHEN (rest - (upto - held)) * 2 >= held THEN hash + 1 ELSE hash END, hash) AS cut
+  SELECT source, min(hash) AS cut, min_by(CASE WHEN held > 0 THEN floor((rest - (upto - held)) * n / held + 0.5) ELSE 0 END, hash)::BIGINT AS extra
   FROM (SELECT *, least(target - whole * source_size, source_size::DOUBLE) AS rest FROM shares) s JOIN upto ON of IS NOT DISTINCT FROM source
   WHERE upto >= rest GROUP BY source
 ),
 mixed AS (
-  SELECT z.doc_id, z.size, h.source_size, h.target, least(h.whole + (z.hash < e.cut)::BIGINT, 3) AS copies
-  FROM sized z JOIN shares h ON z.source IS NOT DISTINCT FROM h.source JOIN edges e ON e.source IS NOT DISTINCT FROM h.source
+  SELECT z.doc_id, z.size, h.source_size, h.target, least(h.whole + (z.hash < e.cut OR (z.hash = e.cut AND z.place <= e.extra))::BIGINT, 3) AS copies
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, hash) AS place FROM sized) z JOIN shares h ON z.source IS NOT DISTINCT FROM h.source JOIN edges e ON e.source IS NOT DISTINCT FROM h.source
 )
 """
 

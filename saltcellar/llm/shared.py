@@ -27,6 +27,11 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def whole_row(df: DataFrame, name: str = "own") -> Column:
+    """All columns in one, so that no name of theirs clashes with a name of the operator's; `name.*` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def key_hash(column: Column) -> Column:
     """60 bits of the MD5 of a key written as text (null as empty): any SQL engine can compute it."""
     digest = F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

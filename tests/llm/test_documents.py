@@ -75,6 +75,29 @@ def test_mix_reaches_targets(spark):
     assert target["b"] == pytest.approx(2 * target["a"])  # a: 1, b: 2, c: 3, null: 1
 
 
+def test_mix_deals_out_equal_rows(spark):
+    """Keys that repeat, or are null, are told apart by their texts; equal rows are counted and dealt out."""
+    text = " ".join(["w"] * 20)
+    rows = [(None, text, s, f"x{i}") for s in "ab" for i in range(100)] + [(i, text, s, "y") for s in "ab" for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash string")
+    for keep in ((), ("text", "source")):
+        got = mixing.mix(docs, keep=keep)
+        sums = {r["target"]: r["taken"] for r in got.groupBy("target").agg(F.sum("taken").alias("taken")).collect()}
+        assert set(sums) == {1600.0, 3200.0} and all(abs(t - n) <= 10 for t, n in sums.items()) and got.count() == 240
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("source"))
+    got = {r["target"]: r for r in mixing.mix(many).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()}
+    assert {t: (r["n"], r["taken"]) for t, r in got.items()} == {20_000.0: (10_000, 20_001), 40_000.0: (10_000, 39_999)}
+
+
+def test_clashing_names_of_filters(spark, awkward):
+    names = ("_key", "_row", "__gone", "__text", "gone", "own", "own_text", "doc", "row", "exact", "near", "lines", "__doc", "__lines")
+    docs = awkward.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for found in (linededup.dedup_lines(docs), jaccard.keep_one(docs), decontaminate.decontaminate(docs, _benchmark(spark))):
+        rows = found.collect()
+        assert rows and all(r[n] == i for r in rows for i, n in enumerate(names))
+        assert [c for c in found.columns if c in docs.columns] == docs.columns
+
+
 def test_targets_stop_at_three_times(spark):
     totals = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 0), (None, 5)], "source string, source_size long")
     got = {r["source"]: r for r in mixing.source_targets(totals).collect()}
