@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from saltcellar.llm import decontaminate, jaccard, linededup, mixing, quality
 from saltcellar.llm.shared import stored, table
 
+LEAST_LEFT = 0.2  # 1 less the similarity from which on documents are near copies
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,9 +21,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; documents of which nothing is left by that go too."""
-    out = linededup.dedup_lines(docs).filter((F.trim("text") != "") | (F.col("n_exact") + F.col("n_near") == 0))
+    """Repeated lines go. So do documents with less than `LEAST_LEFT` of their characters left: as much of them stands in earlier
+    documents as makes a near copy, and what is left would pass the next stage as a text of its own. Null text counts as empty;
+    documents without repeated lines stay as they are."""
+    out = linededup.dedup_lines(docs.select(*COLUMNS, F.char_length(F.coalesce("text", F.lit(""))).alias("whole")))
     changed = F.col("n_exact") + F.col("n_near") > 0
+    left = F.char_length(F.trim("text"))
+    out = out.filter(~changed | ((left > 0) & (left >= LEAST_LEFT * F.col("whole"))))
     return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -55,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written under the shared folder and is the next one's input."""
+    """All stages over `documents`; each result is written under the shared folder and is the next one's input.
+
+    Stages keep the five columns of `COLUMNS`; further ones of the table are left out. Rows with null keys or texts pass like others
+    (null text is empty text), repeated rows are copies of each other, ties fall as each operator states, an empty table stays empty.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
