@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import small_batches, stored, text_of
+from saltcellar.llm.shared import sent_if_small, small_batches, stored, text_of
 
 TOP = 20
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -105,7 +105,8 @@ def weighed_items(items: DataFrame, rows: DataFrame, totals: Totals) -> DataFram
     document, its place in the item from the weakest on, and what it and all weaker ones add at the most."""
     asked = items.select(F.col("row").alias("item"), F.explode(F.arrays_zip("codes", "tfs")).alias("e"))
     asked = asked.select("item", F.col("e.codes").alias("term"), F.col("e.tfs").alias("repeats"))
-    seen = postings(rows, totals).join(asked.select("term").distinct(), "term").groupBy("term")
+    known = stored(asked.select("term").distinct(), "search-vocabulary")
+    seen = postings(rows, totals).join(sent_if_small(known), "term").groupBy("term")
     seen = seen.agg(F.count("*").alias("df"), F.max("impact").alias("highest"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * totals.documents + 2)) / (2.0 * F.col("df") + 1))).cast("long")
     gain = F.col("repeats") * weight
@@ -118,7 +119,7 @@ def weighed_items(items: DataFrame, rows: DataFrame, totals: Totals) -> DataFram
 def exact_scores(pairs: DataFrame, rows: DataFrame, asked: DataFrame, totals: Totals) -> DataFrame:
     """(item, row, _key, score) of each (item, row) pair: every term of the item counts."""
     wanted = pairs.join(rows, "row")
-    each = postings(wanted, totals, "item", "row", "_key").join(asked.select("item", "term", "gain"), ["item", "term"])
+    each = postings(wanted, totals, "item", "row", "_key").join(sent_if_small(asked.select("item", "term", "gain")), ["item", "term"])
     return each.groupBy("item", "row", "_key").agg(F.sum(F.col("gain") * F.col("impact")).alias("score"))
 
 
@@ -130,7 +131,7 @@ def first_bounds(rows: DataFrame, asked: DataFrame, totals: Totals, top: int) ->
     rarest = Window.partitionBy("item").orderBy("df", "term")
     upto = asked.withColumns({"upto": F.sum("df").over(rarest), "place": F.row_number().over(rarest)})
     seeds = upto.filter((F.col("upto") <= SEED_ROWS) | (F.col("place") == 1)).select("item", "term", "gain")
-    partial = postings(rows, totals, "row").join(seeds, "term").groupBy("item", "row").agg(F.sum(F.col("gain") * F.col("impact")).alias("part"))
+    partial = postings(rows, totals, "row").join(sent_if_small(stored(seeds, "search-rarest")), "term").groupBy("item", "row").agg(F.sum(F.col("gain") * F.col("impact")).alias("part"))
     best = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("part"), "row"))
     tried = partial.withColumn("place", best).filter(F.col("place") <= 2 * top).select("item", "row")
     scored = exact_scores(stored(tried, "search-seeds"), rows, asked, totals)
@@ -282,10 +283,10 @@ def surviving_pairs(cut: DataFrame, asked: DataFrame, needed: DataFrame) -> Data
     A document is looked for in the list of the strongest of its terms: there stronger terms add nothing, so a block's sum goes
     over the list's own term and weaker ones.
     """
-    each = cut.join(needed, "term").select("item", "bound", "block", "place", F.explode(F.arrays_zip("coordinates", "maxima")).alias("c"))
+    each = cut.join(sent_if_small(needed), "term").select("item", "bound", "block", "place", F.explode(F.arrays_zip("coordinates", "maxima")).alias("c"))
     each = each.select("item", "bound", "block", F.col("place").alias("strongest"), F.col("c.coordinates").alias("term"), F.col("c.maxima").alias("most"))
     terms = asked.select("item", "term", "gain", "place")
-    sums = each.join(terms, ["item", "term"]).filter("place <= strongest").groupBy("item", "block", "bound")
+    sums = each.join(sent_if_small(terms), ["item", "term"]).filter("place <= strongest").groupBy("item", "block", "bound")
     passed = sums.agg(F.sum(F.col("gain") * F.col("most")).alias("highest")).filter(F.col("highest") >= F.col("bound")).select("item", "block")
     members = cut.select("block", F.explode("rows").alias("row"))
     return passed.join(members, "block").select("item", "row").distinct()
