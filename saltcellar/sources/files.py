@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar import schemas
-from saltcellar.session import prepare
+from saltcellar.session import prepare, settle
 
 # The mark in a file name that tells what the export holds.
 EXPORT_MARKS = {
@@ -20,6 +20,7 @@ EXPORT_MARKS = {
     "inventory": ("AllItemsReport",),
 }
 # location / day / file at the end of the path; the file may be a folder that Spark wrote
+BYTE_ORDER_MARK = "\ufeff"
 PATH_PARTS = r"/([^/]+)/([^/]+)/([^/]+?)(?:/part-[^/]+)?$"
 
 
@@ -64,47 +65,59 @@ def read_tables(spark: SparkSession, folder: str, tables: Iterable[str]) -> dict
     return {name: read_table(spark, f"{folder}/{name}.parquet", name) for name in tables}
 
 
-def with_path_parts(df: DataFrame) -> DataFrame:
-    """location_id, business_date and file_name from the path of the row's file."""
-    path = F.col("_metadata.file_path")
-    return df.select(
-        "*",
-        F.url_decode(F.regexp_extract(path, PATH_PARTS, 1)).alias("location_id"),
-        F.regexp_extract(path, PATH_PARTS, 2).alias("business_date"),
-        F.url_decode(F.regexp_extract(path, PATH_PARTS, 3)).alias("file_name"),
-    )
-
-
-def read_export(spark: SparkSession, root: str, mark: str) -> DataFrame:
+def read_export(spark: SparkSession, root: str, mark: str) -> DataFrame | None:
     """The CSV files under root/<location>/<day>/ whose name holds `mark`, all columns as text, by name.
 
     Files of one kind may have further columns, lack some or order them otherwise.
     """
-    return read_by_name(spark, headers(_texts(spark.read).load(f"{root}/*/*/*{mark}*.csv")))
+    return read_by_name(export_lines(spark.read, root, mark))
+
 
+def export_lines(reader, root: str, mark: str) -> DataFrame:
+    """The lines of the exports of one kind, with the path of their file and where their split of it begins."""
+    lines = reader.format("text").option("recursiveFileLookup", True).load(f"{root}/*/*/*{mark}*.csv")
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
-def _texts(reader):
-    return reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
 
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, header): the first filled line of each file. Only the first split of a file is looked at, and each task sends one
+    line a file."""
+    placed = lines.filter("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id()).filter("split = 0")
+    first = placed.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return first.filter(F.col("header") != BYTE_ORDER_MARK)
 
-def headers(texts: DataFrame) -> list[tuple[str, list[str]]]:
-    """Different first lines of whole-text files, each with the files that have it: names of files go to the driver."""
-    first = F.regexp_extract("value", r"\A\x{FEFF}?([^\r\n]*)", 1)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    listed = texts.select(first.alias("header"), path.alias("file")).filter("header != ''")
-    found = listed.groupBy("header").agg(F.array_sort(F.collect_set("file")).alias("files")).orderBy("header").collect()
-    return [(row["header"], row["files"]) for row in found]
 
+def _cells(line: Column, width: int) -> Column:
+    """The cells of a line by position, as an array of `width` texts; missing ones are NULL."""
+    row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
+    return F.array(*[row[f"c{i}"] for i in range(width)])
 
-def read_by_name(spark: SparkSession, found: list[tuple[str, list[str]]], declared: Iterable[str] = ()) -> DataFrame | None:
-    """Files with their columns matched by name; declared columns that no file has are empty. None without files."""
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
-    frames = [with_path_parts(reader.csv(paths)) for _, paths in found]
-    if not frames:
+
+def read_by_name(lines: DataFrame, declared: Iterable[str] = ()) -> DataFrame | None:
+    """Lines of CSV files with their cells matched to columns by name, next to location_id, business_date and file_name from the path.
+
+    Each line meets the header of its own file: a table of one row a file, never on the driver, which sees the different column names
+    and the greatest number of columns only. A file may be read in many splits. Declared columns that no file has are empty; of
+    columns with one name in a file the first counts; lines equal to the header are left out. None without files.
+    """
+    found = settle(headers(lines).withColumn("plain", F.replace("header", F.lit(BYTE_ORDER_MARK), F.lit(""))))
+    width = found.agg(F.max(F.length("plain") - F.length(F.replace("plain", F.lit(","), F.lit(""))) + 1)).first()[0]
+    if width is None:
         return None
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    absent = [name for name in declared if name not in whole.columns]
-    return whole.withColumns({name: F.lit(None).cast("string") for name in absent}) if absent else whole
+    named = settle(found.select(F.col("file").alias("of"), "header", _cells(F.col("plain"), width).alias("names")))
+    columns = [r["name"] for r in named.select(F.explode("names").alias("name")).distinct().collect() if r["name"] is not None]
+    rows = lines.filter("trim(value) <> ''").join(named, F.col("file") == F.col("of")).filter(F.col("value") != F.col("header"))
+    cut = rows.select("file", "names", _cells(F.col("value"), width).alias("cells"))
+    placed = {name: F.array_position("names", F.lit(name)).cast("int") for name in sorted(columns)}
+    cells = [F.when(at > 0, F.get("cells", at - 1)).alias(name) for name, at in placed.items()]
+    absent = [F.lit(None).cast("string").alias(name) for name in declared if name not in placed]
+    path = F.col("file")
+    return cut.select(
+        *cells, *absent,
+        F.url_decode(F.regexp_extract(path, PATH_PARTS, 1)).alias("location_id"),
+        F.regexp_extract(path, PATH_PARTS, 2).alias("business_date"),
+        F.url_decode(F.regexp_extract(path, PATH_PARTS, 3)).alias("file_name"),
+    )
 
 
 def read_exports(spark: SparkSession, root: str, table: str) -> list[DataFrame]:

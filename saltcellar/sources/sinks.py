@@ -28,17 +28,18 @@ def write_table(
     order_by: tuple[str, ...] = ("location_id", "business_date"),
     grain: str = MONTH,
 ) -> int:
-    """Parquet (snappy) under one folder per month (`grain`: or day) of the business date, where there is one, sorted inside by
-    location and day: filters on both open few folders and row groups.
+    """Parquet (snappy) under one folder per location and per month (`grain`: or day) of the business date, where there are such
+    columns, sorted inside by day: filters on both open few folders and row groups.
 
     Rows of a folder are brought together first, so it gets few files; Spark splits a folder that is too large for one task
     (rebalance). Other folders may be asked for. Returns the rows written, counted by the write itself.
     """
     if partition_by is None:
-        partition_by = (PERIOD,) if "business_date" in df.columns else ()
-        df = with_period(df, grain) if partition_by else df
+        partition_by = tuple(c for c in ("location_id",) if c in df.columns)
+        if "business_date" in df.columns:
+            partition_by, df = (*partition_by, PERIOD), with_period(df, grain)
     rows = df.hint("rebalance", *partition_by) if partition_by else df
-    sort = [c for c in (*partition_by, *order_by) if c in df.columns]
+    sort = [c for c in dict.fromkeys((*partition_by, *order_by)) if c in df.columns]
     if sort:
         rows = rows.sortWithinPartitions(*sort)
     # Counted by the tasks that write: a map task that is run again after a lost executor counts nothing twice.
@@ -69,7 +70,10 @@ def append_rows(df: DataFrame, path: str, table: str, load: str | None = None) -
     batch of a stream adds nothing twice; `read_table` gives the declared columns of all loads.
     """
     rows = add_missing_columns(df, table).select(*schemas.TABLES[table].fieldNames())
-    return write_table(rows, f"{path}/{LOAD}={load or uuid.uuid4().hex}", "overwrite")
+    target = f"{path}/{LOAD}={load or uuid.uuid4().hex}"
+    if "business_date" not in rows.columns:
+        return write_table(rows, target, "overwrite", partition_by=())
+    return write_table(with_period(rows), target, "overwrite", partition_by=(PERIOD,))
 
 
 def replace_table(df: DataFrame, path: str) -> int:

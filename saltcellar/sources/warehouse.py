@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from saltcellar import schemas
 from saltcellar.session import path_exists, prepare
 from saltcellar.sources.files import LOAD, MONTH, PERIOD
-from saltcellar.sources.sinks import add_missing_columns, write_table
+from saltcellar.sources.sinks import add_missing_columns, with_period, write_table
 
 DAY = "business_date"
 COMMIT_SCHEMA = "name string, added array<struct<table:string, folder:string, rows:bigint>>, removed array<struct<table:string, folder:string>>"
@@ -48,7 +48,10 @@ class Warehouse:
         schema, parted = self.tables[table]
         rows = (add_missing_columns(df, table) if table in schemas.TABLES else df).select(*schema.names)
         folder = f"{name}~{uuid.uuid4().hex}"
-        return Part(table, folder, write_table(rows, f"{self.root}/{table}/{LOAD}={folder}", "overwrite", parted, grain=self.grain))
+        if parted is None:
+            parted = (PERIOD,) if DAY in schema.names else ()
+            rows = with_period(rows, self.grain) if parted else rows
+        return Part(table, folder, write_table(rows, f"{self.root}/{table}/{LOAD}={folder}", "overwrite", parted))
 
     def commit(self, name: str, added: Iterable[Part], removed: Iterable[tuple[str, str]] = ()) -> None:
         """One record in one file: Spark moves it into place when it is whole."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.functions.columns import DAY_FORMAT, day_text, parse_day
-from saltcellar.sources.files import LOAD, headers, read_by_name
+from saltcellar.sources.files import LOAD, export_lines, read_by_name
 from saltcellar.sources.sinks import append_rows, log_entries, log_import
 
 # What a text export has in its columns, by the mark in its file name.
@@ -39,9 +39,8 @@ def run_stream(rows: DataFrame, batch: Callable[[DataFrame, str], None], checkpo
 
 
 def new_export_files(spark: SparkSession, root: str, mark: str) -> DataFrame:
-    """A stream over the CSV exports of one kind under root/<location>/<day>/, as whole texts."""
-    reader = spark.readStream.format("text").option("wholetext", True)
-    return reader.load(f"{root}/*/*/*{mark}*.csv").select("value", "_metadata")
+    """A stream over the lines of the CSV exports of one kind under root/<location>/<day>/."""
+    return export_lines(spark.readStream, root, mark)
 
 
 def ingest_new_files(
@@ -55,8 +54,7 @@ def ingest_new_files(
     """
 
     def batch(found: DataFrame, load: str) -> None:
-        session = found.sparkSession
-        export = read_by_name(session, headers(found), EXPORT_HEADERS[mark])
+        export = read_by_name(found, EXPORT_HEADERS[mark])
         if export is None:
             return
         append_rows(_stamped(importer(export), table), target, table, f"{mark}-{load}")

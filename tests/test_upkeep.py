@@ -132,6 +132,7 @@ def test_period_folders_of_a_table(spark, tmp_path):
     path = str(tmp_path / "orders")
     raw = _orders(spark, FIRST + LATE)
     assert write_table(raw, path, "overwrite") == 10
+    assert {p.name for p in (tmp_path / "orders").iterdir() if p.is_dir()} == {"location_id=s1", "location_id=s2"}
     got = read_table(spark, path, "orders")
     assert sorted(map(str, got.select(*raw.columns).collect())) == sorted(map(str, raw.collect()))
     part = read_table(spark, path, "orders", "20260102", "20260131")
