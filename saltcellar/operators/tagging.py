@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltcellar.functions.columns import contains_any
+from saltcellar.operators import topics
 from saltcellar.session import settle
 
 # Caption keywords per topic, and the seed words of each topic.
@@ -36,8 +35,8 @@ TOPIC_SEEDS = {
     "event_topic": ("opening", "holiday", "christmas", "lunar", "event", "festival", "community", "catering"),
 }
 TOPICS = tuple(TOPIC_KEYWORDS)
-KEY, ALL_TERMS = ("account_id", "media_id"), (1 << 31) - 1
-MIN_CAPTIONS, MIN_DOCUMENTS, TOPIC_WORDS, LONGEST_NGRAM = 5, 2, 8, 3
+KEY = ("account_id", "media_id")
+MIN_CAPTIONS = 5
 
 # Question words, checked in this order.
 KNOWN_ITEMS = (
@@ -146,55 +145,50 @@ def ambiguity_tag_lenient(question: Column) -> Column:
     ).otherwise(tag)
 
 
-def topic_model(media: DataFrame, topics: int = 8, iterations: int = 20, seed: int = 42) -> DataFrame:
-    """Topic flags from a topic model of the captions, keyword flags where it finds none.
+def _topic_parts(media: DataFrame, neighbours: int, least_size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with (key, caption, topic, words, category), and the topics' words; no words below five usable captions."""
+    text = F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"#\w+", ""))
+    texts = media.select(*KEY, "caption", text.alias("text"))
+    usable = texts.filter(F.col("text") != "").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    if (usable.agg(F.sum("copies")).first()[0] or 0) < MIN_CAPTIONS:
+        return texts.withColumns({"topic": F.lit(None).cast("int"), "category": F.lit(None).cast("string")}), None
+    assigned, terms = topics.caption_topics(usable, neighbours, least_size)
+    words = settle(topics.top_words(topics.topic_terms(assigned, terms)))
+    named = words.select(F.col("topic").alias("of"), topics.category_of(F.col("words"), TOPIC_SEEDS).alias("category"))
+    rows = texts.join(assigned.withColumnRenamed("text", "hash"), F.md5("text") == F.col("hash"), "left")
+    return rows.join(named, F.col("topic") == F.col("of"), "left").drop("of", "hash"), words
+
 
-    Hashtags and English stop words are taken out; all one- to three-word terms that occur in at
-    least two captions feed LDA, which passes over all captions each time. A topic belongs to the
-    group with most seed words among its eight top words. The number of topics is given, not found. Below five
-    captions only keywords are used. (account_id, media_id) names the row; the vocabulary is held by the driver.
+def topic_model(media: DataFrame, neighbours: int = topics.NEIGHBOURS, least_size: int = topics.LEAST_SIZE) -> DataFrame:
+    """Topic flags from topics found in the captions, keyword flags where they say nothing.
+
+    Hashtags and English stop words are taken out; captions are clustered by density over their one- to three-word terms, so the
+    number of topics follows from the data. A topic belongs to the group with most seed words among its eight heaviest terms.
+    Captions left out as noise, and those of topics without a seed word, take the keyword flags; below five captions only
+    keywords are used. Rows are (account_id, media_id) as given; equal captions share a topic.
     """
-    texts = media.select(
-        *KEY, "caption", F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"#\w+", "")).alias("text")
-    )
-    usable = texts.filter(F.col("text") != "")
+    rows, _ = _topic_parts(media, neighbours, least_size)
     flags = keyword_flags(F.col("caption"))
-    if usable.limit(MIN_CAPTIONS).count() < MIN_CAPTIONS:
-        return texts.select(*KEY, F.lit(None).cast("int").alias("topic"), *[c.alias(n) for n, c in flags.items()])
-    joined = ", ".join(f"terms{n}" for n in range(1, LONGEST_NGRAM + 1))
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\b\w\w+\b", gaps=False),
-        StopWordsRemover(inputCol="words", outputCol="kept"),
-        *[NGram(n=n, inputCol="kept", outputCol=f"terms{n}") for n in range(1, LONGEST_NGRAM + 1)],
-        SQLTransformer(statement=f"SELECT {', '.join(KEY)}, concat({joined}) AS terms FROM __THIS__"),
-    ]
-    terms = settle(Pipeline(stages=steps).fit(usable).transform(usable))
-    counter = CountVectorizer(inputCol="terms", outputCol="features", minDF=MIN_DOCUMENTS, vocabSize=ALL_TERMS).fit(terms)
-    vectors = settle(counter.transform(terms).select(*KEY, "features"))
-    model = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0).fit(vectors)
-    vocabulary = counter.vocabulary
-    groups = {
-        row["topic"]: _topic_group([vocabulary[i] for i in row["termIndices"]])
-        for row in model.describeTopics(TOPIC_WORDS).collect()
-    }
-    weights = vector_to_array(F.col("topicDistribution"))
-    assigned = model.transform(vectors).select(
-        *[F.col(k).alias(f"_{k}") for k in KEY], (F.array_position(weights, F.array_max(weights)) - 1).cast("int").alias("topic")
-    )
-    same = F.lit(True)
-    for k in KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    rows = texts.join(assigned, same, "left")
-    in_group = {name: [topic for topic, group in groups.items() if group == name] for name in TOPICS}
-    modeled = {n: F.coalesce(F.col("topic").isin(in_group[n]), F.lit(False)).cast("int") for n in TOPICS}
-    found = F.greatest(*modeled.values()) > 0
+    found = F.col("category").isNotNull()
     return rows.select(
-        *KEY, "topic", *[F.when(found, modeled[n]).otherwise(flags[n]).alias(n) for n in TOPICS]
+        *KEY, "topic", *[F.when(found, (F.col("category") == n).cast("int")).otherwise(flags[n]).alias(n) for n in TOPICS]
     )
 
 
-def _topic_group(words: list[str]) -> str | None:
-    """The group with most seeds among a topic's words; the first one on a tie, None for no seed."""
-    hits = {name: len(set(words) & set(seeds)) for name, seeds in TOPIC_SEEDS.items()}
-    best = max(hits, key=hits.get)
-    return best if hits[best] else None
+def topic_table(media: DataFrame, neighbours: int = topics.NEIGHBOURS, least_size: int = topics.LEAST_SIZE) -> DataFrame:
+    """topic, category, size and the five heaviest terms of each topic, and one row without topic for the captions left out."""
+    rows, words = _topic_parts(media, neighbours, least_size)
+    words = media.sparkSession.createDataFrame([], "topic int, words array<string>") if words is None else words
+    return topics.topic_summary(rows, words)
+
+
+def keyword_topic_table(media: DataFrame, stop: Sequence[str] | None = None) -> DataFrame:
+    """The same table with the first keyword group of a caption, hashtags taken out, as its topic."""
+    text = F.trim(F.regexp_replace(F.coalesce("caption", F.lit("")), r"#\w+", ""))
+    flags = keyword_flags(F.col("text"))
+    first = _first_match([(name, flags[name] == 1) for name in TOPICS], None)
+    rows = settle(media.select(text.alias("text")).select("text", first.alias("topic")))
+    texts = rows.filter("text <> ''").groupBy("text", "topic").agg(F.count(F.lit(1)).alias("copies"))
+    assigned = texts.filter("topic IS NOT NULL").select(F.md5("text").alias("text"), "topic")
+    words = topics.top_words(topics.topic_terms(assigned, topics.term_table(texts.select("text", "copies"), stop)))
+    return topics.topic_summary(rows.select("topic", F.col("topic").alias("category")), words)

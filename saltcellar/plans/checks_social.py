@@ -134,12 +134,17 @@ def _tags(t):
     )
 
 
+# Words that the keyword table leaves out.
+STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "at", "on", "an", "as", "or", "be", "de", "la", "le", "les", "el", "en", "new", "tea")
+
 QUERIES = {
     "normalize_media": lambda t: _scored(t).select(
         "account_id", "media_id", "date", "likes", "views", "shares", "total_interactions", F.round("engagement_score", 6).alias("engagement_score")
     ),
     "keyword_topics": lambda t: tagging.keyword_topics(t.media).select("account_id", "media_id", *tagging.TOPICS),
     "topic_model": lambda t: tagging.topic_model(t.media),
+    "topic_table": lambda t: tagging.topic_table(t.media),
+    "keyword_topic_table": lambda t: tagging.keyword_topic_table(t.media, STOP_WORDS),
     "social_daily": lambda t: engagement.social_daily(_scored(t)),
     "engagement_features": _features,
     "holiday_flag": lambda t: engagement.holiday_flags(t.stored_orders.select(F.col("business_date").alias("date")).distinct()),
@@ -299,6 +304,26 @@ _DATE = "strftime(date, '%Y-%m-%d') AS date"
 
 SQL = {
     "normalize_media": f"SELECT account_id, media_id, {_DATE}, likes, views, shares, total_interactions, round(score, 6) AS engagement_score FROM e_scored",
+    "keyword_topic_table": f"""
+        WITH k_texts AS (SELECT trim(regexp_replace(coalesce(caption, ''), '#\\w+', '', 'g')) AS text FROM v_media),
+        k_flagged AS (SELECT text, {_FLAGS} FROM (SELECT text, lower(text) AS low FROM k_texts)),
+        k_rows AS (SELECT text, CASE WHEN promo_topic = 1 THEN 'promo_topic' WHEN product_topic = 1 THEN 'product_topic' WHEN event_topic = 1 THEN 'event_topic' END AS topic FROM k_flagged),
+        k_words AS (
+            SELECT text, any_value(topic) AS topic, count(*) AS copies,
+                   list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS w
+            FROM k_rows WHERE text <> '' GROUP BY text),
+        k_terms AS (
+            SELECT text, topic, copies, term, count(*) AS tf FROM (
+                SELECT text, topic, copies, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                       list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM k_words) GROUP BY ALL),
+        k_kept AS (SELECT * FROM k_terms WHERE term IN (SELECT term FROM k_terms GROUP BY term HAVING sum(copies) >= 2) AND topic IS NOT NULL),
+        k_each AS (SELECT topic, term, sum(tf * copies) AS tf FROM k_kept GROUP BY ALL),
+        k_weights AS (
+            SELECT topic, term, e.tf / a.n * ln(1 + (SELECT avg(n) FROM (SELECT sum(tf) AS n FROM k_each GROUP BY topic)) / t.n) AS weight
+            FROM k_each e JOIN (SELECT topic, sum(tf) AS n FROM k_each GROUP BY topic) a USING (topic) JOIN (SELECT term, sum(tf) AS n FROM k_each GROUP BY term) t USING (term)),
+        k_top AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) AS place FROM k_weights)
+        SELECT r.topic, r.topic AS category, r.size, coalesce(string_agg(term, ', ' ORDER BY place), '') AS words
+        FROM (SELECT topic, count(*) AS size FROM k_rows GROUP BY topic) r LEFT JOIN k_top p ON p.topic = r.topic AND place <= 5 GROUP BY ALL""",
     "keyword_topics": f"SELECT account_id, media_id, {_FLAGS} FROM (SELECT *, lower(coalesce(caption, '')) AS low FROM v_media)",
     "social_daily": f"SELECT * REPLACE ({_DATE}) FROM e_social",
     "engagement_features": f"SELECT * REPLACE ({_DATE}) FROM e_features",

@@ -20,7 +20,7 @@ def test_names_agree():
     named = lambda found: {name for name in found if not re.match(r"op\d+_|pipeline$", name)}  # those have tests of their own
     queries, oracle = named(contract.queries()), named(contract.oracle_sql())
     assert set(oracle) <= set(queries) and len(queries) > 140
-    assert set(queries) - set(oracle) == {"topic_model", "predictive_summary", "ols_hc3", "dynamic_panel", "response_curves"}
+    assert set(queries) - set(oracle) == {"topic_model", "topic_table", "predictive_summary", "ols_hc3", "dynamic_panel", "response_curves"}
 
 
 def test_entry_runs(spark):

@@ -152,7 +152,7 @@ def test_question_tags(spark, question, intent, guard, open_point, lenient):
 def test_topic_model_keeps_rows_of_equal_media_ids(spark, rows):
     captions = ["dumpling noodle pork dumplings", "holiday festival community event"] * 3
     df = spark.createDataFrame([("ab"[n // 3], str(n % 3), c) for n, c in enumerate(captions)], "account_id string, media_id string, caption string")
-    assert len(rows(tagging.topic_model(df, topics=2, iterations=3))) == 6
+    assert len(rows(tagging.topic_model(df, neighbours=2, least_size=2))) == 6
 
 
 def test_summary_without_a_model_reports_the_index(spark, rows):
@@ -168,7 +168,7 @@ def test_summary_without_a_model_reports_the_index(spark, rows):
 def test_topic_model(spark, rows):
     captions = ["dumpling noodle pork dumplings"] * 6 + ["holiday festival community event #sale"] * 6 + ["#only #tags", None, "free coupon xyz"]
     df = spark.createDataFrame([("a", str(n), c) for n, c in enumerate(captions)], "account_id string, media_id string, caption string")
-    got = {r["media_id"]: r for r in rows(tagging.topic_model(df, topics=2, iterations=15))}
+    got = {r["media_id"]: r for r in rows(tagging.topic_model(df))}
     assert len(got) == len(captions) and got["12"]["topic"] is None and got["13"]["promo_topic"] == 0
     assert all(max(r["promo_topic"], r["product_topic"], r["event_topic"]) == 1 for k, r in got.items() if int(k) < 12)
     few = {r["media_id"]: r for r in rows(tagging.topic_model(df.filter("media_id IN ('0', '6', '14')")))}
