@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from saltcellar.functions.columns import portable
-from saltcellar.plans import checks_ingest, checks_menu, checks_questions, checks_sales, checks_social, checks_upkeep
+from saltcellar.plans import checks_ingest, checks_menu, checks_questions, checks_sales, checks_scoped, checks_social, checks_upkeep
 from saltcellar.plans.oracle_tables import with_tables
 from saltcellar.plans.oracle_views import VIEWS
 from saltcellar.plans.samples import Samples
 
-SECTIONS = [checks_ingest, checks_sales, checks_menu, checks_questions, checks_social, checks_upkeep]
+SECTIONS = [checks_ingest, checks_sales, checks_menu, checks_questions, checks_social, checks_upkeep, checks_scoped]
 
 
 def _runner(build: Callable[[Samples], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

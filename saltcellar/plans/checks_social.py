@@ -112,6 +112,22 @@ def _snapshots(t):
     )
 
 
+def _profile_snapshots(t):
+    """Two landings of profiles and a run after each, with log rows; the newest snapshot of each account."""
+    landing, target, state, log = (scratch_path(t.spark, n) for n in ("profiles", "profile-snapshots", "state", "log"))
+
+    def transform(run_id):
+        return lambda found: payloads.profile_snapshot(found, F.lit(" "), F.lit(run_id), F.lit("UTC"))
+
+    for run_id in ("run-1", "run-2", "run-3"):
+        if run_id != "run-3":  # the last run finds nothing new
+            t.profile_payload.write.mode("append").json(landing)
+        incremental.snapshot_append(t.spark, landing, schemas.PROFILE_PAYLOAD, transform(run_id), target, state, "profile_snapshots", log)
+    logged = files.read_table(t.spark, log, "import_log").groupBy(F.col("location_id").alias("account_id")).agg(F.sum("rows_imported").alias("logged_rows"))
+    newest = views.profiles_current(files.read_table(t.spark, target, "profile_snapshots"))
+    return newest.join(logged, "account_id").select("account_id", "account_label", "media_count", "snapshot_date", "source_run_id", "logged_rows")
+
+
 def _window(t):
     latest = t.import_log.groupBy("location_id").agg(F.max("import_timestamp").alias("now"))
     start = F.when(F.col("location_id").startswith("site"), F.lit("1999-12-31"))
@@ -178,6 +194,7 @@ QUERIES = {
     "new_files": _new_files,
     "new_orders_clean": _new_orders,
     "snapshot_append": _snapshots,
+    "profile_snapshot_append": _profile_snapshots,
     "sync_range": _ranges,
     "latest_import_date": lambda t: incremental.latest_import_date(t.import_log, source="API"),
     "imported_dates": lambda t: incremental.imported_dates(t.import_log, source="CSV"),
@@ -375,6 +392,10 @@ SQL = {
         SELECT order_guid, payment_method, amount, payment_date, store AS location_id, '20010801' AS business_date FROM raw_payments, (VALUES ('store_0'), ('store_1'), ('store_2')) s(store)""",
     "new_orders_clean": """
         SELECT 'store_0' AS location_id, count(DISTINCT order_guid) AS orders, (SELECT count(order_time) FROM v_orders) AS timed, count(*)::BIGINT AS logged_rows FROM raw_orders""",
+    "profile_snapshot_append": """
+        SELECT CAST(s_suppkey AS VARCHAR) AS account_id, CASE WHEN s_acctbal < 0 THEN CAST(s_suppkey AS VARCHAR) ELSE lower(s_name) END AS account_label,
+               CAST(s_nationkey AS BIGINT) AS media_count, strftime(DATE '2001-02-01' + s_nationkey, '%Y-%m-%d') AS snapshot_date, 'run-2' AS source_run_id,
+               2 AS logged_rows FROM supplier""",
     "snapshot_append": """
         SELECT 'acct_' || account AS account_id, 'run-2' AS source_run_id, count(*) AS media, CAST(sum(n_chars % 211 + n_chars % 17) AS BIGINT) AS engagement FROM media_base GROUP BY account""",
     "sync_range": """
