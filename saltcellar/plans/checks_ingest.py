@@ -153,7 +153,7 @@ def _manifest(t):
     }
     for name, df in pulled.items():
         paths[name] = f"{folder}/{name}"
-        sinks.write_table(df, paths[name], "overwrite")
+        sinks.write_table(df, paths[name], "overwrite", partition_by=("location_id",))
     return sinks.write_manifest(t.spark, paths, f"{folder}/manifest", start_date="19950101", end_date="20011231").select(
         "table_name", "row_count", (F.col("bytes") > 0).alias("has_bytes"), "start_date", "end_date"
     )

@@ -87,10 +87,12 @@ def headers(lines: DataFrame) -> DataFrame:
     return first.filter(F.col("header") != BYTE_ORDER_MARK)
 
 
-def _cells(line: Column, width: int) -> Column:
+def _with_cells(lines: DataFrame, line: str, width: int, name: str) -> DataFrame:
     """The cells of a line by position, as an array of `width` texts; missing ones are NULL."""
-    row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
-    return F.array(*[row[f"c{i}"] for i in range(width)])
+    row = F.from_csv(F.col(line), ", ".join(f"c{i} string" for i in range(width)), {"escape": '"'})
+    # Exploded from an array of one, so that a line is cut once and not again for each column taken from it.
+    cut = lines.withColumn("_row", F.explode(F.array(row)))
+    return cut.withColumn(name, F.array(*[F.col(f"_row.c{i}") for i in range(width)])).drop("_row")
 
 
 def read_by_name(lines: DataFrame, declared: Iterable[str] = ()) -> DataFrame | None:
@@ -104,10 +106,10 @@ def read_by_name(lines: DataFrame, declared: Iterable[str] = ()) -> DataFrame |
     width = found.agg(F.max(F.length("plain") - F.length(F.replace("plain", F.lit(","), F.lit(""))) + 1)).first()[0]
     if width is None:
         return None
-    named = settle(found.select(F.col("file").alias("of"), "header", _cells(F.col("plain"), width).alias("names")))
+    named = settle(_with_cells(found, "plain", width, "names").select(F.col("file").alias("of"), "header", "names"))
     columns = [r["name"] for r in named.select(F.explode("names").alias("name")).distinct().collect() if r["name"] is not None]
     rows = lines.filter("trim(value) <> ''").join(named, F.col("file") == F.col("of")).filter(F.col("value") != F.col("header"))
-    cut = rows.select("file", "names", _cells(F.col("value"), width).alias("cells"))
+    cut = _with_cells(rows, "value", width, "cells")
     placed = {name: F.array_position("names", F.lit(name)).cast("int") for name in sorted(columns)}
     cells = [F.when(at > 0, F.get("cells", at - 1)).alias(name) for name, at in placed.items()]
     absent = [F.lit(None).cast("string").alias(name) for name in declared if name not in placed]

@@ -95,3 +95,28 @@ def test_export_of_analysis_tables(spark, rows, tmp_path):
     with pytest.raises(ValueError, match="inventory"):
         sinks.export_tables(spark, tables, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "payments_clean.parquet")).count() == 4
+
+
+def test_headers_of_files_in_several_splits(spark, rows, tmp_path):
+    """Only the first split of a file holds its header; cells go by the names of their own file."""
+    folder = tmp_path / "store_a" / "20260105"
+    folder.mkdir(parents=True)
+    lines = [f'{i},"x, ""{i}""",{i * 2}' for i in range(2000)]
+    (folder / "PaymentDetails_1.csv").write_text("\ufeffid,name,twice\n" + "\n".join(lines) + "\n\n", encoding="utf-8")
+    (folder / "PaymentDetails_2.csv").write_text("extra,twice,id\r\n,7,a\r\nonly\r\n", encoding="utf-8")
+    (folder / "PaymentDetails_3.csv").write_text("", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = files.read_export(spark, str(tmp_path), "PaymentDetails")
+        assert files.export_lines(spark.read, str(tmp_path), "PaymentDetails").select("split").distinct().count() > 4
+        got = rows(found)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = sorted((r for r in got if r["file_name"] == "PaymentDetails_1.csv"), key=lambda r: int(r["id"]))
+    assert [(r["id"], r["name"], r["twice"], r["extra"]) for r in first] == [(str(i), f'x, "{i}"', str(i * 2), None) for i in range(2000)]
+    second = [(r["extra"], r["twice"], r["id"], r["name"]) for r in got if r["file_name"] == "PaymentDetails_2.csv"]
+    assert sorted(second, key=str) == [("only", None, None, None), (None, "7", "a", None)]
+    assert {(r["location_id"], r["business_date"]) for r in got} == {("store_a", "20260105")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
