@@ -19,6 +19,7 @@ MOST_EPOCHS = 60
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
 SLAB_BYTES = 1 << 18
+BATCH_ROWS = 500  # texts that a scoring task holds at once
 GRID = float(1 << 20)
 
 
@@ -201,7 +202,7 @@ def score(documents: DataFrame, net: Network, key: str = "doc_id") -> DataFrame:
             texts = [t.encode("utf-8", "replace") for t in batch["_text"]]
             yield pd.DataFrame({key: batch["_key"], "score": model.value.scores(texts).astype("float64")})
 
-    rows = small_batches(documents).select(F.col(key).alias("_key"), text_of("text").alias("_text"))
+    rows = small_batches(documents, BATCH_ROWS).select(F.col(key).alias("_key"), text_of("text").alias("_text"))
     return rows.mapInPandas(rate, f"`{key}` {documents.schema[key].dataType.simpleString()}, score double")
 
 
@@ -222,4 +223,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, key: str = "doc_id", thre
     def rating(texts: pd.Series) -> pd.Series:
         return pd.Series(net.value.scores([t.encode("utf-8", "replace") for t in texts]), dtype="float64")
 
-    return small_batches(documents).filter(rating(text_of("text")) >= threshold)
+    return small_batches(documents, BATCH_ROWS).filter(rating(text_of("text")) >= threshold)
