@@ -1,11 +1,16 @@
 """Reports once more for two locations and a window that cuts the sample days, with the scope written out in their SQL."""
 
 import re
+from functools import reduce
 
-from saltcellar.operators import customers, menu, sales
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from saltcellar.operators import customers, distinct, menu, sales
 from saltcellar.plans import checks_menu, checks_questions, checks_sales, questions
 from saltcellar.plans.oracle_views import VIEWS
 from saltcellar.plans.samples import QuestionTables
+from saltcellar.session import remove_at_exit, scratch_path
 
 PLACES, START, END = ("demo_asia", "demo_america"), "19960310", "19970620"
 WINDOW = {"start": START, "end": END}
@@ -15,7 +20,23 @@ def _ask(name):
     return lambda t: questions.QUESTIONS[name](QuestionTables(t), locations=list(PLACES), **WINDOW)
 
 
+WINDOWS = {"spring": (None, "19960301", "19960531"), "two_places": (PLACES, START, END), "all": (None, None, None)}
+
+
+def _windows(t):
+    """Distinct orders and customers of three windows, merged from one stored day table."""
+    visits = t.stored_masked.select("location_id", "order_guid", "customer_id").join(t.stored_orders.select("order_guid", "business_date"), "order_guid")
+    keys = {"orders": distinct.number_keys(visits, "order_guid"), "customers": distinct.number_keys(visits, "customer_id")}
+    path = scratch_path(t.spark, "day-bitmaps")
+    distinct.day_bitmaps(visits, keys).write.parquet(path)
+    remove_at_exit(t.spark, path)
+    days = t.spark.read.parquet(path)
+    parts = [distinct.merged_counts(days, *scope).withColumn("period", F.lit(name)) for name, scope in WINDOWS.items()]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("distinct", "counted")
+
+
 QUERIES = {
+    "distinct_by_window": _windows,
     "sales_summary_scoped": lambda t: sales.sales_summary(t.stored_orders, PLACES, START, END),
     "menu_performance_scoped": lambda t: sales.menu_performance(t.raw_items, t.stored_inventory, PLACES, START, END),
     "item_kpis_scoped": lambda t: menu.item_kpis(t.stored_items, t.stored_orders, t.stored_inventory, PLACES, START, END),
@@ -58,7 +79,12 @@ def _scoped(sql: str) -> str:
     return re.sub(r"[a-z_0-9]+", renamed, sql)
 
 
+_COUNTED = """
+    SELECT '{0}' AS period, 'orders' AS measure, count(DISTINCT order_guid) AS counted FROM c_visits WHERE {1}
+    UNION ALL SELECT '{0}', 'customers', count(DISTINCT customer_id) FROM c_visits WHERE {1}"""
 SQL = {
+    "distinct_by_window": " UNION ALL ".join(_COUNTED.format(name, where) for name, where in (
+        ("spring", "business_date BETWEEN DATE '1996-03-01' AND DATE '1996-05-31'"), ("two_places", _DATES), ("all", "true"))),
     "sales_summary_scoped": _scoped(checks_sales.SQL["sales_summary"]),
     "menu_performance_scoped": _scoped(checks_sales.SQL["menu_performance"]),
     "item_kpis_scoped": _scoped(checks_menu.SQL["item_kpis"]),
