@@ -130,3 +130,49 @@ def test_topic_terms_by_hand(spark, rows):
     got = {(r["topic"], r["term"]): r["weight"] for r in rows(topics.topic_terms(assigned, terms))}
     mean = (8 + 2) / 2
     assert got == pytest.approx({(0, "x"): 6 / 8 * math.log(1 + mean / 8), (0, "y"): 2 / 8 * math.log(1 + mean / 2), (1, "x"): 1 * math.log(1 + mean / 8)})
+
+
+def _unit(r, size=6):
+    found = {f"t{r.randrange(40)}": r.random() + 0.1 for _ in range(size)}
+    norm = math.sqrt(sum(w * w for w in found.values()))
+    return {t: round(w / norm, 9) for t, w in found.items()}
+
+
+@pytest.mark.parametrize("block", [40, 1000])
+def test_blocks_give_all_cores_and_the_forest_of_all_pairs(spark, block):
+    r = random.Random(4)
+    vectors = {f"n{i:03d}": _unit(r) for i in range(120)} | {"alone": {"only here": 1.0}}
+    copies = {k: r.choice([1, 1, 1, 2, 4]) for k in vectors}
+    frame = spark.createDataFrame([(k, copies[k], sorted(v.items())) for k, v in vectors.items()], "node string, n long, vector array<struct<term:string,weight:double>>")
+    nodes = topics.coded(frame)
+    far = {}
+    for a in vectors:
+        for b in vectors:
+            cosine = sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())
+            if a < b and cosine >= topics.LEAST_SIMILARITY:
+                far[a, b] = max(math.floor((1 - cosine) * topics.GRID + 0.5), 0) / topics.GRID
+    want = {}
+    for k in vectors:
+        near = sorted([(0.0, copies[k])] + [(d, copies[b if a == k else a]) for (a, b), d in far.items() if k in (a, b)])
+        reached = [d for i, (d, _) in enumerate(near) if sum(n for _, n in near[: i + 1]) >= topics.NEIGHBOURS]
+        want |= {k: reached[0]} if reached else {}
+    cores = topics.core_distances(nodes, topics.near_counts(nodes, block=block))
+    assert {x["node"]: x["core"] for x in cores.collect()} == want
+    edges = topics.near_edges(nodes.join(cores, "node"), 0.6, block=block)
+    plain = [(a, b, w) for (a, b), d in far.items() if a in want and b in want and (w := max(d, want[a], want[b])) <= 0.6]
+    _, forest = topics.spanning_forest(edges)
+    _, whole = topics.spanning_forest(spark.createDataFrame(plain, "a string, b string, weight double"))
+    assert len(plain) > 100 and {tuple(x) for x in forest.collect()} == {tuple(x) for x in whole.collect()}
+
+
+def test_terms_are_counted_where_their_text_is_cut(spark, rows):
+    texts = spark.createDataFrame([("one two three", 2), ("two three two three", 1), ("alone", 1)], "text string, copies long")
+    table = topics.term_table(texts, [])
+    of = lambda text: hashlib.md5(text.encode()).hexdigest()
+    first, second = of("one two three"), of("two three two three")
+    want = {(first, t): (1, 2) for t in ("one", "one two", "one two three")} | {(first, t): (1, 3) for t in ("two", "three", "two three")}
+    want |= {(second, t): (2, 3) for t in ("two", "three", "two three")}
+    assert {(r["text"], r["term"]): (r["tf"], r["df"]) for r in rows(table)} == want
+    # One exchange deals out the words, none the terms with their text, before the join by term.
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan.split("Generate")[0] and "slice" not in plan
