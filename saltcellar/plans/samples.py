@@ -113,11 +113,11 @@ class Samples:
         return customers.customer_profiles(self.stored_masked, self.stored_orders)
 
     def _landed(self, payload: str, schema: str) -> DataFrame:
-        """The payload landed once as JSON files and read back with its schema."""
+        """The payload landed once as JSON files, packed, and read back with its schema."""
         key = (self.spark.sparkContext.applicationId, self.folder, payload)
         if key not in _STORED:
             path = scratch_path(self.spark, payload)
-            getattr(self, payload).write.json(path)
+            getattr(self, payload).write.option("compression", "gzip").json(path)
             remove_at_exit(self.spark, path)
             _STORED[key] = path
         return read_payload(self.spark, _STORED[key], schema)
