@@ -24,6 +24,7 @@ BYTE_ORDER_MARK = "\ufeff"
 PATH_PARTS = r"/([^/]+)/([^/]+)/([^/]+?)(?:/part-[^/]+)?$"
 
 
+HEADERS_AT_ONCE = 16_000_000  # characters of headers and paths up to which every task gets all headers
 LOAD = "load"  # the folder name of an append to a declared table
 PERIOD = "period"  # the folder name of a month or day inside
 DAY_GRAIN, MONTH = "yyyyMMdd", "yyyyMM"
@@ -98,28 +99,34 @@ def _with_cells(lines: DataFrame, line: str, width: int, name: str) -> DataFrame
 def read_by_name(lines: DataFrame, declared: Iterable[str] = ()) -> DataFrame | None:
     """Lines of CSV files with their cells matched to columns by name, next to location_id, business_date and file_name from the path.
 
-    Each line meets the header of its own file: a table of one row a file, never on the driver, which sees the different column names
-    and the greatest number of columns only. A file may be read in many splits. Declared columns that no file has are empty; of
+    Each line meets the header of its own file: a table of one row a file. Where it is small, by its measured size, every task gets it
+    and lines stay where they are read, so a few large files are not each gathered in one task; else lines and headers are joined by
+    file. The driver itself looks at the different column names and the greatest number of columns. A file may be read in many splits. Declared columns that no file has are empty; of
     columns with one name in a file the first counts; lines equal to the header are left out. None without files.
     """
     found = settle(headers(lines).withColumn("plain", F.replace("header", F.lit(BYTE_ORDER_MARK), F.lit(""))))
-    width = found.agg(F.max(F.length("plain") - F.length(F.replace("plain", F.lit(","), F.lit(""))) + 1)).first()[0]
+    commas = F.length("plain") - F.length(F.replace("plain", F.lit(","), F.lit("")))
+    width, chars = found.agg(F.max(commas + 1), F.sum(F.length("file") + F.length("header"))).first()
     if width is None:
         return None
     named = settle(_with_cells(found, "plain", width, "names").select(F.col("file").alias("of"), "header", "names"))
     columns = [r["name"] for r in named.select(F.explode("names").alias("name")).distinct().collect() if r["name"] is not None]
-    rows = lines.filter("trim(value) <> ''").join(named, F.col("file") == F.col("of")).filter(F.col("value") != F.col("header"))
+    # Places and the parts of the path are looked up once a file, not in every line.
+    placed, path = {name: f"_at_{i}" for i, name in enumerate(sorted(columns))}, F.col("of")
+    places = named.select(
+        "of", "header", *[F.array_position("names", F.lit(name)).cast("int").alias(at) for name, at in placed.items()],
+        F.url_decode(F.regexp_extract(path, PATH_PARTS, 1)).alias("_location"),
+        F.regexp_extract(path, PATH_PARTS, 2).alias("_day"),
+        F.url_decode(F.regexp_extract(path, PATH_PARTS, 3)).alias("_name"),
+    )
+    places = settle(places)
+    places = F.broadcast(places) if chars <= HEADERS_AT_ONCE else places
+    rows = lines.filter("trim(value) <> ''").join(places, F.col("file") == F.col("of")).filter(F.col("value") != F.col("header"))
     cut = _with_cells(rows, "value", width, "cells")
-    placed = {name: F.array_position("names", F.lit(name)).cast("int") for name in sorted(columns)}
-    cells = [F.when(at > 0, F.get("cells", at - 1)).alias(name) for name, at in placed.items()]
+    cells = [F.when(F.col(at) > 0, F.get("cells", F.col(at) - 1)).alias(name) for name, at in placed.items()]
     absent = [F.lit(None).cast("string").alias(name) for name in declared if name not in placed]
-    path = F.col("file")
-    return cut.select(
-        *cells, *absent,
-        F.url_decode(F.regexp_extract(path, PATH_PARTS, 1)).alias("location_id"),
-        F.regexp_extract(path, PATH_PARTS, 2).alias("business_date"),
-        F.url_decode(F.regexp_extract(path, PATH_PARTS, 3)).alias("file_name"),
-    )
+    parts = [F.col(f).alias(name) for f, name in (("_location", "location_id"), ("_day", "business_date"), ("_name", "file_name"))]
+    return cut.select(*cells, *absent, *parts)
 
 
 def read_exports(spark: SparkSession, root: str, table: str) -> list[DataFrame]:

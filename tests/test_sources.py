@@ -120,3 +120,17 @@ def test_headers_of_files_in_several_splits(spark, rows, tmp_path):
     assert {(r["location_id"], r["business_date"]) for r in got} == {("store_a", "20260105")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_csv") == 1
+
+
+@pytest.mark.parametrize("at_once", [0, 16_000_000])
+def test_lines_meet_headers_with_and_without_a_broadcast(spark, tmp_path, monkeypatch, at_once):
+    export(tmp_path, "a b", "20260410", "PaymentDetails.csv", "order_guid,payment_method,amount,payment_date\n1,CASH,2,\n")
+    export(tmp_path, "b", "20260411", "PaymentDetails.csv", "payment_method,order_guid,amount,payment_date,more\nCARD,2,3,,x\n")
+    monkeypatch.setattr(files, "HEADERS_AT_ONCE", at_once)
+    found = files.read_export(spark, str(tmp_path), "PaymentDetails")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (at_once > 0)
+    # The path of a line is not cut again for every line.
+    assert "regexp_extract" not in plan and "array_position" not in plan
+    got = sorted((r["order_guid"], r["payment_method"], r["more"], r["location_id"], r["business_date"], r["file_name"]) for r in found.collect())
+    assert got == [("1", "CASH", None, "a b", "20260410", "PaymentDetails.csv"), ("2", "CARD", "x", "b", "20260411", "PaymentDetails.csv")]
