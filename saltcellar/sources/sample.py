@@ -129,7 +129,8 @@ def _kind_name() -> Column:
     return F.expr("CASE p_type WHEN 'SMALL' THEN 'Beverages' WHEN 'LARGE' THEN 'Wine' ELSE p_type END")
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
+def _lines(spark: SparkSession, folder: str, by_order: Column | None = None) -> DataFrame:
+    """Lines with their part and order. `by_order` meets the orders by another name of their key, by which later steps group."""
     parts = _table(spark, folder, "part").select(
         "p_partkey", "p_size", "p_retailprice", _item_name().alias("item_name"), _kind_name().alias("kind")
     )
@@ -137,7 +138,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _table(spark, folder, "lineitem")
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(placed, F.col("l_orderkey") == F.col("o_orderkey") if by_order is None else by_order)
     )
 
 
@@ -146,7 +147,8 @@ def _quantity() -> Column:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select(
+    """Raw lines. They lie together by order_guid after their join, so grouping by order moves no line again."""
+    return _lines(spark, folder, F.col("l_orderkey").cast("string") == F.col("order_guid")).select(
         "order_guid",
         "item_name",
         F.expr("CASE WHEN l_returnflag = 'A' THEN '' ELSE kind END").alias("category"),

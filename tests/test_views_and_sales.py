@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.operators import sales, views
+from saltcellar.sources import sample
 
 STAMP = dt.datetime(2026, 4, 10)
 
@@ -163,3 +164,33 @@ def test_one_order_with_most_copies(spark, rows):
     raw = copies.repartition(8).unionByName(orders(spark, *[{"order_guid": str(n)} for n in range(50)]))
     got = {r["order_guid"]: r["total_amount"] for r in rows(views.orders_clean(raw))}
     assert len(got) == 51 and got["hot"] == 0.0
+
+
+def test_raw_lines_lie_by_order_for_the_clean_view(spark, rows, tmp_path):
+    tables = {
+        "region": spark.createDataFrame([(3, "EUROPE")], "r_regionkey int, r_name string"),
+        "nation": spark.createDataFrame([(7, 3)], "n_nationkey int, n_regionkey int"),
+        "customer": spark.createDataFrame([(1, "C#1", 7, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "orders": spark.createDataFrame(
+            [(5, 1, "O", 9000.0, STAMP, "5-LOW"), (6, 1, "O", 9000.0, STAMP, "5-LOW"), (6, 1, "O", 9000.0, STAMP, "5-LOW"), (None, 1, "O", 1.0, STAMP, "5-LOW")],
+            "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+        ),
+        "part": spark.createDataFrame([(2, "small rod", "SMALL", 1, 5.0)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double"),
+        "lineitem": spark.createDataFrame(
+            [(5, 2, 1, 3.0, 4000.0, "N", "O"), (6, 2, 1, 2.0, 5000.0, "A", "O"), (8, 2, 1, 1.0, 1.0, "N", "O"), (None, 2, 1, 1.0, 1.0, "N", "O")],
+            "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string",
+        ),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    raw = sample.order_items(spark, str(tmp_path))
+    # The order that is there twice has its line twice; lines without an order have none.
+    got = [(r["order_guid"], r["category"], r["quantity"], r["total_price"], r["location_id"], r["business_date"]) for r in rows(raw, "order_guid")]
+    assert got == [("5", "Beverages", 3, 4.0, "site_3", "20260410")] + [("6", "", 2, 5.0, "site_3", "20260410")] * 2
+    names = spark.createDataFrame([], "item_name string, canonical_name string, display_name string, category string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.order_items_clean(sample.order_items(spark, str(tmp_path)), names)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "cast(l_orderkey" in plan and not any("Exchange hashpartitioning(order_guid" in line and "quantity" in line for line in plan.splitlines())
