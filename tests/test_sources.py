@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.operators import imports
+from saltcellar.plans.samples import Samples
 from saltcellar.sources import files, sinks
 
 
@@ -138,3 +139,11 @@ def test_lines_meet_headers_with_and_without_a_broadcast(spark, tmp_path, monkey
     assert "regexp_extract" not in plan and "array_position" not in plan
     got = sorted((r["order_guid"], r["payment_method"], r["more"], r["location_id"], r["business_date"], r["file_name"]) for r in found.collect())
     assert got == [("1", "CASH", None, "a b", "20260410", "PaymentDetails.csv"), ("2", "CARD", "x", "b", "20260411", "PaymentDetails.csv")]
+
+
+def test_landed_payloads_are_packed(spark, tmp_path):
+    tables = Samples(spark, str(tmp_path))
+    tables.profile_payload = spark.createDataFrame([("1", "a"), ("2", None)], "id string, username string")
+    landed = tables.profile_documents
+    assert landed.inputFiles() and all(name.endswith(".json.gz") for name in landed.inputFiles())
+    assert sorted((r["id"], r["username"]) for r in landed.collect()) == [("1", "a"), ("2", None)]
