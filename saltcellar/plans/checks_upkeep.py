@@ -1,10 +1,11 @@
 """Committed loads and views kept up by touched days, over the sample tables, with SQL checks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saltcellar.functions.columns import cents, day_text, parse_day
 from saltcellar.plans import checks_sales
-from saltcellar.session import remove_at_exit, scratch_path
+from saltcellar.session import remove_at_exit, scratch_path, stored
 from saltcellar.sources.files import MONTH
 from saltcellar.sources.warehouse import Warehouse
 from saltcellar.streaming.upkeep import ViewStore, standard_views
@@ -20,7 +21,7 @@ def _root(t, label):
 
 def _kept(t, raw, first, late, views):
     """A store that has taken two loads, the second one of old days, and refreshed after each."""
-    known = standard_views(t.stored_map)
+    known = standard_views(t.stored_map if raw == "order_items" else t.name_map)  # views of orders read no map: it is not stored for them
     store = ViewStore(t.spark, _root(t, "kept"), {name: known[name] for name in views}, MONTH, buckets=16)
     for name, rows in (("first", first), ("late", late)):
         store.refresh(raw, store.load(rows, raw, name))
@@ -28,14 +29,15 @@ def _kept(t, raw, first, late, views):
 
 
 def _order_loads(t):
-    """First the new days, and second copies of orders under the day after; then all the rest, with the copies that stay."""
+    """First the new days, and second copies of orders under the day after; then all the rest, with the copies that stay.
+
+    The rows are made once and stored with their load. Rows without a day, other than copies, are in none."""
     is_second = F.coalesce(F.col("order_type") == "Takeout", F.lit(False))
-    moved = t.raw_orders.filter(is_second).withColumn("business_date", day_text(F.date_add(parse_day(F.col("business_date")), 1)))
-    rest = t.raw_orders.filter(~is_second)
-    new = F.col("business_date") >= CUT
-    first_copy = rest.join(moved.select("order_guid").distinct(), "order_guid", "left_semi")
-    plain = rest.join(moved.select("order_guid").distinct(), "order_guid", "left_anti")
-    return plain.filter(new).unionByName(moved), plain.filter(~new).unionByName(first_copy)
+    has_second = F.col("order_guid").isNotNull() & F.max(is_second).over(Window.partitionBy("order_guid"))
+    is_first = F.when(is_second, True).when(has_second, False).otherwise(F.col("business_date") >= CUT)
+    moved = F.when(is_second, day_text(F.date_add(parse_day(F.col("business_date")), 1))).otherwise(F.col("business_date"))
+    rows = stored(t.raw_orders.withColumn("is_first", is_first).withColumn("business_date", moved), "order-loads")
+    return rows.filter("is_first").drop("is_first"), rows.filter("NOT is_first").drop("is_first")
 
 
 def _orders_refreshed(t):

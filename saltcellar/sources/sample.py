@@ -63,7 +63,7 @@ def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_amounts(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+    return _table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("amounts_of")).agg(
         F.expr(f"sum({LINE_PRICE})").alias("subtotal"),
         F.expr(f"sum({LINE_DISCOUNT})").alias("discount"),
         F.expr(f"sum({LINE_TAX})").alias("tax"),
@@ -84,9 +84,9 @@ def _clock_text() -> Column:
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw orders. Those with status P arrive twice: the later copy has no tip."""
+    """Raw orders. Those with status P arrive twice: the later copy has no tip. They lie together by order_guid after their join."""
     placed = _placed_orders(spark, folder).join(
-        _order_amounts(spark, folder), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+        _order_amounts(spark, folder), F.col("order_guid") == F.col("amounts_of"), "left"
     )
     kind = F.expr(
         """CASE o_orderpriority WHEN '1-URGENT' THEN 'DELIVERY' WHEN '2-HIGH' THEN 'Take Out' WHEN '3-MEDIUM' THEN 'Dine In'

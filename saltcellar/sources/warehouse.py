@@ -60,11 +60,15 @@ class Warehouse:
 
     def load(self, rows: Mapping[str, DataFrame], name: str) -> dict[str, int]:
         """Append to several tables in one commit; returns the rows written. Repeating a name replaces its earlier load."""
-        earlier = [(r["table"], r["folder"]) for r in self.folders().filter(F.col("folder").startswith(f"{name}~")).collect()]
+        earlier = self.earlier(name)
         parts = [self.stage(df, table, name) for table, df in rows.items()]
         self.commit(name, parts, earlier)
         return {p.table: p.rows for p in parts}
 
+    def earlier(self, name: str) -> list[tuple[str, str]]:
+        """(table, folder) of what is committed under a load's name."""
+        return [(r["table"], r["folder"]) for r in self.folders().filter(F.col("folder").startswith(f"{name}~")).collect()]
+
     def records(self) -> DataFrame:
         path = f"{self.root}/commits"
         if not path_exists(self.spark, path):
@@ -81,13 +85,14 @@ class Warehouse:
         """The committed rows, with the declared columns and types. `where` may name the folder column `period`."""
         return self.read_folders(table, [r["folder"] for r in self.folders().filter(F.col("table") == table).collect()], where)
 
-    def read_folders(self, table: str, names: Sequence[str], where: Column | None = None) -> DataFrame:
+    def read_folders(self, table: str, names: Sequence[str], where: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """Rows of folders, committed or staged. `columns`: which ones, `period` among them if asked for; the declared ones if None."""
         (schema, _), base = self.tables[table], f"{self.root}/{table}"
         if not names:
             return self.spark.createDataFrame([], schema)
         given = schema if DAY not in schema.names else StructType([*schema.fields, StructField(PERIOD, StringType())])
         rows = self.spark.read.schema(given).option("basePath", base).parquet(*[f"{base}/{LOAD}={name}" for name in sorted(names)])
-        return (rows if where is None else rows.filter(where)).select(*schema.names)
+        return (rows if where is None else rows.filter(where)).select(*(columns or schema.names))
 
     def compact(self, table: str, below_rows: int = 1_000_000) -> int:
         """Put the loads of fewer than `below_rows` rows into one; returns how many. The rows of the table stay as they are.

@@ -80,48 +80,60 @@ class ViewStore:
 
     def load(self, rows: DataFrame, raw: str, name: str) -> DataFrame:
         """Commit rows under a load's name, in the place of its earlier ones. Returns the changed orders: (unit, period, bucket) of
-        the load and of what it replaces, stored."""
+        the load and of what it replaces, stored.
+
+        Rows are written once, the orders among them are listed once, from the staged folder."""
         index = f"{raw}_periods"
-        rows = self._stored(rows, f"load-{raw}")
+        earlier = self.house.earlier(name)
+        rows = self.house.stage(rows, raw, name)
         bucket = F.pmod(F.xxhash64("unit"), F.lit(self.buckets)).cast("string")
-        listed = with_period(rows, self.grain).select(_unit().alias("unit"), PERIOD).distinct().withColumn("bucket", bucket)
-        before = self.house.folders().filter((F.col("table") == index) & F.col("folder").startswith(f"{name}~")).collect()
-        replaced = self.house.read_folders(index, [r["folder"] for r in before])
-        changed = self._stored(listed.union(replaced).distinct(), f"changed-{raw}")
-        self.house.load({raw: rows, index: listed}, name)
+        staged = self.house.read_folders(raw, [rows.folder], columns=("order_guid", PERIOD))
+        listed = self._stored(staged.select(_unit().alias("unit"), PERIOD).distinct().withColumn("bucket", bucket), f"changed-{raw}")
+        replaced, changed = [folder for table, folder in earlier if table == index], listed
+        if replaced:
+            changed = self._stored(listed.union(self.house.read_folders(index, replaced)).distinct(), f"changed-{raw}")
+        self.house.commit(name, [rows, self.house.stage(listed, index, name)], earlier)
         return changed
 
     def touched(self, raw: str, changed: DataFrame) -> list[str | None]:
-        """Periods that hold copies of the changed orders, or held them before the load. Reads their index buckets only."""
+        """Periods that hold copies of the changed orders, or held them before the load. Reads their index buckets only, and joins
+        only rows of periods that the changed orders do not name themselves."""
         buckets = [r["bucket"] for r in changed.select("bucket").distinct().collect()]  # at most `self.buckets`
-        now = self.house.read(f"{raw}_periods", F.col("bucket").isin(buckets))
-        now = now.join(changed.select("unit", "bucket").distinct(), ["unit", "bucket"], "left_semi")
-        found = now.select(PERIOD).union(changed.select(PERIOD)).distinct().collect()
-        return sorted((r[PERIOD] for r in found), key=str)
+        named = [r[PERIOD] for r in changed.select(PERIOD).distinct().collect()]
+        other = self.house.read(f"{raw}_periods", F.col("bucket").isin(buckets)).filter(~F.coalesce(_inside(named), F.lit(False)))
+        if not other.isEmpty():
+            found = other.join(changed.select("unit", "bucket"), ["unit", "bucket"], "left_semi").select(PERIOD).distinct()
+            named += [r[PERIOD] for r in found.collect()]
+        return sorted(named, key=str)
 
     def refresh(self, raw: str, changed: DataFrame) -> list[str | None]:
         """Make the touched periods of all views over a raw table again; returns them."""
         periods = self.touched(raw, changed)
-        units = changed.select("unit").distinct()
+        units = changed.select("unit")
+        blank = not units.filter(F.col("unit") == "").isEmpty()
         done: set[str] = set()
         for name, view in self.kept.items():
             if isinstance(view, KeptView) and view.raw == raw:
-                self._write(name, self.rebuilt(name, units, periods), periods)
+                self._write(name, self.rebuilt(name, units, periods, blank), periods)
                 done.add(name)
         for name, view in self.kept.items():
             if isinstance(view, DayView) and (view.source == raw or view.source in done):
                 self._write(name, self.remade(name, periods), periods)
         return periods
 
-    def rebuilt(self, name: str, units: DataFrame, periods: list[str | None]) -> DataFrame:
-        """The touched periods of a kept view: changed orders built again, the rows of all others as they are."""
-        view = self.kept[name]
+    def rebuilt(self, name: str, units: DataFrame, periods: list[str | None], blank: bool = True) -> DataFrame:
+        """The touched periods of a kept view: changed orders built again, the rows of all others as they are.
+
+        Unless rows without an order are among the changed ones (`blank`), rows meet them by order_guid itself, by which a view
+        removes copies, so they are not shuffled again for that.
+        """
+        view, unit = self.kept[name], _unit() if blank else F.col("order_guid")
         raw = self.house.read(view.raw, _inside(periods))
-        fresh = with_period(view.build(raw.join(units, _unit() == F.col("unit"), "left_semi")), self.grain)
+        fresh = with_period(view.build(raw.join(units, unit == F.col("unit"), "left_semi")), self.grain)
         old = self._read(name)
         if old is None:
             return fresh
-        return old.filter(_inside(periods)).join(units, _unit() == F.col("unit"), "left_anti").unionByName(fresh)
+        return old.filter(_inside(periods)).join(units, unit == F.col("unit"), "left_anti").unionByName(fresh)
 
     def remade(self, name: str, periods: list[str | None]) -> DataFrame:
         view = self.kept[name]
@@ -148,14 +160,18 @@ class ViewStore:
         return self.spark.read.schema(self._schema(name)).parquet(path) if path_exists(self.spark, path) else None
 
     def _write(self, name: str, rows: DataFrame, periods: list[str | None]) -> None:
-        """Replace the folders of these periods; those without rows go."""
+        """Replace the folders of these periods; those without rows go.
+
+        The rows may be read from the folders that are replaced: Spark writes beside them and puts the new ones in place at the end.
+        A folder that still has its files afterwards got no rows.
+        """
         path = f"{self.house.root}/{name}"
-        rows = self._stored(rows, f"periods-{name}")  # what is read lies in the folders that are replaced
-        left = {r[PERIOD] for r in rows.select(PERIOD).distinct().collect()}
-        if not left and not path_exists(self.spark, path):
-            return  # nothing yet
+        old = self._read(name)
+        before = set() if old is None else set(old.inputFiles())
         writer = rows.hint("rebalance", PERIOD).sortWithinPartitions(PERIOD, "location_id", DAY).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
-        for period in set(periods) - left:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PERIOD}={NO_DAY if period is None else period}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        still = {file.rsplit("/", 2)[1] for file in before & set(self._read(name).inputFiles())} if before else set()
+        for period in periods:
+            if (place := f"{PERIOD}={NO_DAY if period is None else period}") in still:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{place}")
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
