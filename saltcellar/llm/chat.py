@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltcellar.llm.shared import stored, text_of
+from saltcellar.llm.shared import stored, stored_and_counted, text_of
 
 # The template's marks, and what stands for control strings inside a text. "~" comes first when escaping and last
 # when read back, so every text comes back as it was.
@@ -63,17 +63,20 @@ def branches(nodes: DataFrame, most: int | None = 1) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("steps"))
     now = base.join(known, ["tree", "parent"], "left")
-    now = stored(now.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "total", "steps"), "tree-jumps")
+    now = now.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "total", "steps")
+    counts = {"nodes": F.count(F.lit(1)), "open": F.count_if(F.col("up").isNotNull())}
+    now, counted = stored_and_counted(now, "tree-jumps", **counts)
     jumps = []
-    rounds = max(1, nodes.count().bit_length() + 1)
-    while not (open_ends := now.filter("up IS NOT NULL")).isEmpty() and len(jumps) < rounds:
+    rounds = max(1, counted["nodes"].bit_length() + 1)
+    while counted["open"] and len(jumps) < rounds:
+        open_ends = now.filter("up IS NOT NULL")
         jumps.append(open_ends.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
         # Only nodes that do not see a root yet look further; every `up` is a node of the table.
         seen = open_ends.join(above, ["tree", "up"]).select(
             "tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")
         )
-        now = stored(now.filter("up IS NULL").union(seen), "tree-jumps")
+        now, counted = stored_and_counted(now.filter("up IS NULL").union(seen), "tree-jumps", **counts)
     replied = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
     leaves = now.filter("up IS NULL")
     leaves = leaves.join(replied, ["tree", "node"], "left_anti") if jumps else leaves

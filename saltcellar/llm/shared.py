@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar.session import remove_at_exit, scratch_path
@@ -22,6 +22,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_and_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`stored`, with aggregates of the rows taken by the write itself, so that no query of their own is run for them."""
+    seen = Observation()
+    rows = stored(df.observe(seen, *[column.alias(name) for name, column in counts.items()]), label)
+    return rows, seen.get
+
+
 def text_of(column: str | Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

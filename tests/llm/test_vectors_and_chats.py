@@ -86,6 +86,19 @@ def test_long_thread(spark):
     assert row["n_turns"] == 700 and row["loss_chars"] == sum(len(f"t{i}") for i in range(0, 700, 2))
 
 
+def test_a_round_of_jumps_is_one_query(spark):
+    """Open ends and nodes are counted by the writes: a chain of 16 replies takes five tables up and four down."""
+    nodes = _nodes(spark, [(1, i, i - 1 if i else None, 0.0, "user", f"t{i}") for i in range(16)])
+    log = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = log.executionsCount()
+    path = chat.branches(nodes)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert log.executionsCount() - before <= 9
+    assert [r["depth"] for r in path.orderBy("node").collect()] == list(range(1, 17))
+    assert chat.branches(nodes.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     frame = queries.QUERIES[name](spark, SMALL)
