@@ -4,12 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from saltcellar.operators import tagging, topics
+from saltcellar.operators import tagging, terms, topics
+from saltcellar.session import settle, stored
 
 
 def _terms(text):
@@ -176,3 +178,66 @@ def test_terms_are_counted_where_their_text_is_cut(spark, rows):
     # One exchange deals out the words, none the terms with their text, before the join by term.
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan.split("Generate")[0] and "slice" not in plan
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("keep", [settle, lambda df: stored(df, "kept")])
+def test_what_is_stored_leaves_no_shuffle_files(spark, keep):
+    before = _shuffle_files(spark)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("v"))
+    kept = keep(sums)
+    assert kept.columns == ["k", "v"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    for _ in range(40):  # files go a moment later
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.25)
+    assert not _shuffle_files(spark) - before
+    assert kept.count() == 7 and sums.count() == 7
+
+
+def _texts(seed=11, n=60):
+    r = random.Random(seed)
+    return [(" ".join([*(r.choice(["aa", "bb", "cc", "dd", f"x{r.randrange(99)}"]) for _ in range(r.randrange(0, 12))), f"u{i}"]), r.choice([1, 1, 2])) for i in range(n)]
+
+
+def _plain(texts):
+    found = {hashlib.md5(t.encode()).hexdigest(): (n, collections.Counter(" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))) for t, n in texts for w in [t.split()]}
+    df = collections.Counter()
+    for n, terms_of in found.values():
+        df.update({t: n for t in terms_of})
+    return {h: (n, {t: (tf, df[t]) for t, tf in terms_of.items() if df[t] >= 2}) for h, (n, terms_of) in found.items()}
+
+
+@pytest.mark.parametrize("sizes", [(20, 30, 10), (10_000, 1000, 1000)])
+def test_terms_of_many_blocks_and_parts(spark, sizes):
+    texts = _texts()
+    cut = spark.createDataFrame([(hashlib.md5(t.encode()).hexdigest(), n, t) for t, n in texts] + [("none", 1, "")], "text string, copies long, words string")
+    counted = terms.count_terms(cut.repartition(3), *sizes)
+    want = _plain(texts)
+    parted = terms.parted_lists(counted)
+    assert counted.n_texts == sum(n for _, n in texts) + 1 and parted.schema["part"].metadata["parts"] == len(counted.answers)
+    got, seen = collections.defaultdict(dict), set()
+    for row in parted.collect():
+        terms_of = {e["term"]: (e["tf"], e["df"]) for e in row["terms"]}
+        assert row["copies"] == want[row["text"]][0] and not terms_of.keys() & got[row["text"]].keys()
+        got[row["text"]] |= terms_of
+        seen |= {(t, row["part"]) for t in terms_of}
+    assert got == {h: found for h, (_, found) in want.items() if found}
+    assert len(seen) == len({t for t, _ in seen})  # a term is in one part
+    for row in terms.term_lists(counted, heaviest=3).collect():
+        weight = {t: tf * (math.log((counted.n_texts + 1) / (df + 1)) + 1) for t, (tf, df) in want[row["text"]][1].items()}
+        least = sorted(weight.values(), reverse=True)[:3][-1]
+        assert {e["term"] for e in row["terms"]} == {t for t, w in weight.items() if w >= least - 1e-9}
+
+
+def test_topic_terms_of_lists_equal_those_of_rows(spark, rows):
+    texts = spark.createDataFrame(_texts(), "text string, copies long")
+    assigned = texts.select(F.md5("text").alias("text"), (F.length("text") % 3).alias("topic")).filter("topic > 0")
+    plain = {(r["topic"], r["term"]): r["weight"] for r in rows(topics.topic_terms(assigned, topics.term_table(texts, [])))}
+    lists = {(r["topic"], r["term"]): r["weight"] for r in rows(topics.topic_terms(assigned, topics.term_table(texts, [], lists=True)))}
+    assert len(plain) > 30 and lists == pytest.approx(plain)
