@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from saltcellar.functions.columns import in_scope, ratio
 from saltcellar.functions.stats import quantiles
-from saltcellar.session import settle
+from saltcellar.session import at_hand, settle, shuffles_dropped
 
 # Categories of drinks, actions in their order, rule bounds.
 DRINK_CATEGORIES = ("BEVERAGES", "ALCOHOL", "DRINKS", "BEER", "WINE", "SPIRITS", "COCKTAILS")
@@ -33,6 +33,11 @@ RECOMMENDATION_COLUMNS = [
 ]
 
 
+def in_share(share: int, shares: int) -> Column:
+    """Whether a row's order belongs to a share of all orders, by hash of its guid."""
+    return F.pmod(F.xxhash64("order_guid"), F.lit(shares)) == share
+
+
 def matched_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Orders that have items: keys, discount, and the line revenue of the whole order.
 
@@ -54,7 +59,7 @@ def item_gold(
     start=None,
     end=None,
 ) -> DataFrame:
-    """Item lines with their share of the order discount, cost and margin."""
+    """Item lines with their share of the order discount, cost and margin. Costs come to the lines while they are few, by their counted rows."""
     items = in_scope(clean_items, location_ids, start, end)
     orders = in_scope(clean_orders, location_ids, start, end)
     costs = (
@@ -63,7 +68,7 @@ def item_gold(
         .agg(F.round(F.avg("unit_cost"), 6).alias("unit_cost"), F.min("category").alias("category_inventory"))
     )
     price = F.coalesce(F.col("total_price"), F.lit(0.0))
-    gold = items.join(matched_orders(items, orders), ORDER_KEYS).join(costs, ["location_id", "item_name"], "left")
+    gold = items.join(matched_orders(items, orders), ORDER_KEYS).join(at_hand(costs), ["location_id", "item_name"], "left")
     share = F.when(
         F.col("order_revenue") > 0, ratio(F.col("discount_amount") * price, F.col("order_revenue"))
     ).otherwise(0.0)
@@ -103,13 +108,9 @@ def item_kpis(
     return kpis_of_gold(item_gold(clean_items, clean_orders, inventory, location_ids, start, end))
 
 
-def kpis_of_gold(gold: DataFrame) -> DataFrame:
-    """Key figures and quadrant per canonical item; `gold` is read twice and should be stored.
-
-    Lines are first combined per (item, order), which spreads one very popular item over its
-    orders; the per-item table is settled because medians and rows both read it.
-    """
-    total_orders = gold.agg(F.count_distinct("order_guid")).scalar()
+def _item_sums(gold: DataFrame) -> DataFrame:
+    """Sums per canonical item that add up over shares of the orders. Lines are first combined per (item, order), which spreads one very
+    popular item over its orders."""
     costed = F.col("unit_cost").isNotNull()
     per_order = (
         gold.filter(F.col("canonical_name").isNotNull())
@@ -126,11 +127,32 @@ def kpis_of_gold(gold: DataFrame) -> DataFrame:
             F.sum("alloc_discount").alias("discount"),
         )
     )
-    sums = per_order.groupBy("canonical_name").agg(
+    return per_order.groupBy("canonical_name").agg(
+        F.min("display_name").alias("display_name"),
+        F.min("category").alias("category"),
+        F.count("order_guid").alias("orders"),
+        *[F.sum(c).alias(c) for c in ("qty", "net", "price_sum", "price_count", "margin", "cost_qty", "discount")],
+    )
+
+
+def kpis_of_gold(gold: DataFrame, shares: int = 1) -> DataFrame:
+    """Key figures and quadrant per canonical item; `gold` is read twice a share and should be stored.
+
+    Sums are taken of one share of the orders after another, whose shuffles go before the next; the per-item table is settled because
+    medians and rows both read it.
+    """
+    total_orders, found = 0, None
+    for share in range(shares):
+        some = gold if shares == 1 else gold.filter(in_share(share, shares))
+        with shuffles_dropped(gold.sparkSession):
+            total_orders += some.agg(F.count_distinct("order_guid")).scalar()
+        summed = settle(_item_sums(some))
+        found = summed if found is None else found.union(summed)
+    sums = found.groupBy("canonical_name").agg(
         F.min("display_name").alias("display_name"),
         F.min("category").alias("category"),
         F.coalesce(F.sum("qty"), F.lit(0)).alias("total_qty"),
-        F.count("order_guid").alias("orders_with_item"),
+        F.sum("orders").alias("orders_with_item"),
         F.round(F.sum("net"), 2).alias("net_revenue"),
         F.round(ratio(F.sum("price_sum"), F.sum("price_count")), 6).alias("avg_unit_price"),
         F.round(F.sum("margin"), 2).alias("_margin"),

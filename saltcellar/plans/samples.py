@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import cached_property
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltcellar.operators import customers, menu, views
 from saltcellar.schemas import MEDIA_PAYLOAD, MENU_PAYLOAD, ORDER_PAYLOAD, PROFILE_PAYLOAD
-from saltcellar.session import prepare, remove_at_exit, scratch_path
+from saltcellar.session import prepare, remove_at_exit, scratch_path, shuffles_dropped
 from saltcellar.sources import sample, sinks
 from saltcellar.sources.files import read_payload
 
 # Stored views and landed payloads of this application: (application, folder, name) -> path.
 _STORED: dict[tuple[str, str, str], str] = {}
 
+# Order payloads are landed, and views of lines stored, in at most so many shares of the orders, of about so many lines.
+ORDER_SHARES, SHARE_LINES = 8, 2_000_000
+
 
 # Table names of the named questions, and the sample table behind each.
 QUESTION_TABLES = {
@@ -88,11 +92,27 @@ class Samples:
         key = (self.spark.sparkContext.applicationId, self.folder, view)
         if key not in _STORED:
             path = scratch_path(self.spark, view)
-            sinks.write_table(getattr(self, view), path, "overwrite", partition_by=())
+            for mode, rows in zip(chain(["overwrite"], repeat("append")), self._in_shares(view)):
+                with shuffles_dropped(self.spark):
+                    sinks.write_table(rows, path, mode, (), ("location_id", "business_date", "order_guid"), compression="zstd")
             remove_at_exit(self.spark, path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    shares = cached_property(lambda self: max(1, min(ORDER_SHARES, -(-self.table("lineitem").count() // SHARE_LINES))))
+
+    def _in_shares(self, view: str) -> Iterator[DataFrame]:
+        """A view of lines by one share of the orders after another, as its steps stay within an order; other views at once."""
+        if view not in ("items", "gold") or self.shares == 1:
+            yield getattr(self, view)
+            return
+        for share in range(self.shares):
+            if view == "items":
+                yield views.order_items_clean(sample.order_items(self.spark, self.folder, share, self.shares), self.stored_map)
+            else:
+                some = [df.filter(menu.in_share(share, self.shares)) for df in (self.stored_items, self.stored_orders)]
+                yield menu.item_gold(*some, self.stored_inventory)
+
     stored_orders = cached_property(lambda self: self._stored("orders"))
     stored_items = cached_property(lambda self: self._stored("items"))
     stored_masked = cached_property(lambda self: self._stored("masked"))
@@ -106,7 +126,7 @@ class Samples:
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return menu.kpis_of_gold(self.stored_gold)
+        return menu.kpis_of_gold(self.stored_gold, self.shares)
 
     @cached_property
     def profiles(self) -> DataFrame:
@@ -117,11 +137,21 @@ class Samples:
         key = (self.spark.sparkContext.applicationId, self.folder, payload)
         if key not in _STORED:
             path = scratch_path(self.spark, payload)
-            getattr(self, payload).write.option("compression", "gzip").json(path)
+            if payload == "order_payload":
+                self.land_orders(path)
+            else:
+                getattr(self, payload).write.option("compression", "gzip").json(path)
             remove_at_exit(self.spark, path)
             _STORED[key] = path
         return read_payload(self.spark, _STORED[key], schema)
 
+    def land_orders(self, path: str, *left_out: str) -> None:
+        """The order payload as packed JSON files without some columns: one share of the orders after another, whose shuffles go before the next."""
+        for share in range(self.shares):
+            documents = sample.order_payload(self.spark, self.folder, share, self.shares).drop(*left_out)
+            with shuffles_dropped(self.spark):
+                documents.write.mode("append").option("compression", "gzip").json(path)
+
     order_documents = cached_property(lambda self: self._landed("order_payload", f"location_id string, {ORDER_PAYLOAD}"))
     media_documents = cached_property(lambda self: self._landed("media_payload", MEDIA_PAYLOAD))
     menu_documents = cached_property(lambda self: self._landed("menu_payload", MENU_PAYLOAD))

@@ -53,9 +53,15 @@ def customer_locations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+def _share_of(key: str, share: int | None, shares: int) -> Column:
+    """Whether a row's order belongs to a share of all orders; every row does to None."""
+    return F.lit(True) if share is None else F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shares)) == share
+
+
+def _placed_orders(spark: SparkSession, folder: str, share: int | None = None, shares: int = 1) -> DataFrame:
     return (
         _table(spark, folder, "orders")
+        .filter(_share_of("o_orderkey", share, shares))
         .join(customer_locations(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("order_guid", F.col("o_orderkey").cast("string"))
         .withColumn("business_date", F.date_format("o_orderdate", "yyyyMMdd"))
@@ -129,14 +135,16 @@ def _kind_name() -> Column:
     return F.expr("CASE p_type WHEN 'SMALL' THEN 'Beverages' WHEN 'LARGE' THEN 'Wine' ELSE p_type END")
 
 
-def _lines(spark: SparkSession, folder: str, by_order: Column | None = None) -> DataFrame:
-    """Lines with their part and order. `by_order` meets the orders by another name of their key, by which later steps group."""
+def _lines(spark: SparkSession, folder: str, by_order: Column | None = None, share: int | None = None, shares: int = 1) -> DataFrame:
+    """Lines with their part and order, of one share of the orders or all. `by_order` meets the orders by another name of their key, by which
+    later steps group."""
     parts = _table(spark, folder, "part").select(
         "p_partkey", "p_size", "p_retailprice", _item_name().alias("item_name"), _kind_name().alias("kind")
     )
-    placed = _placed_orders(spark, folder).select("o_orderkey", "order_guid", "location_id", "business_date")
+    placed = _placed_orders(spark, folder, share, shares).select("o_orderkey", "order_guid", "location_id", "business_date")
     return (
         _table(spark, folder, "lineitem")
+        .filter(_share_of("l_orderkey", share, shares))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(placed, F.col("l_orderkey") == F.col("o_orderkey") if by_order is None else by_order)
     )
@@ -146,9 +154,9 @@ def _quantity() -> Column:
     return F.expr("CASE WHEN l_linenumber = 7 AND l_linestatus = 'O' THEN 0L ELSE CAST(l_quantity AS BIGINT) END")
 
 
-def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw lines. They lie together by order_guid after their join, so grouping by order moves no line again."""
-    return _lines(spark, folder, F.col("l_orderkey").cast("string") == F.col("order_guid")).select(
+def order_items(spark: SparkSession, folder: str, share: int | None = None, shares: int = 1) -> DataFrame:
+    """Raw lines, of one share of the orders or all. They lie together by order_guid after their join, so grouping by order moves no line again."""
+    return _lines(spark, folder, F.col("l_orderkey").cast("string") == F.col("order_guid"), share, shares).select(
         "order_guid",
         "item_name",
         F.expr("CASE WHEN l_returnflag = 'A' THEN '' ELSE kind END").alias("category"),
@@ -482,8 +490,9 @@ def profile_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_payload(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as nested documents: one check per line status, one selection per line."""
+def order_payload(spark: SparkSession, folder: str, share: int | None = None, shares: int = 1) -> DataFrame:
+    """Orders as nested documents: one check per line status, one selection per line. The shares of the orders, by hash of their key, hold
+    all of them together, each with all its lines."""
     contact = _contact()
     selection = F.struct(
         (F.col("l_returnflag") == "N").alias("voided"),
@@ -495,7 +504,7 @@ def order_payload(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linenumber") <= 2, F.array(F.struct(F.lit("extra").alias("displayName")))).alias("modifiers"),
     )
     checks = (
-        _lines(spark, folder)
+        _lines(spark, folder, share=share, shares=shares)
         .groupBy("l_orderkey", "l_linestatus")
         .agg(
             F.collect_list(selection).alias("selections"),
@@ -506,7 +515,7 @@ def order_payload(spark: SparkSession, folder: str) -> DataFrame:
     )
     total = _amount("amount - discount + tax")
     documents = (
-        _placed_orders(spark, folder)
+        _placed_orders(spark, folder, share, shares)
         .join(checks, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .groupBy("o_orderkey")
         .agg(

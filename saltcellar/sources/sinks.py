@@ -27,8 +27,9 @@ def write_table(
     partition_by: tuple[str, ...] | None = None,
     order_by: tuple[str, ...] = ("location_id", "business_date"),
     grain: str = MONTH,
+    compression: str = "snappy",
 ) -> int:
-    """Parquet (snappy) under one folder per location and per month (`grain`: or day) of the business date, where there are such
+    """Parquet (snappy, if nothing else is asked for) under one folder per location and per month (`grain`: or day) of the business date, where there are such
     columns, sorted inside by day: filters on both open few folders and row groups.
 
     Rows of a folder are brought together first, so it gets few files; Spark splits a folder that is too large for one task
@@ -45,7 +46,7 @@ def write_table(
     # Counted by the tasks that write: a map task that is run again after a lost executor counts nothing twice.
     seen = Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = rows.write.mode(mode).option("compression", "snappy")
+    writer = rows.write.mode(mode).option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

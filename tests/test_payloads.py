@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from saltcellar import schemas
 from saltcellar.operators import coverage, payloads
+from saltcellar.plans import samples
+from saltcellar.sources import sample, sinks
 from saltcellar.sources.files import parse_payload, read_payload
 
 PLACE = "store_a"
@@ -182,3 +185,54 @@ def test_payload_files_by_line_and_by_array(spark, tmp_path):
     for name, by_line in (("lines.json", True), ("array.json", False)):
         df = read_payload(spark, str(tmp_path / name), schemas.ORDER_PAYLOAD, by_line)
         assert payloads.flatten_orders(df, F.lit(PLACE)).count() == 2
+
+
+def _star(spark, folder):
+    """Small tables of the sample's columns: orders with and without lines, of keys that do not start at one."""
+    tables = {
+        "region": ([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(k, f"Customer#{k}", k % 2, ("BUILDING", "HOUSEHOLD", "MACHINERY")[k % 3]) for k in range(5)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "part": ([(k, f"new ring{k}", "SMALL", 5 * k, 9.5 + k) for k in range(4)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double"),
+        "orders": ([(700 + k, k % 5, "FOP"[k % 3], 2500.0 + k, dt.datetime(2001, 1, 1 + k), "1-URGENT") for k in range(9)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "lineitem": (
+            [(700 + k, n % 4, n + 1, 2.0, 40_000.0 + n, 0.05, 0.02, "NRA"[n % 3], "FO"[n % 2]) for k in range(8) for n in range(k % 4 + 1)],
+            "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+        ),
+    }
+    for name, (found, schema) in tables.items():
+        spark.createDataFrame(found, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_order_payloads_land_in_shares_and_packed(spark, rows, tmp_path, monkeypatch):
+    _star(spark, tmp_path)
+    whole = rows(sample.order_payload(spark, str(tmp_path)), "guid")
+    plain = lambda found: [(r["guid"], r["businessDate"], sorted((c["amount"], len(c["selections"])) for c in r["checks"])) for r in found]
+    for lines, shares in ((2_000_000, 1), (5, 4)):  # 20 lines in all
+        monkeypatch.setattr(samples, "SHARE_LINES", lines)
+        monkeypatch.setattr(samples, "ORDER_SHARES", shares)
+        path = str(tmp_path / f"landed-{shares}")
+        samples.Samples(spark, str(tmp_path)).land_orders(path, "location_id")
+        found = rows(read_payload(spark, path, schemas.ORDER_PAYLOAD), "guid")
+        assert plain(found) == plain(whole) and len(found) == 9 and sum(len(r["checks"]) for r in found) > 9
+        assert all(p.name.endswith(".json.gz") for p in (tmp_path / f"landed-{shares}").glob("part-*"))
+        runs = {p.name.split("-", 2)[2].split("-c000")[0] for p in (tmp_path / f"landed-{shares}").glob("part-*")}
+        assert len(runs) == shares
+
+
+def test_views_of_lines_are_stored_in_shares(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(samples, "ORDER_SHARES", 3)
+    found = {}
+    for lines in (2_000_000, 5):
+        monkeypatch.setattr(samples, "SHARE_LINES", lines)
+        folder = tmp_path / str(lines)
+        _star(spark, folder)
+        t = samples.Samples(spark, str(folder))
+        with monkeypatch.context() as m:
+            written = []
+            m.setattr(sinks, "write_table", lambda df, path, mode, *a, f=sinks.write_table, **k: written.append(mode) or f(df, path, mode, *a, **k))
+            found[lines] = [rows(df) for df in (t.stored_items, t.stored_gold, t.kpis)]
+        assert written.count("append") == (0 if lines > 5 else 4)  # two views, three shares each
+        found[lines] = [sorted(map(str, r)) for r in found[lines]]
+    whole, shared = found.values()
+    assert whole == shared and len(whole[0]) == len(whole[1]) == 20 and len(whole[2]) == 4
