@@ -84,7 +84,7 @@ def _import_time_entries(t):
 
 def _read_payload(t):
     path = scratch_path(t.spark, "landed")
-    t.order_payload.drop("location_id").write.json(path)
+    t.land_orders(path, "location_id")
     return coverage.payload_profile(files.read_payload(t.spark, path, schemas.ORDER_PAYLOAD))
 
 
